@@ -4,17 +4,28 @@ from __future__ import annotations
 
 import string
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.bpe_ops import bpe_round_trip
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.line_dedup import line_dedup
+from tidemark.llm.media import media_columns
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -49,5 +60,5 @@ SELECT d.doc_id, len(d.ls) AS n_lines, len(d.ls) - coalesce(k.n, 0) AS n_removed
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
-QUERIES = {"op9_exact_dedup": op9_exact_dedup, "op6_line_dedup": op6_line_dedup}
+QUERIES = {"op1_media_columns": op1_media_columns, "op3_bpe": op3_bpe, "op9_exact_dedup": op9_exact_dedup, "op6_line_dedup": op6_line_dedup}
 ORACLE_SQL = {"op9_exact_dedup": OP9_SQL, "op6_line_dedup": OP6_SQL}
