@@ -331,12 +331,12 @@ def ragged(values: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[n
 _MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 
 
-def distinct_slices(raw: bytes, starts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """The slices of ``raw`` from each start to the next: the number of each, and the distinct ones.
+def distinct_slices(raw: bytes, starts: np.ndarray, length: np.ndarray | None = None) -> tuple[np.ndarray, list[bytes]]:
+    """The slices of ``raw`` (to the next start if no length is given): the number of each, and the distinct ones.
 
     Slices up to 16 bytes are told apart by two words; the few longer ones in a dict.
     """
-    length = np.diff(np.append(starts, len(raw)))
+    length = np.diff(np.append(starts, len(raw))) if length is None else length
     words = np.ndarray((len(raw) + 1,), "<u8", raw + bytes(24), strides=(1,))
     more = np.clip(length - 8, 0, 8)
     low = words[starts] & _MASKS[np.minimum(length, 8)]
