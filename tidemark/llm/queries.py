@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bpe_ops import bpe_round_trip
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.jaccard import jaccard_components
+from tidemark.llm.language import language
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.media import media_columns
+from tidemark.llm.quality import quality
+from tidemark.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +30,8 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language(table(spark, sf_dir, "documents"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +44,22 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP9_SQL = f"""
 WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')) AS h FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -60,5 +80,14 @@ SELECT d.doc_id, len(d.ls) AS n_lines, len(d.ls) - coalesce(k.n, 0) AS n_removed
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
-QUERIES = {"op1_media_columns": op1_media_columns, "op3_bpe": op3_bpe, "op9_exact_dedup": op9_exact_dedup, "op6_line_dedup": op6_line_dedup}
-ORACLE_SQL = {"op9_exact_dedup": OP9_SQL, "op6_line_dedup": OP6_SQL}
+QUERIES = {
+    "op1_media_columns": op1_media_columns,
+    "op3_bpe": op3_bpe,
+    "op5_language": op5_language,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_quality": op7_quality,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_toxicity": op10_toxicity,
+}
+ORACLE_SQL = {"op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL}
