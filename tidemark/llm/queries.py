@@ -14,6 +14,7 @@ from tidemark.llm.jaccard import jaccard_components
 from tidemark.llm.language import language
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.media import media_columns
+from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import quality
 from tidemark.llm.toxicity import toxicity
 
@@ -26,6 +27,10 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -82,6 +87,7 @@ FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_bpe": op3_bpe,
     "op5_language": op5_language,
     "op6_line_dedup": op6_line_dedup,
