@@ -184,3 +184,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     found = sets.join(lowest, "node", "left").select("set_id", F.coalesce("component", "low").alias("component"))
     out = signed.select("key", "n", "set_id").join(found, "set_id", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
+
+
+def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without those that :func:`jaccard_components` links to a smaller key; rows of one key stay or go together."""
+    found = jaccard_components(docs, key, text, size, percent)
+    later = written(found.filter(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_later")).distinct(), "later")
+    return docs.join(later, docs[key].eqNullSafe(later["_later"]), "left_anti")

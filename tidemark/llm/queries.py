@@ -16,6 +16,7 @@ from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.media import media_columns
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import quality
+from tidemark.llm.suffix_dedup import suffix_dedup
 from tidemark.llm.toxicity import toxicity
 
 
@@ -35,6 +36,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = F.col("suffix_dedup")
+    return out.select("doc_id", found.n_bytes.alias("n_bytes"), found.n_removed.alias("n_removed"), found.n_spans.alias("n_spans"), F.sha2(found.kept, 256).alias("kept_sha256"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(table(spark, sf_dir, "documents"))
 
@@ -89,6 +96,7 @@ QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_bpe": op3_bpe,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_language": op5_language,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality": op7_quality,
