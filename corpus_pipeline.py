@@ -1,15 +1,70 @@
-"""The corpus pipeline: stages that each take and return documents."""
+"""The corpus pipeline: stages that each take and return documents, the last one packed pieces."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from tidemark.llm import toxicity
+from tidemark.llm.jaccard import near_dedup
+from tidemark.llm.line_dedup import line_dedup
+from tidemark.llm.packing import pack_documents
+from tidemark.llm.samples import fold
+from tidemark.llm.scratch import written
+from tidemark.llm.suffix_dedup import suffix_dedup
+
+FOLDS = 5
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``docs`` with n_chars, where they have it, of the text as it is now."""
+    if "n_chars" not in docs.columns:
+        return docs
+    kind = docs.schema["n_chars"].dataType
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose toxicity is below 0.5, by a model of the labels outside fold 0."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels.filter(fold(F.col("doc_id"), FOLDS) != 0))
+    scored = toxicity.score_toxicity(docs.withColumn("_row", F.struct(*docs.columns)).select("text", "_row"), model, name="_score")
+    return scored.filter("_score < 0.5").select("_row.*")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every later occurrence of three lines in a row is cut out."""
+    return _counted(line_dedup(docs).drop("line_dedup"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 of their five-word shingles the smallest doc_id stays."""
+    return near_dedup(docs)
+
+
+def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every string of 50 bytes that a smaller doc_id has too is cut out."""
+    return _counted(suffix_dedup(docs, as_text=True).drop("suffix_dedup"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in sequences of 1024."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_jaccard", drop_near_copies),
+    ("suffix_dedup", drop_repeated_strings),
+    ("best_fit_packing", pack),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
     return docs
