@@ -7,6 +7,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark.sql import DataFrame
+from pyspark.sql.types import DataType, StructField, StructType
 
 CHUNK_BYTES = 3 << 20
 
@@ -23,3 +25,8 @@ def texts_in_chunks(batches: Iterable[pa.RecordBatch], text: str = "text", size:
             part = batch.slice(at, to - at)
             yield part, [t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]
             at = to
+
+
+def with_fields(table: DataFrame, **kinds: DataType) -> StructType:
+    """The schema of ``table`` and further fields."""
+    return StructType([*table.schema.fields, *(StructField(name, kind) for name, kind in kinds.items())])

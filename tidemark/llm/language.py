@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
-from tidemark.llm.batches import texts_in_chunks
+from tidemark.llm.batches import texts_in_chunks, with_fields
 from tidemark.llm.samples import drawn, fold, texts_of
 
 ORDER = 3
@@ -171,7 +172,7 @@ def identify(docs: DataFrame, model: Languages, text: str = "text", name: str =
             share = np.where(letters, share, 0.0)
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(share, pa.float64())], names=[*part.schema.names[:-1], name, score])
 
-    return marked.mapInArrow(answer, held.schema.add(name, "string").add(score, "double"))
+    return marked.mapInArrow(answer, with_fields(held, **{name: StringType(), score: DoubleType()}))
 
 
 def language(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5) -> DataFrame:

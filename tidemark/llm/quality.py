@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from tidemark.llm.batches import texts_in_chunks
+from tidemark.llm.batches import texts_in_chunks, with_fields
 from tidemark.llm.bpe import distinct_slices
 from tidemark.llm.samples import drawn, fold, texts_of
 from tidemark.llm.words import adam, joined, runs, word_slices
@@ -154,7 +155,7 @@ def score_quality(docs: DataFrame, model: Quality, text: str = "text", name: str
         for part, texts in texts_in_chunks(batches, text):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(texts), pa.float64())], names=[*part.schema.names, name])
 
-    return held.mapInArrow(score, held.schema.add(name, "double"))
+    return held.mapInArrow(score, with_fields(held, **{name: DoubleType()}))
 
 
 def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 3) -> DataFrame:
