@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -34,8 +35,10 @@ from tidemark.llm.suffixes import same_start
 LENGTH = 50
 GRAM = 16
 #: Bytes of text of a group, about.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 SLICE_BYTES = 2 << 20
+#: Bytes of text whose buckets are joined before they move.
+BATCH_BYTES = 16 << 20
 #: Suffixes of a stretch at most.
 STRETCH = 64
 #: A null key: larger than others.
@@ -49,12 +52,18 @@ NAMES = ["shard", "chunk", *"abcdef"]
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
     """Rows of shard, chunk and arrays."""
     columns = list(zip(*((*r, *[None] * (8 - len(r))) for r in rows))) or [[]] * 8
-    blob = lambda column: pa.array([None if x is None else np.ascontiguousarray(x).tobytes() for x in column], pa.binary())
+    pack = zstandard.ZstdCompressor(level=1).compress
+    blob = lambda column: pa.array([None if x is None else pack(np.ascontiguousarray(x).tobytes()) for x in column], pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *map(blob, columns[2:])], names=NAMES)
 
 
+def _arrays(table: pa.Table, name: str) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(x) for x in table[name].to_pylist() if x is not None]
+
+
 def _joined(table: pa.Table, name: str, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in table[name].to_pylist() if x), kind)
+    return np.frombuffer(b"".join(_arrays(table, name)), kind)
 
 
 def _split(owner: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
@@ -66,8 +75,13 @@ def _split(owner: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
         yield (k, *(x[order[a:b]] for x in arrays))
 
 
-def shard_of(bucket: np.ndarray, shards: int) -> np.ndarray:
-    return (mixed(bucket) % np.uint64(shards)).astype(np.int64)
+def numbered(bucket: np.ndarray, shards: int) -> np.ndarray:
+    """A bucket's shard, and 32 bits of its hash: two buckets of one number are only sorted together."""
+    return (mixed(bucket) % np.uint64(shards)) << np.uint64(32) | bucket & np.uint64(0xFFFFFFFF)
+
+
+def shard_of(number: np.ndarray) -> np.ndarray:
+    return (number >> np.uint64(32)).astype(np.int64)
 
 
 def stretches(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -140,7 +154,7 @@ def _postings(shards: int, length: int) -> Callable:
         asked = np.concatenate([head[shared], pair])
         to = np.concatenate([np.full(int(shared.sum()), NOWHERE), chunk[pair].astype(np.uint32)])
         found = bucket[asked], least[which[asked]], (most - least)[which[asked]], to
-        return _packed(rows + [(s, -1, *arrays) for s, *arrays in _split(shard_of(found[0], shards), *found)])
+        return _packed(rows + [(s, -1, b.astype(np.uint32), *more) for s, b, *more in _split(shard_of(found[0]), *found)])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -148,9 +162,9 @@ def _postings(shards: int, length: int) -> Callable:
             key, chunk = batch["key"].to_numpy(), batch["chunk"].to_numpy()
             for begin, texts in _slices(_raw(batch["text"])):
                 text_of, _, _, bucket = stretches(texts, length)
-                held.append((bucket, key[begin + text_of], chunk[begin + text_of]))
+                held.append((numbered(bucket, shards), key[begin + text_of], chunk[begin + text_of]))
                 size += sum(map(len, texts))
-                if size >= GROUP_BYTES:
+                if size >= BATCH_BYTES:
                     yield flush(*map(np.concatenate, zip(*held)))
                     held, size = [], 0
         if held and sum(len(h[0]) for h in held):
@@ -161,18 +175,19 @@ def _postings(shards: int, length: int) -> Callable:
 
 def _shared(table: pa.Table) -> pa.Table:
     """(chunk, a): of a shard, the buckets of each chunk that two keys share."""
-    asks = table["chunk"].to_numpy() < 0
+    asks, shard = table["chunk"].to_numpy() < 0, table["shard"][0].as_py()
     passed = table.filter(pa.array(~asks)).select(["chunk", "a"])
     table = table.filter(pa.array(asks))
-    bucket, least, more, to = (_joined(table, c, k) for c, k in zip("abcd", ("<u8", "<i8", "<i8", "<u4")))
-    order = np.argsort(bucket)
+    bucket, least, more, to = (_joined(table, c, k) for c, k in zip("abcd", ("<u4", "<i8", "<i8", "<u4")))
+    order = np.argsort(bucket, kind="stable")
     bucket, least, most, to = bucket[order], least[order], (least + more)[order], to[order]
     rows = []
     if len(bucket):
         head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         shared = np.minimum.reduceat(least, head) < np.maximum.reduceat(most, head)
         told = np.repeat(shared, np.diff(np.append(head, len(bucket)))) & (to != NOWHERE)
-        rows = [(-1, c, np.unique(mine)) for c, mine in _split(to[told].astype(np.int64), bucket[told])]
+        full = bucket[told] | np.uint64(shard << 32)
+        rows = [(-1, c, np.unique(mine)) for c, mine in _split(to[told].astype(np.int64), full)]
     return pa.concat_tables([passed, pa.Table.from_batches([_packed(rows)]).select(["chunk", "a"])])
 
 
@@ -229,6 +244,7 @@ def _stretch_rows(shards: int, length: int) -> Callable:
         found, blobs, base = [], [], 0
         for begin, texts in _slices(own.texts(docs)):
             text_of, first, count, bucket = stretches(texts, length)
+            bucket = numbered(bucket, shards)
             at = np.minimum(np.searchsorted(shared, bucket), len(shared) - 1)
             use = np.flatnonzero(shared[at] == bucket)
             size = np.array([len(t) for t in texts])
@@ -244,7 +260,7 @@ def _stretch_rows(shards: int, length: int) -> Callable:
         rows = [(chunk % shards, chunk, doc[later].astype(np.uint32), first[later].astype(np.uint32), (first + count + length - 1)[later].astype(np.uint32))] if later.any() else []
         held = np.flatnonzero(~later)
         blob = np.frombuffer(raw, np.uint8)
-        for s, i in _split(shard_of(bucket[held], shards), held):
+        for s, i in _split(shard_of(bucket[held]), held):
             rows.append((s, chunk, None, doc[i].astype(np.uint32), first[i].astype(np.uint32), count[i].astype(np.uint8), key[i], ragged(blob, start[i], count[i] + length - 1)[0]))
         return pa.Table.from_batches([_packed(rows)])
 
@@ -259,11 +275,11 @@ def _spans(length: int) -> Callable:
         passed = table.filter(pa.array(~mine)).select(["chunk", "a", "b", "c"])
         table = table.filter(pa.array(mine))
         doc, first, count, key = (_joined(table, c, k) for c, k in zip("bcde", ("<u4", "<u4", "u1", "<i8")))
-        raw = b"".join(table["f"].to_pylist())
+        raw = b"".join(_arrays(table, "f"))
         count = count.astype(np.int64)
         size = count + length - 1
         start = np.cumsum(size) - size
-        chunk = np.repeat(table["chunk"].to_numpy(), [len(x) for x in table["d"].to_pylist()])
+        chunk = np.repeat(table["chunk"].to_numpy(), [len(x) for x in _arrays(table, "d")])
         number = collapsed(raw, start, size)
         least = _least(number, key)
         later = key > least
