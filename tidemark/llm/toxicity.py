@@ -22,17 +22,20 @@ from tidemark.llm.batches import texts_in_chunks, with_fields
 from tidemark.llm.samples import drawn, fold, texts_of
 from tidemark.llm.words import adam, numbered_words, runs, subwords
 
-RUN = 16
+#: Words of a run; with more, one word in a long text drowns in the noise of its neighbours.
+RUN = 1
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 17
 DIM = 8
-#: Of the softmax: one word in a run of others has to be enough.
+#: Of the softmax: one word has to be enough.
 SCALE = 32
 #: Labelled texts of each label that the model is fitted on, at most.
 MAX_PER_LABEL = 600
 #: Buckets that fewer texts of the sample have are left at zero: they can only name single texts.
 MIN_TEXTS = 5
-STEPS = 40
+STEPS = 12
+#: Of the log odds in the embeddings before the first step.
+START = 0.5
 RATE = 0.05
 
 
@@ -63,8 +66,9 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(self.margins(texts), -500, 500)))
 
 
-def _common(bucket: np.ndarray, owner: np.ndarray, number: np.ndarray, text_of: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets that ``MIN_TEXTS`` texts or more have, and the place of each entry among them, or -1."""
+def _common(bucket: np.ndarray, owner: np.ndarray, number: np.ndarray, text_of: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets that ``MIN_TEXTS`` texts or more have, the place of each entry among them, or -1, and the log odds of each, with which training starts."""
+    n_texts = len(label)
     count = np.bincount(owner, minlength=number.max() + 1)
     start = np.cumsum(count) - count
     pairs = np.unique(text_of * np.int64(len(count)) + number)  # a text and a word of it
@@ -72,10 +76,12 @@ def _common(bucket: np.ndarray, owner: np.ndarray, number: np.ndarray, text_of:
     size = count[words]
     entry = np.repeat(start[words] - (np.cumsum(size) - size), size) + np.arange(size.sum())
     both = np.unique(bucket[entry] * np.int64(n_texts) + np.repeat(texts, size))
-    used = np.flatnonzero(np.bincount(both // n_texts, minlength=BUCKETS) >= MIN_TEXTS)
+    by_label = np.stack([np.bincount((both // n_texts)[label[both % n_texts] == y], minlength=BUCKETS) for y in (0, 1)])
+    used = np.flatnonzero(by_label.sum(0) >= MIN_TEXTS)
+    share = (by_label[:, used] + 1) / (np.bincount(label, minlength=2)[:, None] + 2)
     place = np.full(BUCKETS, -1, np.int64)
     place[used] = np.arange(len(used))
-    return used, place[bucket]
+    return used, place[bucket], np.log(share[1] / share[0])
 
 
 def fit(rows: list[tuple[str, int]], steps: int = STEPS, rate: float = RATE, seed: int = 7) -> Toxicity:
@@ -88,7 +94,7 @@ def fit(rows: list[tuple[str, int]], steps: int = STEPS, rate: float = RATE, see
     heads, run_text = runs(text_of, len(rows), RUN)
     run_size = np.diff(np.append(heads, len(number)))
     owner = np.repeat(np.arange(len(words)), count)
-    used, bucket = _common(bucket, owner, number, text_of, len(rows))
+    used, bucket, odds = _common(bucket, owner, number, text_of, label)
     owner, bucket = owner[bucket >= 0], bucket[bucket >= 0]
     count = np.maximum(count, 1).astype(np.float32)
     run_of = np.repeat(np.arange(len(heads)), run_size)
@@ -100,6 +106,7 @@ def fit(rows: list[tuple[str, int]], steps: int = STEPS, rate: float = RATE, see
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (DIM, len(used))).astype(np.float32)
     soft = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
+    emb[0], soft[0] = START * odds, (-0.5, 0.5)
     bias = np.zeros(2, np.float32)
     summed = lambda at, values, n: np.stack([np.bincount(at, v, n) for v in values]).astype(np.float32)
 
