@@ -14,10 +14,14 @@ def fold(key: Column, n: int) -> Column:
 def drawn(labels: DataFrame, key: str, label: str, most: int) -> DataFrame:
     """(key, label): at most ``most`` rows of each label, by the hash of the key.
 
-    Only keys and labels move; the limit is applied within each partition first.
+    Only keys and labels move.  Of a label with many rows those whose hash is in
+    a share of its range are ranked, four times ``most`` rows or so.
     """
-    first = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    return labels.select(key, label).dropna().dropDuplicates([key]).withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= most).drop("_place")
+    rows = labels.select(key, label).dropna().dropDuplicates([key]).withColumn("_hash", F.xxhash64(key))
+    share = rows.groupBy(F.col(label).alias("_of")).agg((F.lit(4.0 * most) / F.count(F.lit(1))).alias("_share"))
+    near = rows.join(F.broadcast(share), F.col(label) == F.col("_of")).filter(F.pmod("_hash", F.lit(1 << 20)) < F.col("_share") * (1 << 20))
+    first = Window.partitionBy(label).orderBy("_hash", key)
+    return near.withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= most).select(key, label)
 
 
 def texts_of(docs: DataFrame, sample: DataFrame, key: str, text: str, label: str) -> list[tuple[str, object]]:
