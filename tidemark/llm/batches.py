@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,6 +14,15 @@ from pyspark.sql.types import DataType, StructField, StructType
 CHUNK_BYTES = 3 << 20
 
 
+def release_memory() -> None:
+    """Give what has been freed back to the system: workers stay on between stages, and share their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
+
+
 def texts_in_chunks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of about ``size`` bytes of text (one row at least) and their texts, null as empty."""
     for batch in batches:
@@ -25,6 +35,7 @@ def texts_in_chunks(batches: Iterable[pa.RecordBatch], text: str = "text", size:
             part = batch.slice(at, to - at)
             yield part, [t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]
             at = to
+        release_memory()
 
 
 def with_fields(table: DataFrame, **kinds: DataType) -> StructType:

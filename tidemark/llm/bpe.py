@@ -120,7 +120,7 @@ def token_starts(symbol: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Merges and tokens. ``pairs``: (left id, right id) to (rank, id)."""
 
-    def __init__(self, tokens: list[bytes], pairs: dict[tuple[int, int], tuple[int, int]], special: dict[str, int], cache_size: int = 600_000):
+    def __init__(self, tokens: list[bytes], pairs: dict[tuple[int, int], tuple[int, int]], special: dict[str, int], cache_size: int = 200_000):
         self.tokens, self.special, self.cache_size = tokens, special, cache_size
         self.byte_ids = np.array([tokens.index(bytes([b])) for b in range(256)], np.uint32)
         self.pairs = pairs

@@ -30,6 +30,8 @@ from tidemark.llm.shingles import LONGS, SizeClasses, segment_keys, shingle_sets
 NODE = 256
 #: A component with more leaves in a tree has nodes of its own.
 OWN = 32
+#: Leaves that a task searches at a time, and pairs that it compares at a time.
+GROUP_ROWS, PAIRS = 20_000, 50_000
 #: Rows of a few longs that may be broadcast: some ten MB. More are joined by a shuffle.
 BROADCAST_ROWS = 300_000
 
@@ -109,28 +111,46 @@ def node_pairs(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def leaf_pairs(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the leaves of the pairs of nodes that may link and are of two components."""
+    """(a, b): the leaves of the pairs of nodes that may link and are of two components.
+
+    A task takes many pairs of nodes at a time, about ``GROUP_ROWS`` leaves.
+    """
 
     def search(table: pa.Table) -> pa.Table:
-        node, n, component, leaf = (table[c].to_numpy() for c in ("node", "n", "component", "leaf"))
-        x, y = table["x"][0].as_py(), table["y"][0].as_py()
-        bits = table["signature"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LONGS)
-        spare = n - np.bitwise_count(bits).sum(1).astype(np.int64)
-        left, right = np.flatnonzero(leaf == x), np.flatnonzero(leaf == y)
-        found = []
-        for i in range(0, len(left), 64):
-            l = left[i : i + 64, None]
-            overlap = np.bitwise_count(bits[l] & bits[right]).sum(2).astype(np.int64) + np.minimum(spare[l], spare[right])
-            ok = ((100 + percent) * overlap >= needed(n[l], n[right], percent)) & (component[l] != component[right])
-            ok &= (node[l] < node[right]) if x == y else True
-            p, q = np.nonzero(ok)
-            found.append(np.stack([node[l[p, 0]], node[right[q]]], 1))
+        at = {c: table[c].to_numpy() for c in ("seg", "x", "y", "leaf", "node", "n", "component")}
+        right = (at["leaf"] != at["x"]).astype(np.int8)
+        order = np.lexsort((right, at["y"], at["x"], at["seg"]))
+        at = {c: v[order] for c, v in at.items()}
+        bits = table["signature"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LONGS)[order]
+        n, spare = at["n"], at["n"] - np.bitwise_count(bits).sum(1).astype(np.int64)
+        new = np.append(True, np.any([at[c][1:] != at[c][:-1] for c in ("seg", "x", "y")], axis=0))
+        head = np.flatnonzero(new)
+        end = np.append(head[1:], len(n))[np.cumsum(new) - 1]
+        lefts = np.add.reduceat(1 - right[order].astype(np.int64), head)
+        border = (head + lefts)[np.cumsum(new) - 1]
+        row = np.arange(len(n))
+        begin = np.where(at["x"] == at["y"], row + 1, border)  # of each left leaf's partners
+        count = np.where(right[order] == 0, end - begin, 0)
+        total = np.cumsum(count)
+        found, i = [], 0
+        while i < len(n):
+            upto = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS, "right")))
+            c = count[i:upto]
+            p = np.repeat(row[i:upto], c)
+            q = np.repeat(begin[i:upto] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+            other = at["component"][p] != at["component"][q]
+            p, q = p[other], q[other]
+            overlap = np.bitwise_count(bits[p] & bits[q]).sum(1).astype(np.int64) + np.minimum(spare[p], spare[q])
+            ok = (100 + percent) * overlap >= needed(n[p], n[q], percent)
+            found.append(np.stack([at["node"][p[ok]], at["node"][q[ok]]], 1))
+            i = upto
         out = np.concatenate(found)
         return pa.table({"a": out.min(1), "b": out.max(1)})
 
     held = rows.select("seg", "leaf", "node", "n", "component", "signature")
-    ends = pairs.withColumn("leaf", F.explode(F.array_distinct(F.array("x", "y"))))
-    return held.join(ends, ["seg", "leaf"]).groupBy("seg", "x", "y").applyInArrow(search, "a bigint, b bigint").distinct()
+    parts = max(1, -(-held.count() // GROUP_ROWS))
+    ends = pairs.withColumn("part", F.pmod(F.xxhash64("seg", "x", "y"), F.lit(parts))).withColumn("leaf", F.explode(F.array_distinct(F.array("x", "y"))))
+    return held.join(ends, ["seg", "leaf"]).groupBy("part").applyInArrow(search, "a bigint, b bigint").distinct()
 
 
 def searched(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tidemark.llm.batches import texts_in_chunks, with_fields
+from tidemark.llm.batches import release_memory, texts_in_chunks, with_fields
 from tidemark.llm.bpe import distinct_slices
 from tidemark.llm.samples import drawn, fold, texts_of
 from tidemark.llm.words import adam, joined, runs, word_slices
@@ -139,7 +139,9 @@ def fit(rows: list[tuple[str, int]], steps: int = STEPS, rate: float = RATE, see
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = MAX_PER_LABEL) -> Quality:
     """Fit on at most ``most`` texts of each label, drawn by the hash of the key; null keys and labels teach nothing."""
-    return fit(texts_of(docs, drawn(labels.filter(F.col(label).isin(0, 1)), key, label, most), key, text, label))
+    model = fit(texts_of(docs, drawn(labels.filter(F.col(label).isin(0, 1)), key, label, most), key, text, label))
+    release_memory()
+    return model
 
 
 def score_quality(docs: DataFrame, model: Quality, text: str = "text", name: str = "quality") -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tidemark.llm.batches import release_memory
 from tidemark.llm.bpe import ragged
 from tidemark.llm.scratch import written
 from tidemark.llm.shingles import mixed
@@ -169,6 +170,7 @@ def _postings(shards: int, length: int) -> Callable:
                     held, size = [], 0
         if held and sum(len(h[0]) for h in held):
             yield flush(*map(np.concatenate, zip(*held)))
+        release_memory()
 
     return post
 
@@ -355,6 +357,23 @@ def _cut(names: list[str], schema: pa.Schema, as_text: bool) -> Callable:
     return cut
 
 
+def _releasing(make: Callable) -> Callable:
+    """``make``, before which memory that was freed goes back; for one table or two."""
+    if make.__code__.co_argcount == 2:
+
+        def two(left: pa.Table, right: pa.Table) -> pa.Table:
+            release_memory()
+            return make(left, right)
+
+        return two
+
+    def one(table: pa.Table) -> pa.Table:
+        release_memory()
+        return make(table)
+
+    return one
+
+
 def _step(table: DataFrame, name: str) -> DataFrame:
     """``table`` written; then the shuffle files of the steps before are free to go."""
     out = written(table, name)
@@ -383,14 +402,14 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     chunk = F.pmod(F.xxhash64(number, tag), F.lit(groups)).cast("int")
     plain = docs.select(chunk.alias("chunk"), number.alias("key"), tag.alias("tag"), F.col(text).alias("text"))
     posted = plain.select("chunk", "key", "text").mapInArrow(_postings(groups, length), PACKED)
-    told = _step(posted.groupBy("shard").applyInArrow(_shared, "chunk int, a binary"), "shared")
-    sent = plain.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_stretch_rows(groups, length), PACKED)
-    spans = _step(sent.groupBy("shard").applyInArrow(_spans(length), "chunk int, a binary, b binary, c binary"), "spans")
+    told = _step(posted.groupBy("shard").applyInArrow(_releasing(_shared), "chunk int, a binary"), "shared")
+    sent = plain.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_releasing(_stretch_rows(groups, length)), PACKED)
+    spans = _step(sent.groupBy("shard").applyInArrow(_releasing(_spans(length)), "chunk int, a binary, b binary, c binary"), "spans")
     names = [f"_{i}" for i in range(len(columns))]
     kept_names = ["text" if c == text else n for c, n in zip(columns, names)]
     rest = [F.col(c).alias(n) for c, n in zip(columns, names) if c != text]
     result = docs.select(chunk.alias("chunk"), number.alias("key"), tag.alias("tag"), F.col(text).alias("text"), *rest)
     schema = result.select(*kept_names).schema.add("kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
-    out = result.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(_cut(kept_names, to_arrow_schema(schema), as_text), schema)
+    out = result.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(_releasing(_cut(kept_names, to_arrow_schema(schema), as_text)), schema)
     back = [F.col(n).alias(c) for c, n in zip(columns, kept_names)]
     return out.select(*back, F.struct("kept", "n_bytes", "n_removed", "n_spans").alias("suffix_dedup"))
