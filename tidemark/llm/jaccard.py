@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.batches import texts_in_chunks
 from tidemark.llm.components import connected
-from tidemark.llm.scratch import written
+from tidemark.llm.scratch import discard, tables, written
 from tidemark.llm.shingles import LONGS, SizeClasses, segment_keys, shingle_sets, signatures
 
 #: Leaves of a node of the tree's lowest level, about.
@@ -181,26 +181,30 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     classes = SizeClasses.of(percent)
     plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    signed = written(keyed_sets(plain, size, classes).withColumn("row", F.monotonically_increasing_id()), "signed")
-    some = signed.filter("n > 0")
+    since = tables()
+    keyed = written(keyed_sets(plain, size, classes).withColumn("row", F.monotonically_increasing_id()), "keyed", free=True)
+    signed = written(keyed.drop("keys"), "signed")
+    some = keyed.filter("n > 0")
     sets = written(some.groupBy("set_id").agg(F.min("row").alias("node"), F.min("key").alias("low"), F.count(F.lit(1)).alias("copies")), "sets")
     copied = _bounded(sets.filter("copies > 1").select("set_id", "node"))
     first = some.join(copied, "set_id", "left").filter(F.col("node").isNull() | (F.col("node") == F.col("row")))
     keys = first.select(F.explode("keys").alias("seg"), F.col("row").alias("node"))
-    trees = written(keys.groupBy("seg").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("held")).filter("lo < hi"), "trees")
+    trees = written(keys.groupBy("seg").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("held")).filter("lo < hi"), "trees", free=True)
     large = keys.join(_bounded(trees.filter("held > 2").select("seg", "lo")), "seg").select("seg", "lo", "node")
     pairs = trees.filter("held = 2").select("seg", "lo", F.explode(F.array("lo", "hi")).alias("node"))
-    members = written(large.unionByName(pairs), "members")
+    members = written(large.unionByName(pairs), "members", free=True)
+    discard(docs.sparkSession, since, ("signed", "sets", "members"))
     wanted = members.select("node").distinct().join(signed.select(F.col("row").alias("node"), "key", "set_id"), "node")
     wanted = _bounded(written(wanted, "wanted"))
-    full = written(leaves(plain.join(wanted, plain["key"].eqNullSafe(wanted["key"])).select("node", "set_id", "text"), size), "leaves")
+    full = written(leaves(plain.join(wanted, plain["key"].eqNullSafe(wanted["key"])).select("node", "set_id", "text"), size), "leaves", free=True)
     hubs = members.filter("node > lo").groupBy("node", "lo").agg(F.count(F.lit(1)).alias("shared")).groupBy("node").agg(F.max_by("lo", F.struct("shared", -F.col("lo"))).alias("b"))
     star = written(verified(hubs.select(F.col("node").alias("a"), "b"), full, percent), "star")
     labels = connected(star)
     rest = written(searched(members, labels, full, percent), "rest")
     labels = connected(star.unionByName(rest))
     lows = labels.join(sets.select("node", "low"), "node").select("node", "label", "low")
-    lowest = written(lows.join(lows.groupBy("label").agg(F.min("low").alias("component")), "label").select("node", "component"), "lowest")
+    lowest = written(lows.join(lows.groupBy("label").agg(F.min("low").alias("component")), "label").select("node", "component"), "lowest", free=True)
+    discard(docs.sparkSession, since, ("signed", "sets", "lowest"))
     found = sets.join(lowest, "node", "left").select("set_id", F.coalesce("component", "low").alias("component"))
     out = signed.select("key", "n", "set_id").join(found, "set_id", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
@@ -208,6 +212,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without those that :func:`jaccard_components` links to a smaller key; rows of one key stay or go together."""
+    since = tables()
     found = jaccard_components(docs, key, text, size, percent)
-    later = written(found.filter(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_later")).distinct(), "later")
+    later = written(found.filter(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_later")).distinct(), "later", free=True)
+    discard(docs.sparkSession, since, ("later",))
     return docs.join(later, docs[key].eqNullSafe(later["_later"]), "left_anti")

@@ -16,7 +16,6 @@ of groups, with packed arrays.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.llm.batches import release_memory
 from tidemark.llm.bpe import ragged
-from tidemark.llm.scratch import written
+from tidemark.llm.scratch import discard, tables, written
 from tidemark.llm.shingles import mixed
 from tidemark.llm.suffixes import same_start
 
@@ -374,15 +373,6 @@ def _releasing(make: Callable) -> Callable:
     return one
 
 
-def _step(table: DataFrame, name: str) -> DataFrame:
-    """``table`` written; then the shuffle files of the steps before are free to go."""
-    out = written(table, name)
-    del table
-    gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, as_text: bool = False) -> DataFrame:
     """``docs`` and a struct column ``suffix_dedup``: kept (bytes), n_bytes, n_removed, n_spans.
 
@@ -402,9 +392,11 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     chunk = F.pmod(F.xxhash64(number, tag), F.lit(groups)).cast("int")
     plain = docs.select(chunk.alias("chunk"), number.alias("key"), tag.alias("tag"), F.col(text).alias("text"))
     posted = plain.select("chunk", "key", "text").mapInArrow(_postings(groups, length), PACKED)
-    told = _step(posted.groupBy("shard").applyInArrow(_releasing(_shared), "chunk int, a binary"), "shared")
+    since = tables()
+    told = written(posted.groupBy("shard").applyInArrow(_releasing(_shared), "chunk int, a binary"), "shared", free=True)
     sent = plain.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_releasing(_stretch_rows(groups, length)), PACKED)
-    spans = _step(sent.groupBy("shard").applyInArrow(_releasing(_spans(length)), "chunk int, a binary, b binary, c binary"), "spans")
+    spans = written(sent.groupBy("shard").applyInArrow(_releasing(_spans(length)), "chunk int, a binary, b binary, c binary"), "spans", free=True)
+    discard(docs.sparkSession, since, ("spans",))
     names = [f"_{i}" for i in range(len(columns))]
     kept_names = ["text" if c == text else n for c, n in zip(columns, names)]
     rest = [F.col(c).alias(n) for c, n in zip(columns, names) if c != text]

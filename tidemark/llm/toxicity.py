@@ -30,7 +30,7 @@ DIM = 8
 #: Of the softmax: one word has to be enough.
 SCALE = 32
 #: Labelled texts of each label that the model is fitted on, at most.
-MAX_PER_LABEL = 600
+MAX_PER_LABEL = 500
 #: Buckets that fewer texts of the sample have are left at zero: they can only name single texts.
 MIN_TEXTS = 5
 STEPS = 12
