@@ -37,6 +37,8 @@ STEPS = 12
 #: Of the log odds in the embeddings before the first step.
 START = 0.5
 RATE = 0.05
+#: Words of whole texts that training takes at a time; the sum over them is the full batch.
+AT_ONCE = 50_000
 
 
 @dataclass
@@ -66,41 +68,55 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(self.margins(texts), -500, 500)))
 
 
-def _common(bucket: np.ndarray, owner: np.ndarray, number: np.ndarray, text_of: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _common(bucket: np.ndarray, count: np.ndarray, number: np.ndarray, text_of: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The buckets that ``MIN_TEXTS`` texts or more have, the place of each entry among them, or -1, and the log odds of each, with which training starts."""
-    n_texts = len(label)
-    count = np.bincount(owner, minlength=number.max() + 1)
     start = np.cumsum(count) - count
-    pairs = np.unique(text_of * np.int64(len(count)) + number)  # a text and a word of it
-    texts, words = pairs // len(count), pairs % len(count)
-    size = count[words]
-    entry = np.repeat(start[words] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    both = np.unique(bucket[entry] * np.int64(n_texts) + np.repeat(texts, size))
-    by_label = np.stack([np.bincount((both // n_texts)[label[both % n_texts] == y], minlength=BUCKETS) for y in (0, 1)])
+    by_label = np.zeros((2, BUCKETS), np.int64)
+    for i, j in _spans(np.searchsorted(text_of, np.arange(len(label) + 1))):
+        of = text_of[i:j] - text_of[i] if j > i else text_of[i:j]
+        pairs = np.unique(of * np.int64(len(count)) + number[i:j])  # a text and a word of it
+        texts, words = pairs // len(count), pairs % len(count)
+        size = count[words]
+        entry = np.repeat(start[words] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        both = np.unique(np.repeat(texts, size) * BUCKETS + bucket[entry])
+        toxic = label[both // BUCKETS + (text_of[i] if j > i else 0)]
+        for y in (0, 1):
+            by_label[y] += np.bincount(both[toxic == y] % BUCKETS, minlength=BUCKETS)
     used = np.flatnonzero(by_label.sum(0) >= MIN_TEXTS)
     share = (by_label[:, used] + 1) / (np.bincount(label, minlength=2)[:, None] + 2)
-    place = np.full(BUCKETS, -1, np.int64)
-    place[used] = np.arange(len(used))
+    place = np.full(BUCKETS, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
     return used, place[bucket], np.log(share[1] / share[0])
 
 
+def _spans(bounds: np.ndarray) -> list[tuple[int, int]]:
+    """From ``bounds[0]`` to the last bound in steps of about ``AT_ONCE`` that end at a bound."""
+    out, at = [], 0
+    while at < len(bounds) - 1:
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + AT_ONCE, "right")) - 1)
+        out.append((int(bounds[at]), int(bounds[to])))
+        at = to
+    return out
+
+
 def fit(rows: list[tuple[str, int]], steps: int = STEPS, rate: float = RATE, seed: int = 7) -> Toxicity:
-    """Train embeddings and softmax on texts and labels 0 and 1, both classes of equal weight; one class alone scores everything 0."""
+    """Train embeddings and softmax on texts and labels 0 and 1, both classes of equal weight; one class alone, or texts without words, score everything low."""
     label = np.array([int(y) for _, y in rows], np.int64)
     if len(set(label.tolist())) < 2:
         return Toxicity(np.zeros(BUCKETS, np.float32), -1.0)
     text_of, number, words = numbered_words([t for t, _ in rows])
+    if not words:
+        return Toxicity(np.zeros(BUCKETS, np.float32), -1.0)
     bucket, count = subwords(words, SIZES, BUCKETS)
     heads, run_text = runs(text_of, len(rows), RUN)
     run_size = np.diff(np.append(heads, len(number)))
-    owner = np.repeat(np.arange(len(words)), count)
-    used, bucket, odds = _common(bucket, owner, number, text_of, label)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), count)
+    used, bucket, odds = _common(bucket, count, number, text_of, label)
     owner, bucket = owner[bucket >= 0], bucket[bucket >= 0]
     count = np.maximum(count, 1).astype(np.float32)
-    run_of = np.repeat(np.arange(len(heads)), run_size)
     text_head = np.flatnonzero(np.append(True, run_text[1:] != run_text[:-1]))
     texts = run_text[text_head]
-    runs_in = np.diff(np.append(text_head, len(run_text)))
+    runs_of_text = np.diff(np.append(text_head, len(run_text)))
     weight = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean()))[texts] / len(texts)
     target = label[texts].astype(np.float32)
     rng = np.random.default_rng(seed)
@@ -108,30 +124,40 @@ def fit(rows: list[tuple[str, int]], steps: int = STEPS, rate: float = RATE, see
     soft = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     emb[0], soft[0] = START * odds, (-0.5, 0.5)
     bias = np.zeros(2, np.float32)
-    summed = lambda at, values, n: np.stack([np.bincount(at, v, n) for v in values]).astype(np.float32)
+    summed = lambda at, rows, n: np.stack([np.bincount(at, v, n).astype(np.float32) for v in rows])
+    spans = _spans(np.append(text_head, len(run_text)))
 
     def gradients() -> list[np.ndarray]:
-        word = summed(owner, emb[:, bucket], len(words)) / count
-        run = summed(run_of, word[:, number], len(heads)) / run_size
-        z = SCALE * (soft.T @ run) + bias[:, None]
-        margin = z[1] - z[0]
-        top = np.repeat(np.maximum.reduceat(margin, text_head), runs_in)
-        e = np.exp(margin - top)
-        share = e / np.repeat(np.add.reduceat(e, text_head), runs_in)  # the gradient of the soft maximum
-        pooled = top[text_head] + np.log(np.add.reduceat(e, text_head) / runs_in)
-        d_text = weight * (1 / (1 + np.exp(-np.clip(pooled, -60, 60))) - target)
-        d_margin = (np.repeat(d_text, runs_in) * share).astype(np.float32)
-        d_z = np.stack([-d_margin, d_margin])
-        d_run = SCALE * (soft @ d_z) / run_size
-        d_word = summed(number, d_run[:, run_of], len(words)) / count
-        return [summed(bucket, d_word[:, owner], len(used)) + 1e-7 * emb, SCALE * (run @ d_z.T) + 1e-5 * soft, d_z.sum(1)]
+        word = summed(owner, (e[bucket] for e in emb), len(words)) / count
+        d_word, d_soft, d_bias = np.zeros_like(word), np.zeros_like(soft), np.zeros_like(bias)
+        for i, j in spans:  # runs i to j
+            here, size = slice(*np.searchsorted(text_head, (i, j))), run_size[i:j]
+            inside = number[heads[i] : heads[i] + size.sum()]
+            run_of = np.repeat(np.arange(j - i), size)
+            head, runs_in = text_head[here] - i, runs_of_text[here]
+            run = summed(run_of, (w[inside] for w in word), j - i) / size
+            z = SCALE * (soft.T @ run) + bias[:, None]
+            margin = z[1] - z[0]
+            top = np.repeat(np.maximum.reduceat(margin, head), runs_in)
+            e = np.exp(margin - top)
+            share = e / np.repeat(np.add.reduceat(e, head), runs_in)  # the gradient of the soft maximum
+            pooled = top[head] + np.log(np.add.reduceat(e, head) / runs_in)
+            d_text = weight[here] * (1 / (1 + np.exp(-np.clip(pooled, -60, 60))) - target[here])
+            d_margin = (np.repeat(d_text, runs_in) * share).astype(np.float32)
+            d_z = np.stack([-d_margin, d_margin])
+            d_run = SCALE * (soft @ d_z) / size
+            d_word += summed(inside, (d[run_of] for d in d_run), len(words))
+            d_soft += SCALE * (run @ d_z.T)
+            d_bias += d_z.sum(1)
+        d_word /= count
+        return [summed(bucket, (d[owner] for d in d_word), len(used)) + 1e-7 * emb, d_soft + 1e-5 * soft, d_bias]
 
     adam([emb, soft, bias], gradients, steps, rate)
     weights = np.zeros(BUCKETS, np.float32)
     weights[used] = SCALE * ((soft[:, 1] - soft[:, 0]) @ emb)
     model = Toxicity(weights, float(bias[1] - bias[0]))
     # the soft maximum that was trained is below the maximum that scores: put the border between the classes
-    margin = model.margins([t for t, _ in rows])
+    margin = np.concatenate([model.margins([t for t, _ in rows[i : i + 32]]) for i in range(0, len(rows), 32)])
     low, high = np.quantile(margin[label == 0], 0.995), np.quantile(margin[label == 1], 0.05)
     model.bias -= float(low + high) / 2
     return model

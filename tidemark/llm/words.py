@@ -32,8 +32,13 @@ def runs(text_of: np.ndarray, n_texts: int, size: int) -> tuple[np.ndarray, np.n
     return heads, text_of[heads]
 
 
-def subwords(words: list[bytes], sizes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def subwords(words: list[bytes], sizes: tuple[int, ...], buckets: int, at_once: int = 8192) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each n-gram of bytes of each word between marks, and of the whole; how many each word has."""
+    parts = [_subwords(words[i : i + at_once], sizes, buckets) for i in range(0, max(1, len(words)), at_once)]
+    return np.concatenate([bucket for bucket, _ in parts]), np.concatenate([count for _, count in parts])
+
+
+def _subwords(words: list[bytes], sizes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     wrapped = [b"<" + w + b">" for w in words]
     length = np.array([len(w) for w in wrapped], np.int64)
     raw = b"".join(wrapped)
@@ -47,7 +52,7 @@ def subwords(words: list[bytes], sizes: tuple[int, ...], buckets: int) -> tuple[
         found.append((view[start] & np.uint64((1 << (8 * n)) - 1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n))
         owner.append(word[start])
     hashes = np.concatenate(found) * np.uint64(0xC2B2AE3D27D4EB4F)
-    bucket = (hashes >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)
+    bucket = (hashes >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int32)
     owner = np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
     return bucket[order], np.bincount(owner, minlength=len(words))
