@@ -34,6 +34,9 @@ OWN = 32
 GROUP_ROWS, PAIRS = 20_000, 50_000
 #: Rows of a few longs that may be broadcast: some ten MB. More are joined by a shuffle.
 BROADCAST_ROWS = 300_000
+#: Rounds in which pairs are verified, each on its share of the range of hashes.
+PARTS = 4
+_SHARE = np.uint64((1 << 64) // PARTS)
 
 
 def _bounded(table: DataFrame) -> DataFrame:
@@ -62,17 +65,19 @@ def keyed_sets(docs: DataFrame, size: int, classes: SizeClasses) -> DataFrame:
 
 
 def leaves(docs: DataFrame, size: int) -> DataFrame:
-    """(node, n, elements, signature) of ``docs`` (node, set_id, text): rows whose text has another set are left out."""
+    """(node, n, signature, elements0 and so on) of ``docs`` (node, set_id, text): rows whose text has another set are left out."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in texts_in_chunks(batches):
             hashes, starts = shingle_sets(texts, size)
             grid = signatures(hashes, starts)
-            columns = [part["node"], pa.array(np.diff(starts), pa.int64()), _lists(hashes, starts), _lists(grid.ravel(), np.arange(len(texts) + 1) * LONGS)]
+            columns = [part["node"], pa.array(np.diff(starts), pa.int64()), _lists(grid.ravel(), np.arange(len(texts) + 1) * LONGS)]
+            columns += [_lists(hashes[share], np.append(0, np.cumsum(share))[starts]) for share in hashes // _SHARE == np.arange(PARTS, dtype=np.uint64)[:, None]]
             same = pa.compute.equal(part["set_id"], _set_ids(hashes, starts))
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "elements", "signature"]).filter(same)
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "signature", *elements]).filter(same)
 
-    return docs.mapInArrow(make, "node bigint, n bigint, elements array<bigint>, signature array<bigint>").dropDuplicates(["node"])
+    elements = [f"elements{i}" for i in range(PARTS)]
+    return docs.mapInArrow(make, f"node bigint, n bigint, signature array<bigint>, {', '.join(f'{e} array<bigint>' for e in elements)}").dropDuplicates(["node"])
 
 
 def needed(a: Column | np.ndarray, b: Column | np.ndarray, percent: int):
@@ -81,10 +86,27 @@ def needed(a: Column | np.ndarray, b: Column | np.ndarray, percent: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets link."""
-    side = lambda at: sets.select(F.col("node").alias(at), F.col("n").alias(f"n_{at}"), F.col("elements").alias(f"e_{at}"))
-    shared = F.size(F.array_intersect("e_a", "e_b"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter((100 + percent) * shared >= needed(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    """The pairs (a, b) of nodes whose sets link.
+
+    Overlaps are counted in rounds, a share of the hashes at a time, so no more
+    than that share is on its way; after each round the pairs go that can no
+    longer reach a link.  What is left after the last has its whole overlap.
+    Pairs are written between rounds, which lets the shuffle files before go.
+    """
+    pairs = written(pairs, "candidates", free=True)
+    left = {at: F.col(f"n_{at}") - F.col(f"seen_{at}") for at in "ab"}
+    may = (100 + percent) * (F.col("shared") + F.least(*left.values())) >= needed(F.col("n_a"), F.col("n_b"), percent)
+    start = {"shared": F.lit(0), "seen_a": F.lit(0), "seen_b": F.lit(0)}
+    for part in range(PARTS):
+
+        def side(at: str) -> DataFrame:
+            named = _bounded(pairs.select(F.col(at).alias("node")).distinct())
+            return sets.join(named, "node", "left_semi").select(F.col("node").alias(at), F.col("n").alias(f"n_{at}"), F.col(f"elements{part}").alias(f"e_{at}"))
+
+        both = pairs.withColumns(start if not part else {}).join(side("a"), "a").join(side("b"), "b")
+        met = both.withColumns({"shared": F.col("shared") + F.size(F.array_intersect("e_a", "e_b"))} | {f"seen_{at}": F.col(f"seen_{at}") + F.size(f"e_{at}") for at in "ab"})
+        pairs = written(met.filter(may).select("a", "b", *start), "reached", free=True)
+    return pairs.select("a", "b")
 
 
 def _tree_nodes(rows: DataFrame) -> DataFrame:
