@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.sequences import hash_number
+
 
 def aggregate_sequences(sequences: DataFrame, numerical: list[str], histogram: list[str] = []) -> DataFrame:
     """By vehicle: first, last, delta, slope, mean, std, min, max of numerical columns, mean and last of histogram columns, gaps.
@@ -47,3 +49,29 @@ def stratified_split(vehicles: DataFrame, seed: int = 42) -> DataFrame:
     ranked = vehicles.select("*", F.row_number().over(Window.partitionBy("event").orderBy(drawn, "vehicle_id")).alias("_r"), F.count(F.lit(1)).over(Window.partitionBy("event")).alias("_n"))
     split = F.when(F.col("_r") <= F.floor(F.col("_n") * 0.7), "train").when(F.col("_r") <= F.floor(F.col("_n") * 0.85), "val").otherwise("test")
     return ranked.withColumn("split", split).drop("_r", "_n")
+
+
+def correlations(table: DataFrame, features: list[str]) -> DataFrame:
+    """(first, second, corr): Pearson's of each pair of columns, in column order; null where a column is constant."""
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
+    held = table.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    rows = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])
+    return held.select(F.inline(rows))
+
+
+def highly_correlated(table: DataFrame, features: list[str], threshold: float = 0.9) -> list[str]:
+    """The features to drop: of each pair above ``threshold``, in column order, the one of smaller variance, the second on ties.
+
+    The driver sees one number a pair of columns and a column.
+    """
+    variance = table.agg(*[F.var_samp(c).alias(c) for c in features]).first().asDict()
+    gone: set[str] = set()
+    for a, b, corr in correlations(table, features).collect():
+        if corr is not None and abs(corr) > threshold and not {a, b} & gone:
+            gone.add(a if variance[a] < variance[b] else b)
+    return sorted(gone)
+
+
+def folds(vehicles: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
+    """``vehicles`` with fold, from 0 to ``k`` - 1, by a hash of seed and key."""
+    return vehicles.withColumn("fold", hash_number(seed, F.col("vehicle_id")) % k)

@@ -34,3 +34,31 @@ def concordance(table: DataFrame) -> DataFrame:
     weight = F.col("m") * F.col("n")
     found = pairs.agg(F.sum(weight).alias("comparable"), F.sum(F.when(F.col("r") > F.col("risk"), weight).otherwise(0)).alias("concordant"), F.sum(F.when(F.col("r") == F.col("risk"), weight).otherwise(0)).alias("tied"))
     return found.withColumn("c_index", (F.col("concordant") + F.col("tied") / 2) / F.col("comparable"))
+
+
+def _at_risk(table: DataFrame) -> DataFrame:
+    """(duration, events, hazard): by distinct duration, events and the sum of exp(risk) of all that last as long or longer."""
+    by_time = table.groupBy("duration").agg(F.sum("event").alias("events"), F.sum(F.exp("risk")).alias("_own"))
+    later = Window.orderBy(F.desc("duration")).rowsBetween(Window.unboundedPreceding, 0)
+    return by_time.select("duration", "events", F.sum("_own").over(later).alias("hazard"))
+
+
+def cox_loss(table: DataFrame) -> DataFrame:
+    """One row: events and the mean negative log partial likelihood over them; equal durations share a risk set; 0 without events."""
+    found = table.filter("event = 1").join(_at_risk(table), "duration")
+    return found.agg(F.count(F.lit(1)).alias("n_events"), F.coalesce(F.avg(F.log("hazard") - F.col("risk")), F.lit(0.0)).alias("loss"))
+
+
+def breslow_baseline(table: DataFrame) -> DataFrame:
+    """(time, cumulative_hazard) of the baseline at each distinct time with an event."""
+    so_far = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    steps = _at_risk(table).filter("events > 0").select(F.col("duration").alias("time"), (F.col("events") / F.col("hazard")).alias("_step"))
+    return steps.select("time", F.sum("_step").over(so_far).alias("cumulative_hazard"))
+
+
+def nearest_to_percentiles(table: DataFrame, value: str, shares: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
+    """(share, cut, vehicle_id): the row nearest to each percentile, the smaller id on ties."""
+    cuts = table.agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("_cuts")).select(F.posexplode("_cuts").alias("_at", "cut"))
+    cuts = cuts.select(F.get(F.array(*map(F.lit, shares)), F.col("_at")).alias("share"), "cut")
+    near = table.crossJoin(F.broadcast(cuts)).groupBy("share", "cut")  # a row for each share
+    return near.agg(F.min_by("vehicle_id", F.struct(F.abs(F.col(value) - F.col("cut")), "vehicle_id")).alias("vehicle_id"))

@@ -10,9 +10,11 @@ from tidemark.operators import features as A
 from tidemark.operators import quality as Q
 from tidemark.operators import sequences as B
 from tidemark.operators import survival as M
+from tidemark.operators import views as V
 from tidemark.sources.tables import order_readouts, order_vehicles, table
 
 PRICE = "1_0"
+LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def rounded(table: DataFrame, places: int = 5) -> DataFrame:
@@ -130,6 +132,43 @@ def m1_c_index(spark, d):
     return rounded(M.concordance(order_vehicles(spark, d).withColumn("risk", -risk)))
 
 
+def _risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_vehicles(spark, sf_dir).withColumn("risk", F.col("vehicle_id") % 13 / 10)
+
+
+def l5_cox_loss(spark, d):
+    return rounded(M.cox_loss(_risks(spark, d)))
+
+
+def m2_breslow_baseline(spark, d):
+    return rounded(M.breslow_baseline(_risks(spark, d)))
+
+
+def t4_nearest_to_percentiles(spark, d):
+    return M.nearest_to_percentiles(order_vehicles(spark, d), "duration")
+
+
+def f2_correlations(spark, d):
+    return rounded(A.correlations(table(spark, d, "lineitem"), LINE_FEATURES))
+
+
+def x3_folds(spark, d):
+    return A.folds(order_vehicles(spark, d)).select("vehicle_id", "fold")
+
+
+def g1_masked_views(spark, d):
+    return V.masked_views(_filled(spark, d), PRICE).select("vehicle_id", "rid", "view", F.col(PRICE).alias("masked"))
+
+
+def l2_consistency(spark, d):
+    view = F.col("embedding").cast("array<double>")
+    return rounded(table(spark, d, "embeddings").select("vec_id", (1 - V.cosine(view, F.reverse(view))).alias("distance")), 4)
+
+
+def n14_right_aligned(spark, d):
+    return V.right_aligned(_sequences(spark, d), "time_gap", 8)
+
+
 READOUTS = """r AS (SELECT o_custkey AS vehicle_id, o_orderkey AS rid, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::DOUBLE AS time_step,
   CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS f, o_orderstatus AS status FROM orders),
 """
@@ -145,6 +184,7 @@ SPLIT = """p AS (SELECT vehicle_id, event, CASE WHEN k <= floor(m * 0.7) THEN 't
   FROM (SELECT *, row_number() OVER (PARTITION BY event ORDER BY md5('42:' || vehicle_id), vehicle_id) AS k, count(*) OVER (PARTITION BY event) AS m FROM v)),
 """
 GAPS = "g AS (SELECT vehicle_id, rid, time_step, time_step - lag(time_step) OVER (PARTITION BY vehicle_id ORDER BY time_step, rid) AS gap FROM r),\n"
+RISKS = "t AS (SELECT vehicle_id, duration, event, vehicle_id % 13 / 10 AS risk FROM v),\nh AS (SELECT duration, events, sum(own) OVER (ORDER BY duration DESC) AS hazard FROM (SELECT duration, sum(event) AS events, sum(exp(risk)) AS own FROM t GROUP BY 1)),\n"
 STEPS = "d AS (SELECT *, lag(f) OVER (PARTITION BY vehicle_id ORDER BY time_step, rid) AS prev FROM r),\n"
 
 
@@ -196,5 +236,16 @@ SELECT time, at_risk, events, round(coalesce(exp(sum(CASE WHEN events < at_risk
     "m1_c_index": _sql(READOUTS, VEHICLES, "t AS (SELECT duration, event, -(duration % 97) AS risk FROM v)", """
 SELECT comparable, concordant, tied, round((concordant + tied / 2) / comparable, 5) AS c_index FROM (SELECT count(*) AS comparable, count(*) FILTER (a.risk > b.risk) AS concordant, count(*) FILTER (a.risk = b.risk) AS tied
   FROM t a JOIN t b ON a.event = 1 AND (b.duration > a.duration OR (b.duration = a.duration AND b.event = 0)))"""),
+    "l5_cox_loss": _sql(READOUTS, VEHICLES, RISKS, "SELECT count(*) AS n_events, round(coalesce(avg(ln(hazard) - risk), 0), 5) AS loss FROM t JOIN h USING (duration) WHERE event = 1"),
+    "m2_breslow_baseline": _sql(READOUTS, VEHICLES, RISKS, "SELECT duration AS time, round(sum(events / hazard) OVER (ORDER BY duration), 5) AS cumulative_hazard FROM h WHERE events > 0"),
+    "t4_nearest_to_percentiles": _sql(READOUTS, VEHICLES, "c AS (SELECT unnest([0.1, 0.5, 0.9])::DOUBLE AS share, unnest((SELECT quantile_cont(duration, [0.1, 0.5, 0.9]) FROM v)) AS cut)", """
+SELECT share, cut, vehicle_id FROM c, v QUALIFY row_number() OVER (PARTITION BY share ORDER BY abs(duration - cut), vehicle_id) = 1"""),
+    "f2_correlations": "\nUNION ALL ".join(f"SELECT '{a}' AS first, '{b}' AS second, round(corr({a}, {b}), 5) AS corr FROM lineitem" for i, a in enumerate(LINE_FEATURES) for b in LINE_FEATURES[i + 1 :]),
+    "x3_folds": _sql(READOUTS, VEHICLES, "SELECT vehicle_id, ('0x' || substr(md5('42:' || vehicle_id), 1, 8))::BIGINT % 3 AS fold FROM v"),
+    "g1_masked_views": _sql(READOUTS, SEQUENCES, FILLED, """SELECT vehicle_id, rid, view, CASE WHEN ('0x' || substr(md5('42:' || view || ':' || rid || ':1_0'), 1, 8))::BIGINT < floor(0.15 * 4294967296) THEN 0 ELSE x END AS masked
+FROM f, (SELECT unnest([1, 2])::INT AS view)"""),
+    "l2_consistency": "SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[])), 4) AS distance FROM embeddings",
+    "n14_right_aligned": _sql(READOUTS, SEQUENCES, """SELECT i.vehicle_id, position, coalesce(time_gap, 0) AS value, s.rid IS NOT NULL AS valid
+FROM (SELECT vehicle_id, n, unnest(range(8))::INT AS position FROM (SELECT DISTINCT vehicle_id, n FROM s)) i LEFT JOIN s ON s.vehicle_id = i.vehicle_id AND s.seq_idx = i.n - 7 + position"""),
 }
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}
