@@ -54,7 +54,8 @@ def stratified_split(vehicles: DataFrame, seed: int = 42) -> DataFrame:
 def correlations(table: DataFrame, features: list[str]) -> DataFrame:
     """(first, second, corr): Pearson's of each pair of columns, in column order; null where a column is constant."""
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    held = table.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    spread = lambda x, y: F.stddev_pop(F.when(F.col(y).isNotNull(), F.col(x)))
+    held = table.agg(*[F.try_divide(F.covar_pop(a, b), spread(a, b) * spread(b, a)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])
     return held.select(F.inline(rows))
 
