@@ -301,6 +301,24 @@ def test_classifiers_learn(spark):
     assert toxicity.toxicity(docs, none).count() == quality.quality(docs, none).count() == 242
 
 
+def test_toxicity_averages_words_and_passages():
+    rng = random.Random(6)
+    calm = [f"calm{a}{b}" for a in "aeiou" for b in "lmnrst"]
+    rows = []
+    for i in range(200):  # toxic where two words stand in one passage, each of which clean texts have too
+        words = [rng.choice(calm) for _ in range(64)]
+        words[20] = ["zyxquor", "wvujpek"][i % 4 // 2]
+        if i % 2:
+            words[20:22] = ["zyxquor", "wvujpek"]
+        rows.append((" ".join(words), i % 2))
+    model = toxicity.fit(rows[:150])
+    predicted = model.scores([t for t, _ in rows[150:]]) >= 0.5
+    assert np.mean(predicted == [y for _, y in rows[150:]]) >= 0.9
+    a, b = rows[0][0], rows[1][0]
+    of_a, of_b, of_both = model.margins([a, b, f"{a} {b}"])
+    assert of_both == pytest.approx(np.log((np.exp(of_a) + np.exp(of_b)) / 2)) and of_both < max(of_a, of_b)
+
+
 def test_pipeline_stages(spark, tmp_path, docs):
     import corpus_pipeline
 

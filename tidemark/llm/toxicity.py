@@ -3,8 +3,9 @@
 A word is the mean of the embeddings of its character n-grams, so a misspelling
 shares most of its vector with the word it stands for; a run of words is the
 mean of its words; a linear softmax over the run's mean gives its margin, and
-the text's margin is the soft maximum over its runs, so a long text does not
-drown a short insult.  Embeddings and softmax are trained jointly in numpy.
+the text's margin is the soft maximum over its runs, less the log of their
+number, in training and in scoring: a long text does not drown a toxic passage,
+nor gain by being long.  Embeddings and softmax are trained jointly in numpy.
 """
 
 from __future__ import annotations
@@ -22,25 +23,36 @@ from tidemark.llm.batches import release_memory, texts_in_chunks, with_fields
 from tidemark.llm.samples import drawn, fold, texts_of
 from tidemark.llm.words import adam, numbered_words, runs, subwords
 
-#: Words of a run; with more, one word in a long text drowns in the noise of its neighbours.
-RUN = 1
+#: Words of a run.
+RUN = 16
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 17
 DIM = 8
-#: Of the softmax: one word has to be enough.
+#: Of the softmax: one word in a run of others has to be enough.
 SCALE = 32
 #: Labelled texts of each label that the model is fitted on, at most.
 MAX_PER_LABEL = 500
 #: Buckets that fewer texts of the sample have are left at zero: they can only name single texts.
 MIN_TEXTS = 5
-STEPS = 12
+STEPS = 40
 #: Of the log odds in the embeddings before the first step.
 START = 0.5
+#: Pull of the embeddings to where they start: rare subwords, of which the sample says little, stay near it.
+PULL = 3e-3
 RATE = 0.05
 #: Words of whole texts that training takes at a time; the sum over them is the full batch.
 AT_ONCE = 50_000
 
 
+def pooled(margin: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log of the mean of exp(margin) over the runs of each text, which begin at ``head``; its derivative for each run."""
+    n = np.diff(np.append(head, len(margin)))
+    top = np.maximum.reduceat(margin, head)
+    e = np.exp(margin - np.repeat(top, n))
+    total = np.add.reduceat(e, head)
+    return top + np.log(total / n), e / np.repeat(total, n)
+
+
 @dataclass
 class Toxicity:
     """Of each bucket: what its embedding adds to the margin between the two classes."""
@@ -61,7 +73,7 @@ class Toxicity:
         size = np.diff(np.append(heads, len(number)))
         run = np.add.reduceat(word[number], heads) / size + self.bias
         first = np.flatnonzero(np.append(True, run_text[1:] != run_text[:-1]))
-        out[run_text[first]] = np.maximum.reduceat(run, first)
+        out[run_text[first]] = pooled(run, first)[0]
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -69,7 +81,7 @@ class Toxicity:
 
 
 def _common(bucket: np.ndarray, count: np.ndarray, number: np.ndarray, text_of: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The buckets that ``MIN_TEXTS`` texts or more have, the place of each entry among them, or -1, and the log odds of each, with which training starts."""
+    """The buckets that ``MIN_TEXTS`` texts or more have, the place of each entry among them, or -1, and the log odds of each less one standard error, with which training starts."""
     start = np.cumsum(count) - count
     by_label = np.zeros((2, BUCKETS), np.int64)
     for i, j in _spans(np.searchsorted(text_of, np.arange(len(label) + 1))):
@@ -86,7 +98,8 @@ def _common(bucket: np.ndarray, count: np.ndarray, number: np.ndarray, text_of:
     share = (by_label[:, used] + 1) / (np.bincount(label, minlength=2)[:, None] + 2)
     place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    return used, place[bucket], np.log(share[1] / share[0])
+    odds, error = np.log(share[1] / share[0]), np.sqrt((1 / (by_label[:, used] + 1)).sum(0))
+    return used, place[bucket], np.sign(odds) * np.maximum(0, np.abs(odds) - error)
 
 
 def _spans(bounds: np.ndarray) -> list[tuple[int, int]]:
@@ -120,10 +133,20 @@ def fit(rows: list[tuple[str, int]], steps: int = STEPS, rate: float = RATE, see
     weight = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean()))[texts] / len(texts)
     target = label[texts].astype(np.float32)
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.1, (DIM, len(used))).astype(np.float32)
+    emb = rng.normal(0, 0.01, (DIM, len(used))).astype(np.float32)
     soft = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     emb[0], soft[0] = START * odds, (-0.5, 0.5)
+    prior = emb.copy()
+
+    def model() -> Toxicity:
+        weights = np.zeros(BUCKETS, np.float32)
+        weights[used] = SCALE * ((soft[:, 1] - soft[:, 0]) @ emb)
+        return Toxicity(weights, float(bias[1] - bias[0]))
+
     bias = np.zeros(2, np.float32)
+    start = model()
+    margin = np.concatenate([start.margins([t for t, _ in rows[i : i + 32]]) for i in range(0, len(rows), 32)])
+    bias += np.array([0.25, -0.25], np.float32) * (np.median(margin[label == 0]) + np.median(margin[label == 1]))  # between the classes
     summed = lambda at, rows, n: np.stack([np.bincount(at, v, n).astype(np.float32) for v in rows])
     spans = _spans(np.append(text_head, len(run_text)))
 
@@ -138,11 +161,8 @@ def fit(rows: list[tuple[str, int]], steps: int = STEPS, rate: float = RATE, see
             run = summed(run_of, (w[inside] for w in word), j - i) / size
             z = SCALE * (soft.T @ run) + bias[:, None]
             margin = z[1] - z[0]
-            top = np.repeat(np.maximum.reduceat(margin, head), runs_in)
-            e = np.exp(margin - top)
-            share = e / np.repeat(np.add.reduceat(e, head), runs_in)  # the gradient of the soft maximum
-            pooled = top[head] + np.log(np.add.reduceat(e, head) / runs_in)
-            d_text = weight[here] * (1 / (1 + np.exp(-np.clip(pooled, -60, 60))) - target[here])
+            whole, share = pooled(margin, head)
+            d_text = weight[here] * (1 / (1 + np.exp(-np.clip(whole, -60, 60))) - target[here])
             d_margin = (np.repeat(d_text, runs_in) * share).astype(np.float32)
             d_z = np.stack([-d_margin, d_margin])
             d_run = SCALE * (soft @ d_z) / size
@@ -150,17 +170,10 @@ def fit(rows: list[tuple[str, int]], steps: int = STEPS, rate: float = RATE, see
             d_soft += SCALE * (run @ d_z.T)
             d_bias += d_z.sum(1)
         d_word /= count
-        return [summed(bucket, (d[owner] for d in d_word), len(used)) + 1e-7 * emb, d_soft + 1e-5 * soft, d_bias]
+        return [summed(bucket, (d[owner] for d in d_word), len(used)) + PULL * (emb - prior), d_soft + 1e-5 * soft, d_bias]
 
     adam([emb, soft, bias], gradients, steps, rate)
-    weights = np.zeros(BUCKETS, np.float32)
-    weights[used] = SCALE * ((soft[:, 1] - soft[:, 0]) @ emb)
-    model = Toxicity(weights, float(bias[1] - bias[0]))
-    # the soft maximum that was trained is below the maximum that scores: put the border between the classes
-    margin = np.concatenate([model.margins([t for t, _ in rows[i : i + 32]]) for i in range(0, len(rows), 32)])
-    low, high = np.quantile(margin[label == 0], 0.995), np.quantile(margin[label == 1], 0.05)
-    model.bias -= float(low + high) / 2
-    return model
+    return model()
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_PER_LABEL) -> Toxicity:
