@@ -258,6 +258,25 @@ def test_jaccard(docs, plain, empty, size, percent):
     assert jaccard_components(empty).count() == 0
 
 
+def test_near_dedup_shared_and_null_keys(spark):
+    rng = random.Random(8)
+    prose = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    a, b, c, d, e, f = (" ".join(prose[i : i + 60]) for i in range(0, 360, 60))
+    rows = [
+        (1, a), (None, a), (None, b),  # a keyless copy goes, the text linked with nothing stays
+        (2, c), (3, c + " more"), (3, d),  # so under a shared key
+        (None, e), (None, e), (None, e + " more"),  # one row of keyless copies
+        (4, f), (4, f), (4, f + " more"), (5, f),  # one row of a key
+        (None, None), (None, ""), (4, " "),  # without words
+    ]
+    expected = [(1, [a]), (None, [b]), (2, [c]), (3, [d]), (None, [e, e + " more"]), (4, [f, f + " more"]), (None, [None]), (None, [""]), (4, [" "])]
+    out = near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    assert out.columns == ["doc_id", "text"]
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert len(got) == len(expected)
+    assert all(sum(k == key and t in texts for k, t in got) == 1 for key, texts in expected)
+
+
 def test_connected(spark):
     links = [(i, i + 1) for i in range(20)] + [(50, 51), (51, 50), (60, 60)]
     got = {r.node: r.label for r in connected(spark.createDataFrame(links, "a bigint, b bigint")).collect()}

@@ -43,6 +43,11 @@ def _bounded(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
+def _text_id(text: str) -> Column:
+    """16 bytes that tell texts apart, also those that share a key; a null text is as an empty one."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
 def _lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values.view(np.int64), pa.int64()))
 
@@ -53,15 +58,15 @@ def _set_ids(hashes: np.ndarray, starts: np.ndarray) -> pa.Array:
 
 
 def keyed_sets(docs: DataFrame, size: int, classes: SizeClasses) -> DataFrame:
-    """(key, n, set_id, keys) of ``docs`` (key, text); a set without elements has no id."""
+    """(key, text_id, n, set_id, keys) of ``docs`` (key, text_id, text); a set without elements has no id."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in texts_in_chunks(batches):
             hashes, starts = shingle_sets(texts, size)
             keys, at = segment_keys(hashes, starts, classes)
-            yield pa.RecordBatch.from_arrays([part["key"], pa.array(np.diff(starts), pa.int64()), _set_ids(hashes, starts), _lists(keys, at)], names=["key", "n", "set_id", "keys"])
+            yield pa.RecordBatch.from_arrays([part["key"], part["text_id"], pa.array(np.diff(starts), pa.int64()), _set_ids(hashes, starts), _lists(keys, at)], names=["key", "text_id", "n", "set_id", "keys"])
 
-    return docs.mapInArrow(make, f"key {docs.schema['key'].dataType.simpleString()}, n bigint, set_id binary, keys array<bigint>")
+    return docs.mapInArrow(make, f"key {docs.schema['key'].dataType.simpleString()}, text_id binary, n bigint, set_id binary, keys array<bigint>")
 
 
 def leaves(docs: DataFrame, size: int) -> DataFrame:
@@ -189,20 +194,10 @@ def searched(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
     return verified(leaf_pairs(rows, pairs, percent), sets, percent)
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: key, n_shingles, component_id.
-
-    Two texts link when 100 * (shared shingles) >= ``percent`` * (shingles of
-    either); component_id is the smallest key reachable by links, itself
-    included.  Words are runs of bytes other than white space of ASCII, A-Z
-    lower-cased; a text of fewer than ``size`` words is one shingle.  A null,
-    empty or blank text has no shingles and links with nothing.  Equal texts
-    link; rows that share a key and a text are the same; null keys count only
-    where a component has no other.  An empty table gives an empty result;
-    other columns are not read.
-    """
+def _grouped(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """(key, text_id, n, label, component) for each row of ``docs``: label names its component, component is the smallest key there; both are null without shingles."""
     classes = SizeClasses.of(percent)
-    plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    plain = docs.select(F.col(key).alias("key"), _text_id(text).alias("text_id"), F.col(text).alias("text"))
     since = tables()
     keyed = written(keyed_sets(plain, size, classes).withColumn("row", F.monotonically_increasing_id()), "keyed", free=True)
     signed = written(keyed.drop("keys"), "signed")
@@ -216,26 +211,59 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     pairs = trees.filter("held = 2").select("seg", "lo", F.explode(F.array("lo", "hi")).alias("node"))
     members = written(large.unionByName(pairs), "members", free=True)
     discard(docs.sparkSession, since, ("signed", "sets", "members"))
-    wanted = members.select("node").distinct().join(signed.select(F.col("row").alias("node"), "key", "set_id"), "node")
+    wanted = members.select("node").distinct().join(signed.select(F.col("row").alias("node"), "key", "text_id", "set_id"), "node")
     wanted = _bounded(written(wanted, "wanted"))
-    full = written(leaves(plain.join(wanted, plain["key"].eqNullSafe(wanted["key"])).select("node", "set_id", "text"), size), "leaves", free=True)
+    full = written(leaves(plain.join(wanted, plain["key"].eqNullSafe(wanted["key"]) & (plain["text_id"] == wanted["text_id"])).select("node", "set_id", "text"), size), "leaves", free=True)
     hubs = members.filter("node > lo").groupBy("node", "lo").agg(F.count(F.lit(1)).alias("shared")).groupBy("node").agg(F.max_by("lo", F.struct("shared", -F.col("lo"))).alias("b"))
     star = written(verified(hubs.select(F.col("node").alias("a"), "b"), full, percent), "star")
     labels = connected(star)
     rest = written(searched(members, labels, full, percent), "rest")
     labels = connected(star.unionByName(rest))
     lows = labels.join(sets.select("node", "low"), "node").select("node", "label", "low")
-    lowest = written(lows.join(lows.groupBy("label").agg(F.min("low").alias("component")), "label").select("node", "component"), "lowest", free=True)
+    lowest = written(lows.join(lows.groupBy("label").agg(F.min("low").alias("component")), "label").select("node", "label", "component"), "lowest", free=True)
     discard(docs.sparkSession, since, ("signed", "sets", "lowest"))
-    found = sets.join(lowest, "node", "left").select("set_id", F.coalesce("component", "low").alias("component"))
-    out = signed.select("key", "n", "set_id").join(found, "set_id", "left")
+    found = sets.join(lowest, "node", "left").select("set_id", F.coalesce("label", "node").alias("label"), F.coalesce("component", "low").alias("component"))
+    return signed.select("key", "text_id", "n", "set_id").join(found, "set_id", "left").drop("set_id")
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of ``docs``: key, n_shingles, component_id.
+
+    Two texts link when 100 * (shared shingles) >= ``percent`` * (shingles of
+    either); component_id is the smallest key reachable by links, itself
+    included.  Words are runs of bytes other than white space of ASCII, A-Z
+    lower-cased; a text of fewer than ``size`` words is one shingle.  A null,
+    empty or blank text has no shingles and links with nothing.  Equal texts
+    link; rows that share a key and a text are the same; null keys count only
+    where a component has no other.  An empty table gives an empty result;
+    other columns are not read.
+    """
+    out = _grouped(docs, key, text, size, percent)
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without those that :func:`jaccard_components` links to a smaller key; rows of one key stay or go together."""
+    """``docs`` with one row of each component of :func:`jaccard_components`, and the rows that link with nothing.
+
+    The row of the smallest key stays, a null key only where there is no other;
+    of several texts of that key the one with the smallest hash.  Rows are told
+    apart by key and text; of rows that share both, one stays.
+    """
     since = tables()
-    found = jaccard_components(docs, key, text, size, percent)
-    later = written(found.filter(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_later")).distinct(), "later", free=True)
-    discard(docs.sparkSession, since, ("later",))
-    return docs.join(later, docs[key].eqNullSafe(later["_later"]), "left_anti")
+    rows = written(_grouped(docs, key, text, size, percent).filter("n > 0").drop("n"), "rows", free=True)
+    first = F.col("key").eqNullSafe(F.col("component"))
+    tied = rows.filter(first).groupBy("label").agg(F.min("text_id").alias("stays"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("label", "stays")
+    tied = written(rows.filter(first).join(_bounded(written(tied, "tied")), "label").select("key", "text_id", "stays"), "ties")
+    later = rows.filter(~first).select("key", "text_id").unionByName(tied.filter("text_id != stays").select("key", "text_id"))
+    later = written(later.select(F.col("key").alias("_key"), F.col("text_id").alias("_id")).distinct(), "later", free=True)
+    same = tied.filter("text_id = stays").groupBy(F.col("key").alias("_key"), F.col("text_id").alias("_id")).agg(F.count(F.lit(1)).alias("held")).filter("held > 1").drop("held")
+    same = written(same, "same")
+    discard(docs.sparkSession, since, ("later", "same"))
+
+    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        return left.join(right, left[key].eqNullSafe(right["_key"]) & (left["_text_id"] == right["_id"]), how)
+
+    kept = joined(docs.withColumn("_text_id", _text_id(text)), later, "left_anti")
+    if not same.isEmpty():
+        kept = joined(kept, same, "left_anti").unionByName(joined(kept, same, "left_semi").dropDuplicates([key, "_text_id"]))
+    return kept.drop("_text_id")
