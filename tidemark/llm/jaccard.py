@@ -1,13 +1,19 @@
 """Similarity join on sets of word shingles, by signature trees.
 
 Equal sets are one leaf.  Every leaf has keys (see ``shingles``), and two leaves
-that link have one in common: the leaves of one key are a tree.  Links to the
-tree's first leaf are verified first and joined to components.  Then every tree
-that still holds several components is searched: its nodes hold the OR of their
-leaves' token bitmaps and the range of their sizes; pairs of nodes, then pairs
-of leaves, are dropped where the largest overlap that these allow is less than
-a link needs, or where both sides are one component.  The pairs of leaves that
-remain are verified on the sets themselves.
+that link have one in common; a key's smallest leaf is its hub, and the leaves
+that share a key with one hub are a tree, so two that link are in one tree.  A
+traversal of pairs of nodes (see ``signature_trees``) tells, in the task that
+holds the trees, which leaves their bitmaps allow to link; it hands on one link
+of each leaf at most, to the component that these form.
+
+Then sets move, each once: a component of leaves that may link is searched in
+one task, again by a signature tree, and pairs are verified there on the sets
+themselves; pairs of one verified component aren't looked at again, and one
+verified link of each leaf leaves the task.  A component of more elements than
+``BLOCK`` is searched tree by tree, a tree of more in blocks, all of which have
+the hub; then pairs of blocks, dealt by component, are searched for the links
+between different components that are left.  No step has a row for each pair.
 """
 
 from __future__ import annotations
@@ -21,22 +27,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import texts_in_chunks
+from tidemark.llm.batches import release_memory, texts_in_chunks
 from tidemark.llm.components import connected
 from tidemark.llm.scratch import discard, tables, written
 from tidemark.llm.shingles import LONGS, SizeClasses, segment_keys, shingle_sets, signatures
-
-#: Leaves of a node of the tree's lowest level, about.
-NODE = 256
-#: A component with more leaves in a tree has nodes of its own.
-OWN = 32
-#: Leaves that a task searches at a time, and pairs that it compares at a time.
-GROUP_ROWS, PAIRS = 20_000, 50_000
+from tidemark.llm.signature_trees import Forest, grown, needed, traverse
+
+#: Elements of sets that are searched as one; a larger tree is cut into blocks.
+BLOCK = 1 << 20
+#: Leaves of a tree whose bitmaps are searched as one; those of a larger one all may link.
+TREE_ROWS = 20_000
+#: Elements, and bitmaps, that a task holds, about.
+GROUP, GROUP_ROWS = 2 << 20, 20_000
 #: Rows of a few longs that may be broadcast: some ten MB. More are joined by a shuffle.
 BROADCAST_ROWS = 300_000
-#: Rounds in which pairs are verified, each on its share of the range of hashes.
-PARTS = 4
-_SHARE = np.uint64((1 << 64) // PARTS)
 
 
 def _bounded(table: DataFrame) -> DataFrame:
@@ -58,140 +62,170 @@ def _set_ids(hashes: np.ndarray, starts: np.ndarray) -> pa.Array:
 
 
 def keyed_sets(docs: DataFrame, size: int, classes: SizeClasses) -> DataFrame:
-    """(key, text_id, n, set_id, keys) of ``docs`` (key, text_id, text); a set without elements has no id."""
+    """(key, text_id, n, set_id, low, signature, keys) of ``docs`` (key, text_id, text); a set without elements has no id."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in texts_in_chunks(batches):
             hashes, starts = shingle_sets(texts, size)
             keys, at = segment_keys(hashes, starts, classes)
-            yield pa.RecordBatch.from_arrays([part["key"], part["text_id"], pa.array(np.diff(starts), pa.int64()), _set_ids(hashes, starts), _lists(keys, at)], names=["key", "text_id", "n", "set_id", "keys"])
+            n, some = np.diff(starts), np.diff(starts) > 0
+            low = np.zeros(len(n), np.uint64)
+            low[some] = hashes[starts[:-1][some]]
+            grid = signatures(hashes, starts)
+            columns = [part["key"], part["text_id"], pa.array(n, pa.int64()), _set_ids(hashes, starts), pa.array(low.view(np.int64), pa.int64()), _lists(grid.ravel(), np.arange(len(n) + 1) * LONGS), _lists(keys, at)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "text_id", "n", "set_id", "low", "signature", "keys"])
 
-    return docs.mapInArrow(make, f"key {docs.schema['key'].dataType.simpleString()}, text_id binary, n bigint, set_id binary, keys array<bigint>")
+    return docs.mapInArrow(make, f"key {docs.schema['key'].dataType.simpleString()}, text_id binary, n bigint, set_id binary, low bigint, signature array<bigint>, keys array<bigint>")
 
 
 def leaves(docs: DataFrame, size: int) -> DataFrame:
-    """(node, n, signature, elements0 and so on) of ``docs`` (node, set_id, text): rows whose text has another set are left out."""
+    """(node, units, hashes) of ``docs`` (node, units, set_id, text): rows whose text has another set are left out."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in texts_in_chunks(batches):
             hashes, starts = shingle_sets(texts, size)
-            grid = signatures(hashes, starts)
-            columns = [part["node"], pa.array(np.diff(starts), pa.int64()), _lists(grid.ravel(), np.arange(len(texts) + 1) * LONGS)]
-            columns += [_lists(hashes[share], np.append(0, np.cumsum(share))[starts]) for share in hashes // _SHARE == np.arange(PARTS, dtype=np.uint64)[:, None]]
             same = pa.compute.equal(part["set_id"], _set_ids(hashes, starts))
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "signature", *elements]).filter(same)
-
-    elements = [f"elements{i}" for i in range(PARTS)]
-    return docs.mapInArrow(make, f"node bigint, n bigint, signature array<bigint>, {', '.join(f'{e} array<bigint>' for e in elements)}").dropDuplicates(["node"])
+            yield pa.RecordBatch.from_arrays([part["node"], part["units"], _lists(hashes, starts)], names=["node", "units", "hashes"]).filter(same)
 
+    return docs.mapInArrow(make, f"node bigint, units {docs.schema['units'].dataType.simpleString()}, hashes array<bigint>")
 
-def needed(a: Column | np.ndarray, b: Column | np.ndarray, percent: int):
-    """100 * overlap is at least percent * union: what (100 + percent) * overlap must reach."""
-    return percent * (a + b)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets link.
-
-    Overlaps are counted in rounds, a share of the hashes at a time, so no more
-    than that share is on its way; after each round the pairs go that can no
-    longer reach a link.  What is left after the last has its whole overlap.
-    Pairs are written between rounds, which lets the shuffle files before go.
-    """
-    pairs = written(pairs, "candidates", free=True)
-    left = {at: F.col(f"n_{at}") - F.col(f"seen_{at}") for at in "ab"}
-    may = (100 + percent) * (F.col("shared") + F.least(*left.values())) >= needed(F.col("n_a"), F.col("n_b"), percent)
-    start = {"shared": F.lit(0), "seen_a": F.lit(0), "seen_b": F.lit(0)}
-    for part in range(PARTS):
 
-        def side(at: str) -> DataFrame:
-            named = _bounded(pairs.select(F.col(at).alias("node")).distinct())
-            return sets.join(named, "node", "left_semi").select(F.col("node").alias(at), F.col("n").alias(f"n_{at}"), F.col(f"elements{part}").alias(f"e_{at}"))
+def _trees(unit: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A tree's number for each row, sorted by unit and side, and the pairs of trees: a unit's two, or its one with itself."""
+    new = np.append(True, (unit[1:] != unit[:-1]) | (side[1:] != side[:-1]))[: len(unit)]
+    tree, unit = np.cumsum(new) - 1, unit[new]
+    first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1])[: len(unit)])
+    return tree, np.stack([first, np.append(first[1:], len(unit)) - 1], 1)
 
-        both = pairs.withColumns(start if not part else {}).join(side("a"), "a").join(side("b"), "b")
-        met = both.withColumns({"shared": F.col("shared") + F.size(F.array_intersect("e_a", "e_b"))} | {f"seen_{at}": F.col(f"seen_{at}") + F.size(f"e_{at}") for at in "ab"})
-        pairs = written(met.filter(may).select("a", "b", *start), "reached", free=True)
-    return pairs.select("a", "b")
 
+def _links(node: np.ndarray, root: np.ndarray) -> pa.Table:
+    far = np.flatnonzero(root != np.arange(len(root)))
+    return pa.table({"a": node[far], "b": node[root[far]]})
 
-def _tree_nodes(rows: DataFrame) -> DataFrame:
-    """One row a node of each tree: the OR of its leaves' bitmaps, sizes, and the components within."""
-    bits = [F.bit_or(F.get("signature", F.lit(i))).alias(f"s{i}") for i in range(LONGS)]
-    spare = F.col("n") - _ones(F.col("signature"))
-    nodes = rows.groupBy("seg", "leaf").agg(*bits, F.min("n").alias("least"), F.max("n").alias("most"), F.max(spare).alias("spare"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    return nodes.select("seg", "leaf", "least", "most", "spare", "c0", "c1", F.array(*[f"s{i}" for i in range(LONGS)]).alias("bits"))
 
+def may_link(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): what ties the leaves of each tree together that may link; of ``rows`` (lo, node, n, low, signature)."""
 
-def _ones(bits: Column) -> Column:
-    return F.aggregate(bits, F.lit(0), lambda n, x: n + F.bit_count(x))
-
+    def search(table: pa.Table) -> pa.Table:
+        release_memory()
+        lo, node, n, low = (table[c].to_numpy() for c in ("lo", "node", "n", "low"))
+        order = np.lexsort((low, lo))
+        bits = table["signature"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LONGS)[order]
+        tree, pairs = _trees(lo[order], np.zeros(len(lo), np.int8))
+        nodes, who = np.unique(node[order], return_inverse=True)
+        forest = Forest(len(nodes))
+        traverse(grown(tree, n[order], bits), pairs, percent, who, forest, lambda p, q: forest.join(who[p], who[q]))
+        return _links(nodes, forest.root)
 
-def node_pairs(nodes: DataFrame, percent: int) -> DataFrame:
-    """(seg, x, y): the pairs of a tree's nodes in which two leaves of two components may link."""
-    names = [c for c in nodes.columns if c != "seg"]
-    a, b = (nodes.select("seg", *[F.col(c).alias(f"{c}_{side}") for c in names]) for side in "ab")
-    overlap = _ones(F.zip_with("bits_a", "bits_b", lambda x, y: x.bitwiseAND(y))) + F.least("spare_a", "spare_b")
-    sizes = (F.col("least_a") * percent <= F.col("most_b") * 100) & (F.col("least_b") * percent <= F.col("most_a") * 100)
-    one = (F.col("c0_a") == F.col("c1_a")) & (F.col("c0_b") == F.col("c1_b")) & (F.col("c0_a") == F.col("c0_b"))
-    may = ~one & sizes & ((100 + percent) * overlap >= needed(F.col("least_a"), F.col("least_b"), percent))
-    return a.join(b, "seg").filter((F.col("leaf_a") <= F.col("leaf_b")) & may).select("seg", F.col("leaf_a").alias("x"), F.col("leaf_b").alias("y"))
+    parts = max(1, -(-rows.count() // GROUP_ROWS))
+    return rows.withColumn("part", F.pmod(F.xxhash64("lo"), F.lit(parts))).groupBy("part").applyInArrow(search, "a bigint, b bigint")
 
 
-def leaf_pairs(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the leaves of the pairs of nodes that may link and are of two components.
+def links(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): what ties the leaves of each unit together that link; of ``rows`` (part, unit, side, node, component, hashes).
 
-    A task takes many pairs of nodes at a time, about ``GROUP_ROWS`` leaves.
+    Of a unit with two sides, leaves of one side aren't compared with each
+    other, nor are those of one component.
     """
 
     def search(table: pa.Table) -> pa.Table:
-        at = {c: table[c].to_numpy() for c in ("seg", "x", "y", "leaf", "node", "n", "component")}
-        right = (at["leaf"] != at["x"]).astype(np.int8)
-        order = np.lexsort((right, at["y"], at["x"], at["seg"]))
-        at = {c: v[order] for c, v in at.items()}
-        bits = table["signature"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LONGS)[order]
-        n, spare = at["n"], at["n"] - np.bitwise_count(bits).sum(1).astype(np.int64)
-        new = np.append(True, np.any([at[c][1:] != at[c][:-1] for c in ("seg", "x", "y")], axis=0))
-        head = np.flatnonzero(new)
-        end = np.append(head[1:], len(n))[np.cumsum(new) - 1]
-        lefts = np.add.reduceat(1 - right[order].astype(np.int64), head)
-        border = (head + lefts)[np.cumsum(new) - 1]
-        row = np.arange(len(n))
-        begin = np.where(at["x"] == at["y"], row + 1, border)  # of each left leaf's partners
-        count = np.where(right[order] == 0, end - begin, 0)
-        total = np.cumsum(count)
-        found, i = [], 0
-        while i < len(n):
-            upto = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS, "right")))
-            c = count[i:upto]
-            p = np.repeat(row[i:upto], c)
-            q = np.repeat(begin[i:upto] - (np.cumsum(c) - c), c) + np.arange(c.sum())
-            other = at["component"][p] != at["component"][q]
-            p, q = p[other], q[other]
-            overlap = np.bitwise_count(bits[p] & bits[q]).sum(1).astype(np.int64) + np.minimum(spare[p], spare[q])
-            ok = (100 + percent) * overlap >= needed(n[p], n[q], percent)
-            found.append(np.stack([at["node"][p[ok]], at["node"][q[ok]]], 1))
-            i = upto
-        out = np.concatenate(found)
-        return pa.table({"a": out.min(1), "b": out.max(1)})
-
-    held = rows.select("seg", "leaf", "node", "n", "component", "signature")
-    parts = max(1, -(-held.count() // GROUP_ROWS))
-    ends = pairs.withColumn("part", F.pmod(F.xxhash64("seg", "x", "y"), F.lit(parts))).withColumn("leaf", F.explode(F.array_distinct(F.array("x", "y"))))
-    return held.join(ends, ["seg", "leaf"]).groupBy("part").applyInArrow(search, "a bigint, b bigint").distinct()
-
-
-def searched(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links (a, b) between different components that trees still hold."""
-    of = members.join(labels, "node", "left").select("seg", "node", F.coalesce("label", "node").alias("component"))
-    mixed = of.groupBy("seg").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("held")).filter("c0 < c1").select("seg", "held")
-    of = written(of.join(mixed, "seg"), "open")
-    own = of.groupBy("seg", "component").agg(F.count(F.lit(1)).alias("n_own")).filter(F.col("n_own") > OWN)
-    alone = F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("n_own") / NODE)))
-    mingled = F.pmod(F.xxhash64("component"), F.ceil(F.col("held") / NODE)).cast("long")
-    placed = of.join(own, ["seg", "component"], "left").select("seg", "node", "component", F.when(F.col("n_own").isNull(), mingled).otherwise(alone).alias("leaf"))
-    rows = written(placed.join(sets.select("node", "n", "signature"), "node"), "rows")
-    pairs = written(node_pairs(_tree_nodes(rows), percent), "pairs")
-    return verified(leaf_pairs(rows, pairs, percent), sets, percent)
+        release_memory()
+        unit, side, node, component = (table[c].to_numpy() for c in ("unit", "side", "node", "component"))
+        hashes = table["hashes"].combine_chunks()
+        starts, values = hashes.offsets.to_numpy(), hashes.values.to_numpy()
+        low = values[starts[:-1]].view(np.uint64)  # no set is empty
+        near = np.full(len(low), np.iinfo(np.uint64).max)
+        _, team = np.unique(component, return_inverse=True)
+        np.minimum.at(near, team, low)
+        order = np.lexsort((low, team, near[team], side, unit))
+        n = np.diff(starts)[order]
+        begin = starts[:-1][order].astype(np.int64)
+        _, dense = np.unique(values, return_inverse=True)
+        at = np.append(0, np.cumsum(n))
+        element = dense[np.repeat(begin - at[:-1], n) + np.arange(at[-1])].astype(np.int32)
+        bits = signatures(values[np.repeat(begin - at[:-1], n) + np.arange(at[-1])].view(np.uint64), at)
+        tree, pairs = _trees(unit[order], side[order])
+        nodes, who = np.unique(node[order], return_inverse=True)
+        forest, mark = Forest(len(nodes)), np.zeros(dense.max(initial=0) + 1, bool)
+        known, place = np.unique(component[order], return_index=True)  # a node's component is the same in every row
+        forest.join(who, who[place][np.searchsorted(known, component[order])])
+
+        def meet(p: np.ndarray, q: np.ndarray) -> None:
+            by = np.argsort(p, kind="stable")
+            p, q = p[by], q[by]
+            head = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+            for i, j in zip(head.tolist(), np.append(head[1:], len(p)).tolist()):
+                x = p[i]
+                y = q[i:j]
+                y = y[forest.root[who[y]] != forest.root[who[x]]]
+                if not len(y):
+                    continue
+                mine = element[at[x] : at[x + 1]]
+                mark[mine] = True
+                size = n[y]
+                ends = np.cumsum(size)
+                both = np.add.reduceat(mark[element[np.repeat(at[y] - ends + size, size) + np.arange(ends[-1])]], ends - size, dtype=np.int64)
+                mark[mine] = False
+                y = y[(100 + percent) * both >= needed(n[x], size, percent)]
+                if len(y):
+                    forest.join(np.full(len(y), who[x]), who[y])
+
+        traverse(grown(tree, n, bits), pairs, percent, who, forest, meet)
+        return _links(nodes, forest.root)
+
+    return rows.groupBy("part").applyInArrow(search, "a bigint, b bigint")
+
+
+def _with_sets(placed: DataFrame, named: DataFrame, plain: DataFrame, size: int) -> DataFrame:
+    """Rows of :func:`links` for ``placed`` (node, unit, side, component, size): each text is read once, by its key and text."""
+    parts = max(1, -(-(placed.agg(F.sum("size")).first()[0] or 0) // GROUP))
+    part = F.pmod(F.xxhash64("unit"), F.lit(parts))
+    units = placed.groupBy("node").agg(F.collect_list(F.struct(part.alias("part"), "unit", "side", "component")).alias("units"))
+    wanted = _bounded(written(units.join(named, "node"), "wanted"))
+
+    def joined(rows: DataFrame) -> DataFrame:
+        return rows.join(wanted, rows["key"].eqNullSafe(wanted["key"]) & (rows["text_id"] == wanted["text_id"]))
+
+    texts = joined(plain).select("node", "units", wanted["set_id"], "text")
+    if joined(named.select("key", "text_id")).count() > wanted.count():  # rows that share key and text
+        texts = texts.dropDuplicates(["node"])
+    return leaves(texts, size).select("node", F.explode("units").alias("u"), "hashes").select("u.*", "node", "hashes")
+
+
+def _units(members: DataFrame, groups: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where each leaf is searched first, (node, unit, side, component, size), and the leaves (lo, node, size) of trees that are cut into blocks."""
+    sized = written(groups.join(sizes, "node"), "sized")  # node, label, size
+    total = sized.groupBy("label").agg(F.sum("size").alias("total"))
+    large = written(total.filter(F.col("total") > BLOCK).select("label"), "large")
+    whole = sized.join(_bounded(large), "label", "left_anti").select("node", F.xxhash64("label").alias("unit"), "size")
+    own = members.join(sized.join(_bounded(large), "label", "left_semi").select("node", "size"), "node").select("lo", "node", "size")
+    trees = own.groupBy("lo").agg(F.ceil(F.sum("size") / BLOCK).cast("long").alias("blocks"))
+    dealt = written(own.join(trees, "lo"), "dealt")
+    block = F.when(F.col("node") == F.col("lo"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks"))))
+    cut = dealt.select("node", "lo", F.explode(block).alias("block"), "size").select("node", F.xxhash64("lo", "block").alias("unit"), "size")
+    placed = whole.unionByName(cut).select("node", "unit", F.lit(0).cast("tinyint").alias("side"), F.col("node").alias("component"), "size")
+    return written(placed, "placed"), dealt.filter("blocks > 1").select("lo", "node", "size")
+
+
+def _between(dealt: DataFrame, labels: DataFrame) -> DataFrame:
+    """Where leaves of cut trees are searched again: pairs of blocks that hold different components.
+
+    A component with many elements in a tree has blocks of its own.
+    """
+    of = dealt.join(labels, "node", "left").select("lo", "node", "size", F.coalesce("label", "node").alias("component"))
+    mixed = of.groupBy("lo").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum("size").alias("held")).filter("c0 < c1").select("lo", "held")
+    of = written(of.join(mixed, "lo"), "open")
+    own = of.groupBy("lo", "component").agg(F.sum("size").alias("own")).filter(F.col("own") > BLOCK / 8)
+    alone = F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("own") / BLOCK)))
+    mingled = F.pmod(F.xxhash64("component"), F.ceil(F.col("held") / BLOCK)).cast("long")
+    rows = written(of.join(own, ["lo", "component"], "left").withColumn("block", F.when(F.col("own").isNull(), mingled).otherwise(alone)), "rows")
+    blocks = rows.groupBy("lo", "block").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
+    a, b = (blocks.select("lo", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "c0", "c1")]) for side in "ab")
+    one = (F.col("c0_a") == F.col("c1_a")) & (F.col("c0_b") == F.col("c1_b")) & (F.col("c0_a") == F.col("c0_b"))
+    pairs = a.join(b, "lo").filter((F.col("block_a") <= F.col("block_b")) & ~one).select("lo", "block_a", "block_b")
+    ends = pairs.withColumn("block", F.explode(F.array_distinct(F.array("block_a", "block_b"))))
+    side = (F.col("block") != F.col("block_a")).cast("tinyint").alias("side")
+    return written(rows.join(ends, ["lo", "block"]).select("node", F.xxhash64("lo", "block_a", "block_b").alias("unit"), side, "component", "size"), "between")
 
 
 def _grouped(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
@@ -200,25 +234,31 @@ def _grouped(docs: DataFrame, key: str, text: str, size: int, percent: int) -> D
     plain = docs.select(F.col(key).alias("key"), _text_id(text).alias("text_id"), F.col(text).alias("text"))
     since = tables()
     keyed = written(keyed_sets(plain, size, classes).withColumn("row", F.monotonically_increasing_id()), "keyed", free=True)
-    signed = written(keyed.drop("keys"), "signed")
+    signed = written(keyed.drop("keys", "low", "signature"), "signed")
     some = keyed.filter("n > 0")
     sets = written(some.groupBy("set_id").agg(F.min("row").alias("node"), F.min("key").alias("low"), F.count(F.lit(1)).alias("copies")), "sets")
     copied = _bounded(sets.filter("copies > 1").select("set_id", "node"))
-    first = some.join(copied, "set_id", "left").filter(F.col("node").isNull() | (F.col("node") == F.col("row")))
+    first = some.join(copied, "set_id", "left").filter(F.col("node").isNull() | (F.col("node") == F.col("row"))).drop("node")
     keys = first.select(F.explode("keys").alias("seg"), F.col("row").alias("node"))
     trees = written(keys.groupBy("seg").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("held")).filter("lo < hi"), "trees", free=True)
-    large = keys.join(_bounded(trees.filter("held > 2").select("seg", "lo")), "seg").select("seg", "lo", "node")
-    pairs = trees.filter("held = 2").select("seg", "lo", F.explode(F.array("lo", "hi")).alias("node"))
-    members = written(large.unionByName(pairs), "members", free=True)
-    discard(docs.sparkSession, since, ("signed", "sets", "members"))
-    wanted = members.select("node").distinct().join(signed.select(F.col("row").alias("node"), "key", "text_id", "set_id"), "node")
-    wanted = _bounded(written(wanted, "wanted"))
-    full = written(leaves(plain.join(wanted, plain["key"].eqNullSafe(wanted["key"]) & (plain["text_id"] == wanted["text_id"])).select("node", "set_id", "text"), size), "leaves", free=True)
-    hubs = members.filter("node > lo").groupBy("node", "lo").agg(F.count(F.lit(1)).alias("shared")).groupBy("node").agg(F.max_by("lo", F.struct("shared", -F.col("lo"))).alias("b"))
-    star = written(verified(hubs.select(F.col("node").alias("a"), "b"), full, percent), "star")
+    large = keys.join(_bounded(trees.filter("held > 2").select("seg", "lo")), "seg").select("lo", "node")
+    pairs = trees.filter("held = 2").select("lo", F.col("hi").alias("node"))
+    tied = large.unionByName(pairs).filter("lo < node").distinct()
+    members = written(tied.select("lo", F.explode(F.array("lo", "node")).alias("node")).distinct(), "members", free=True)
+    wide = _bounded(written(members.groupBy("lo").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > TREE_ROWS).select("lo"), "wide"))
+    signs = first.select(F.col("row").alias("node"), "n", F.col("low"), "signature")
+    near = may_link(written(members.join(wide, "lo", "left_anti").join(signs, "node"), "signs"), percent)
+    near = near.unionByName(members.join(wide, "lo", "left_semi").filter("lo < node").select(F.col("node").alias("a"), F.col("lo").alias("b")))
+    groups = written(connected(near), "groups", free=True)
+    discard(docs.sparkSession, since, ("signed", "sets", "members", "groups"))
+    named = signed.select(F.col("row").alias("node"), "key", "text_id", "set_id")
+    sizes = signed.select(F.col("row").alias("node"), F.col("n").alias("size"))
+    placed, dealt = _units(members, groups, sizes)
+    star = written(links(_with_sets(placed, named, plain, size), percent), "star", free=True)
     labels = connected(star)
-    rest = written(searched(members, labels, full, percent), "rest")
-    labels = connected(star.unionByName(rest))
+    if not dealt.isEmpty():
+        rest = written(links(_with_sets(_between(dealt, labels), named, plain, size), percent), "rest", free=True)
+        labels = connected(star.unionByName(rest))
     lows = labels.join(sets.select("node", "low"), "node").select("node", "label", "low")
     lowest = written(lows.join(lows.groupBy("label").agg(F.min("low").alias("component")), "label").select("node", "label", "component"), "lowest", free=True)
     discard(docs.sparkSession, since, ("signed", "sets", "lowest"))

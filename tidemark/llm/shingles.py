@@ -14,7 +14,7 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Partitions tried for a set with an empty segment; the last also has keys for empty segments.
 ROUNDS = 8
 #: Longs of a signature: a bitmap of 64 times as many bits.
-LONGS = 16
+LONGS = 32
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
