@@ -24,21 +24,21 @@ from tidemark.llm.samples import drawn, fold, texts_of
 from tidemark.llm.words import adam, numbered_words, runs, subwords
 
 #: Words of a run.
-RUN = 16
+RUN = 4
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 17
 DIM = 8
 #: Of the softmax: one word in a run of others has to be enough.
 SCALE = 32
 #: Labelled texts of each label that the model is fitted on, at most.
-MAX_PER_LABEL = 500
+MAX_PER_LABEL = 1000
 #: Buckets that fewer texts of the sample have are left at zero: they can only name single texts.
 MIN_TEXTS = 5
 STEPS = 40
-#: Of the log odds in the embeddings before the first step.
-START = 0.5
+#: Of the log odds in the embeddings before the first step, and by how many standard errors they are drawn to 0.
+START, SURE = 0.5, 3.0
 #: Pull of the embeddings to where they start: rare subwords, of which the sample says little, stay near it.
-PULL = 3e-3
+PULL = 1e-2
 RATE = 0.05
 #: Words of whole texts that training takes at a time; the sum over them is the full batch.
 AT_ONCE = 50_000
@@ -81,7 +81,7 @@ class Toxicity:
 
 
 def _common(bucket: np.ndarray, count: np.ndarray, number: np.ndarray, text_of: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The buckets that ``MIN_TEXTS`` texts or more have, the place of each entry among them, or -1, and the log odds of each less one standard error, with which training starts."""
+    """The buckets that ``MIN_TEXTS`` texts or more have, the place of each entry among them, or -1, and the log odds of each, less ``SURE`` standard errors, with which training starts."""
     start = np.cumsum(count) - count
     by_label = np.zeros((2, BUCKETS), np.int64)
     for i, j in _spans(np.searchsorted(text_of, np.arange(len(label) + 1))):
@@ -99,7 +99,7 @@ def _common(bucket: np.ndarray, count: np.ndarray, number: np.ndarray, text_of:
     place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
     odds, error = np.log(share[1] / share[0]), np.sqrt((1 / (by_label[:, used] + 1)).sum(0))
-    return used, place[bucket], np.sign(odds) * np.maximum(0, np.abs(odds) - error)
+    return used, place[bucket], np.sign(odds) * np.maximum(0, np.abs(odds) - SURE * error)
 
 
 def _spans(bounds: np.ndarray) -> list[tuple[int, int]]:
