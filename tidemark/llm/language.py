@@ -159,18 +159,20 @@ def identify(docs: DataFrame, model: Languages, text: str = "text", name: str =
     pass, and those already called ``name`` or ``score`` are replaced.
     """
     held = docs.drop(name, score)
-    marked = held.withColumn("_letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    names_held = held.columns
+    columns = [f"c{i}" for i in range(len(held.columns))]  # names that can't clash with that of the mark
+    marked = held.toDF(*columns).withColumn("letters", F.coalesce(F.col(columns[names_held.index(text)]).rlike(r"\p{L}"), F.lit(False)))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in texts_in_chunks(batches, text):
-            letters = part.column(part.num_columns - 1).to_numpy(zero_copy_only=False)
+        for part, texts in texts_in_chunks(batches, columns[names_held.index(text)]):
+            letters = part["letters"].to_numpy(zero_copy_only=False)
             if model.names:
                 names, share = model.predict(texts)
             else:
                 names, share = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             names = [n if ok else UNDETERMINED for n, ok in zip(names, letters)]
             share = np.where(letters, share, 0.0)
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(share, pa.float64())], names=[*part.schema.names[:-1], name, score])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(share, pa.float64())], names=[*names_held, name, score])
 
     return marked.mapInArrow(answer, with_fields(held, **{name: StringType(), score: DoubleType()}))
 
