@@ -12,8 +12,12 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; below the temp folder only where that is unset (local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    """A new folder below ``spark.checkpoint.dir``; below the temp folder where that is unset and the session is a local one. On a cluster it has to be set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
     path = f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
     _written.append(path)
     return path
