@@ -3,9 +3,9 @@
 The writer makes ZIP archives of PNG images, one member a row, in a folder
 that all executors share.  The reader plans byte ranges over the archives; a
 task reads its archive's directory, takes the members that begin in its range,
-fetches the range in one read, and hands the members on in Arrow batches.  A
-member whose bytes don't fit its checksum is fetched again by its own offset,
-independently of the others.
+fetches them a batch's bytes at a time, and hands them on in Arrow batches.  A
+member that such a read did not bring whole, by its checksum, is fetched again
+by its own offset, independently of the others.
 """
 
 from __future__ import annotations
@@ -98,8 +98,10 @@ def _files(path: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 class MediaWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, archive_bytes: int):
-        self.path, self.archive_bytes = path, archive_bytes
+    """Archives of a write count once the manifest names them: appending keeps those named before, overwriting drops them."""
+
+    def __init__(self, path: str, archive_bytes: int, overwrite: bool):
+        self.path, self.archive_bytes, self.overwrite = path, archive_bytes, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Archives:
         files, root = _files(self.path)
@@ -129,12 +131,46 @@ class MediaWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Archives]) -> None:
         files, root = _files(self.path)
+        before = archives(files, root)
+        kept = [] if self.overwrite else before
         with files.open_output_stream(f"{root}/{MANIFEST}") as f:
-            f.write(json.dumps(sorted(a for m in messages if m for a in m.made)).encode())
+            f.write(json.dumps(sorted([*kept, *(a for m in messages if m for a in m.made)])).encode())
+        if self.overwrite:
+            _delete(files, root, before)
+
+    def abort(self, messages: list[Archives]) -> None:
+        files, root = _files(self.path)
+        _delete(files, root, [a for m in messages if m for a in m.made])
+
+
+def archives(files: pa.fs.FileSystem, root: str) -> list[tuple[str, int]]:
+    """Names and sizes that the manifest has; none where there is no manifest."""
+    if files.get_file_info(f"{root}/{MANIFEST}").type == pa.fs.FileType.NotFound:
+        return []
+    with files.open_input_file(f"{root}/{MANIFEST}") as f:
+        return [(name, size) for name, size in json.loads(f.read())]
 
 
-def members(directory: zipfile.ZipFile, start: int, end: int) -> list[zipfile.ZipInfo]:
-    return sorted((m for m in directory.infolist() if start <= m.header_offset < end), key=lambda m: m.header_offset)
+def _delete(files: pa.fs.FileSystem, root: str, made: list[tuple[str, int]]) -> None:
+    for name, _ in made:
+        if files.get_file_info(f"{root}/{name}").type == pa.fs.FileType.File:
+            files.delete_file(f"{root}/{name}")
+
+
+def members(archive: zipfile.ZipFile, start: int, end: int) -> list[zipfile.ZipInfo]:
+    return sorted((m for m in archive.infolist() if start <= m.header_offset < end), key=lambda m: m.header_offset)
+
+
+def directory(open_file, partition: ByteRange, attempts: int) -> list[zipfile.ZipInfo]:
+    """The members of a range by the archive's directory, which is read anew after a failure."""
+    for left in reversed(range(attempts)):
+        try:
+            with open_file() as f:
+                return members(zipfile.ZipFile(f), partition.start, partition.end)
+        except (OSError, zipfile.BadZipFile):
+            if not left:
+                raise
+    raise ValueError("attempts must be positive")
 
 
 def cut(block: bytes, at: int, member: zipfile.ZipInfo) -> bytes:
@@ -166,10 +202,7 @@ class MediaReader(DataSourceReader):
         self.path, self.split_bytes, self.attempts = path, split_bytes, attempts
 
     def partitions(self) -> list[ByteRange]:
-        files, root = _files(self.path)
-        with files.open_input_file(f"{root}/{MANIFEST}") as f:
-            archives = json.loads(f.read())
-        ranges = [ByteRange(name, start, min(size, start + self.split_bytes)) for name, size in archives for start in range(0, size, self.split_bytes)]
+        ranges = [ByteRange(name, start, min(size, start + self.split_bytes)) for name, size in archives(*_files(self.path)) for start in range(0, size, self.split_bytes)]
         return ranges or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
@@ -177,14 +210,16 @@ class MediaReader(DataSourceReader):
             return
         files, root = _files(self.path)
         open_file = lambda: files.open_input_file(f"{root}/{partition.archive}")
-        with open_file() as f:
-            mine = members(zipfile.ZipFile(f), partition.start, partition.end)
+        mine = directory(open_file, partition, self.attempts)
         rows, held = [], 0
         for run in self._runs(mine):
             first, last = run[0], run[-1]
-            with open_file() as f:
-                f.seek(first.header_offset)  # a header's extra field is as long as the directory's, or empty
-                block = f.read(last.header_offset + 30 + len(last.filename) + len(last.extra) + last.compress_size + 64 - first.header_offset)
+            try:
+                with open_file() as f:
+                    f.seek(first.header_offset)  # a header's extra field is as long as the directory's, or empty
+                    block = f.read(last.header_offset + 30 + len(last.filename) + len(last.extra) + last.compress_size + 64 - first.header_offset)
+            except OSError:
+                block = b""  # then each member is fetched by itself
             for member in run:
                 try:
                     media = cut(block, member.header_offset - first.header_offset, member)
@@ -233,7 +268,7 @@ class MediaSource(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> MediaWriter:
         files, root = _files(self.options["path"])
         files.create_dir(root, recursive=True)
-        return MediaWriter(self.options["path"], int(self.options.get("archiveBytes", ARCHIVE_BYTES)))
+        return MediaWriter(self.options["path"], int(self.options.get("archiveBytes", ARCHIVE_BYTES)), overwrite)
 
 
 def _as_media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,8 +293,8 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 DESCRIBED = "key bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
 
-def store_media(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store each text as an image in archives below ``path``; the stored rows (key, n_bytes, media) as a source.
+def store_media(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", mode: str = "append") -> DataFrame:
+    """Store each text as an image in archives below ``path``; the stored rows (key, n_bytes, media) as a source, those stored there before included unless ``mode`` is overwrite.
 
     A text is its UTF-8 bytes, followed by bytes 0 up to a positive multiple
     of 64; null counts as empty and a null key stays null.  Rows are stored
@@ -270,7 +305,7 @@ def store_media(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     spark = docs.sparkSession
     spark.dataSource.register(MediaSource)
     payload = docs.select(F.col(key).cast("bigint").alias("key"), F.encode(F.col(text), "UTF-8").alias("payload"))
-    payload.mapInArrow(_as_media, SCHEMA).write.format(FORMAT).mode("append").option("path", path).save()
+    payload.mapInArrow(_as_media, SCHEMA).write.format(FORMAT).mode(mode).option("path", path).save()
     return spark.read.format(FORMAT).load(path)
 
 
