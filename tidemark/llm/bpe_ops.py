@@ -63,21 +63,24 @@ def bpe_decode(tokens: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)
     return tokens.select(*keep, "ids").mapInArrow(decode, f"{kinds}, raw binary")
 
 
-def bpe_round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, ids_sha256, decoded_sha256: digests of the ids of every text and of the bytes they decode to."""
+def bpe_round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """key, n_tokens, ids_sha256, decoded_sha256: digests of the ids of every text and of the bytes they decode to.
+
+    Ids live as long as their chunk of texts: encoding and decoding are one
+    stage, so a task has one worker with one vocabulary.  Nulls, empty and very
+    long texts, ties and repeated rows are as in :func:`bpe_encode`.
+    """
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for batch in batches:
-            column = batch["ids"]
-            flat = column.flatten().to_numpy(zero_copy_only=False)
-            ends = np.append(0, np.cumsum(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)))
+        for part, texts in texts_in_chunks(batches, "_text", chunk_bytes):
+            flat, starts = v.encode(texts)
             raw, at = v.decode(flat)
-            raw, flat, bytes_at = memoryview(raw), memoryview(np.ascontiguousarray(flat, "<u4")).cast("B"), at[ends].tolist()
-            ends = ends.tolist()
+            bytes_at, ends = at[starts].tolist(), starts.tolist()
+            raw, flat = memoryview(raw), memoryview(np.ascontiguousarray(flat, "<u4")).cast("B")
             ids = [hashlib.sha256(flat[4 * a : 4 * b]).hexdigest() for a, b in zip(ends[:-1], ends[1:])]
             back = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(bytes_at[:-1], bytes_at[1:])]
-            yield pa.RecordBatch.from_arrays([batch[key], pa.array(np.diff(ends), pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(starts), pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    encoded = bpe_encode(docs, path, text, (key,)).select(key, "ids")
-    return encoded.mapInArrow(digests, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    held = docs.select(F.col(key), F.col(text).alias("_text"))
+    return held.mapInArrow(digests, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
