@@ -322,6 +322,15 @@ def _spans(length: int) -> Callable:
     return decide
 
 
+def whole_characters(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans, ascending and apart, widened to whole characters of UTF-8; those that then meet are one."""
+    within = np.append((np.frombuffer(text, np.uint8) & 0xC0) == 0x80, False)  # not the first byte of a character
+    for _ in range(3):
+        start, end = start - within[start], end + within[end]
+    new = np.append(True, start[1:] > end[:-1])
+    return start[new], end[np.append(new[1:], True)]
+
+
 def _cut(names: list[str], schema: pa.Schema, as_text: bool) -> Callable:
     """The rows of a chunk with what is left of their bytes; ``as_text``: in their text."""
 
@@ -339,17 +348,18 @@ def _cut(names: list[str], schema: pa.Schema, as_text: bool) -> Callable:
             new = np.append(True, doc[1:] * (1 << 40) + start[1:] > reach[:-1])
             head = np.flatnonzero(new)
             a, b, d = start[head], np.maximum.reduceat(end, head), doc[head]
-            counts[:, 1] = np.bincount(d, b - a, len(kept))
-            counts[:, 2] = np.bincount(d, minlength=len(kept))
             for i, p, q in _split(d, a, b):
                 text = kept[i]
+                if as_text:
+                    p, q = whole_characters(text, p, q)
+                counts[i, 1:] = (q - p).sum(), len(p)
                 edge = [0, *np.stack([p, q], 1).ravel().tolist(), len(text)]
                 kept[i] = b"".join(text[x:y] for x, y in zip(edge[::2], edge[1::2]))
         number = pa.array(own.number)
         rows = docs.take(pa.array(own.rows)).select(names)
         more = [pa.array(kept, pa.binary()).take(number), *(pa.array(counts[:, i]).take(number) for i in range(3))]
         if as_text:
-            left = pa.array([t.decode(errors="ignore") for t in kept], pa.string()).take(number)
+            left = pa.array([t.decode() for t in kept], pa.string()).take(number)
             rows = rows.set_column(names.index("text"), "text", pa.compute.if_else(rows["text"].is_null(), None, left))
         return pa.Table.from_arrays([*rows.columns, *more], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
@@ -383,6 +393,9 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     against each other.  Repeated rows get equal results; an empty table gives
     an empty result.  ``docs`` keeps its columns, whatever their names, but a
     column ``suffix_dedup`` is replaced.
+
+    ``as_text``: what is left also replaces the text, a null one stays null;
+    characters that a span cuts in two are removed whole, and counted.
     """
     columns = [c for c in docs.columns if c != "suffix_dedup"]
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
