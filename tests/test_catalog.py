@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tidemark.plans.catalog import ORACLE_SQL, QUERIES
+from tidemark.plans.every import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
@@ -22,7 +22,7 @@ def plain(value):
     return round(float(value), 4) + 0.0 if isinstance(value, float) else value
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", ORACLE_SQL)
 def test_query_equals_sql(spark, db, name):
     got = QUERIES[name](spark, DATA)
     want = db.execute(ORACLE_SQL[name])

@@ -1,0 +1,132 @@
+"""Scoring of sequences by encoders with given weights, a batch of packed sequences at a time.
+
+Weights are small arrays that travel with the task; they come from
+:func:`random_weights` or a stored table.  A packed sequence is a row with an
+array of each feature and the gaps before the readouts (see ``packed``).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators.losses import consistency
+
+Weights = dict[str, np.ndarray]
+#: Values of a batch that is encoded at a time: sequences of a batch are filled up to its longest.
+BATCH_VALUES = 1 << 20
+
+
+def random_weights(sizes: dict[str, tuple[int, ...]], seed: int = 42) -> Weights:
+    """Normal weights, by the square root of what goes in."""
+    rng = np.random.default_rng(seed)
+    return {name: rng.normal(0, 1 / max(1, shape[-1]) ** 0.5, shape) for name, shape in sizes.items()}
+
+
+def encoder_sizes(features: int, bins: int, hidden: int = 8, out: int = 4) -> dict[str, tuple[int, ...]]:
+    """Of the weights that :func:`encode` takes, for so many numerical features and histogram bins."""
+    gates = {f"{part}_{name}": shape for part, width in (("time", features), ("freq", features)) for name, shape in (("w", (3 * hidden, width)), ("u", (3 * hidden, hidden)), ("b", (3 * hidden,)), ("c", (3 * hidden,)))}
+    more = {"decay_w": (hidden,), "decay_b": (hidden,), "bins_1": (hidden, max(1, bins)), "bins_2": (hidden, hidden), "head_1": (hidden, 2 * hidden), "head_2": (out, hidden), "risk": (out,)}
+    return gates | more
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
+def gated(x: np.ndarray, valid: np.ndarray, w: Weights, part: str, gaps: np.ndarray | None = None) -> np.ndarray:
+    """A gated recurrent unit over x (sequences, readouts, features): its state at every readout, 0 where not ``valid``.
+
+    With ``gaps`` the state decays before each readout by exp(-relu(gap * decay_w + decay_b)).
+    """
+    n, steps, _ = x.shape
+    h = np.zeros((n, w[f"{part}_u"].shape[1]))
+    out = np.zeros((n, steps, h.shape[1]))
+    inputs = x @ w[f"{part}_w"].T + w[f"{part}_b"]
+    for t in range(steps):
+        old = h
+        if gaps is not None:
+            old = old * np.exp(-np.maximum(0, gaps[:, t, None] * w["decay_w"] + w["decay_b"]))
+        r, z, m = np.split(inputs[:, t], 3, 1)
+        a, b, c = np.split(old @ w[f"{part}_u"].T + w[f"{part}_c"], 3, 1)
+        gate = sigmoid(z + b)
+        new = (1 - gate) * np.tanh(m + sigmoid(r + a) * c) + gate * old
+        h = np.where(valid[:, t, None], new, h)
+        out[:, t] = h * valid[:, t, None]
+    return out
+
+
+def pooled(h: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """The mean over valid readouts."""
+    return (h * valid[..., None]).sum(1) / np.maximum(1, valid.sum(1))[:, None]
+
+
+def spectra(x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log1p of the Fourier sizes of each sequence over its own readouts, and which bins it has."""
+    out = np.zeros((len(x), x.shape[1] // 2 + 1, x.shape[2]))
+    valid = np.arange(out.shape[1]) <= size[:, None] // 2
+    for n in np.unique(size[size > 0]).tolist():
+        i = size == n
+        out[i, : n // 2 + 1] = np.log1p(np.abs(np.fft.rfft(x[i, :n], axis=1)) + 1e-8)
+    return out, valid
+
+
+def encode(x: np.ndarray, bins: np.ndarray, gaps: np.ndarray, size: np.ndarray, w: Weights) -> dict[str, np.ndarray]:
+    """time (of readouts with decay, and of histogram bins by two dense layers, averaged), freq (of spectra), projection of both, risk."""
+    valid = np.arange(x.shape[1]) < size[:, None]
+    time = pooled(gated(x, valid, w, "time", gaps), valid)
+    if bins.shape[2]:
+        dense = np.maximum(0, np.maximum(0, bins @ w["bins_1"].T) @ w["bins_2"].T)
+        time = (time + pooled(dense, valid)) / 2
+    freq_in, freq_valid = spectra(x, size)
+    freq = pooled(gated(freq_in, freq_valid, w, "freq"), freq_valid)
+    projection = np.maximum(0, np.concatenate([time, freq], 1) @ w["head_1"].T) @ w["head_2"].T
+    return {"time": time, "freq": freq, "projection": projection, "risk": (projection @ w["risk"])[:, None]}
+
+
+def _grid(column: pa.ListArray, size: np.ndarray, longest: int) -> np.ndarray:
+    out = np.zeros((len(size), longest))
+    out[np.arange(longest) < size[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def encoded(packed: DataFrame, numerical: list[str], histogram: list[str], gaps: str, weights: Weights, key: str = "vehicle_id") -> DataFrame:
+    """(``key``, time, freq, projection, risk) of each packed sequence, which has no missing values.
+
+    Sequences are encoded in batches, the longest of which bounds the memory;
+    an empty table gives an empty result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = batch["sequence_length"].to_numpy()
+            step = max(1, BATCH_VALUES // max(1, int(every.max(initial=1)) * (len(numerical) + len(histogram) + 1)))
+            for at in range(0, batch.num_rows, step):
+                part, size = batch.slice(at, step), every[at : at + step].astype(np.int64)
+                longest = int(size.max(initial=1))
+                cube = lambda names: np.stack([_grid(part[c], size, longest) for c in names], 2) if names else np.zeros((len(size), longest, 0))  # noqa: B023, E731
+                found = encode(cube(numerical), cube(histogram), _grid(part[gaps], size, longest), size, weights)
+                vectors = [pa.array(found[c].tolist(), pa.list_(pa.float64())) for c in ("time", "freq", "projection")]
+                yield pa.RecordBatch.from_arrays([part[key], *vectors, pa.array(found["risk"][:, 0])], names=[key, "time", "freq", "projection", "risk"])
+
+    kind = packed.schema[key].dataType.simpleString()
+    return packed.select(key, "sequence_length", *numerical, *histogram, gaps).mapInArrow(run, f"{key} {kind}, time array<double>, freq array<double>, projection array<double>, risk double")
+
+
+def stored_weights(spark: SparkSession, weights: Weights) -> DataFrame:
+    """(name, shape, values): weights as a table."""
+    rows = [(n, list(w.shape), w.ravel().tolist()) for n, w in weights.items()]
+    return spark.createDataFrame(rows, "name string, shape array<int>, values array<double>")
+
+
+def loaded_weights(table: DataFrame) -> Weights:
+    return {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in table.collect()}
+
+
+def cosine_gap(encodings: DataFrame) -> DataFrame:
+    """(vehicle_id, distance) between the time and the frequency encoding."""
+    return encodings.select("vehicle_id", F.coalesce(consistency(F.col("time"), F.col("freq")), F.lit(1.0)).alias("distance"))

@@ -43,12 +43,47 @@ def near_constant(table: DataFrame, features: list[str], threshold: float = 1e-4
     return feature_variances(table, features).filter(F.col("variance") <= threshold)
 
 
+def ranked(vehicles: DataFrame, seed: int, strata: list[str]) -> DataFrame:
+    """``vehicles`` with _r, the place by a hash of seed and key within the strata, and _n, the rows there.
+
+    Ranges of the hash are ranked by themselves; the rows of those before are added.
+    """
+    ranges = 256
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col("vehicle_id").cast("string")))
+    held = vehicles.withColumn("_range", F.shiftright(hash_number(seed, F.col("vehicle_id")), 24))
+    counts = held.groupBy(*strata, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    every = Window.partitionBy(*strata)  # of at most ``ranges`` rows
+    before = counts.select(*strata, "_range", F.coalesce(F.sum("_c").over(every.orderBy("_range").rowsBetween(-ranges, -1)), F.lit(0)).alias("_b"), F.sum("_c").over(every).alias("_n"))
+    same = F.lit(True)
+    for c in strata:
+        same = same & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
+    before = before.select(*[F.col(c).alias(f"_s_{c}") for c in strata], F.col("_range").alias("_at"), "_b", "_n")
+    place = F.row_number().over(Window.partitionBy(*strata, "_range").orderBy(drawn, "vehicle_id"))
+    joined = held.withColumn("_p", place).join(before, (F.col("_range") == F.col("_at")) & same)
+    return joined.withColumn("_r", F.col("_p") + F.col("_b")).select(*vehicles.columns, "_r", "_n")
+
+
 def stratified_split(vehicles: DataFrame, seed: int = 42) -> DataFrame:
     """``vehicles`` with split: 70 % train, 15 % val, 15 % test of each event class, by a hash of seed and key."""
-    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col("vehicle_id").cast("string")))
-    ranked = vehicles.select("*", F.row_number().over(Window.partitionBy("event").orderBy(drawn, "vehicle_id")).alias("_r"), F.count(F.lit(1)).over(Window.partitionBy("event")).alias("_n"))
     split = F.when(F.col("_r") <= F.floor(F.col("_n") * 0.7), "train").when(F.col("_r") <= F.floor(F.col("_n") * 0.85), "val").otherwise("test")
-    return ranked.withColumn("split", split).drop("_r", "_n")
+    return ranked(vehicles, seed, ["event"]).withColumn("split", split).drop("_r", "_n")
+
+
+def train_validation_split(vehicles: DataFrame, share: float = 0.2, seed: int = 42, stratify: bool = True) -> DataFrame:
+    """``vehicles`` with split, train or val: ``share`` of them, of each event class if stratified, is val."""
+    held = ranked(vehicles, seed, ["event"] if stratify else [])
+    return held.withColumn("split", F.when(F.col("_r") <= F.ceil(F.col("_n") * share), "val").otherwise("train")).drop("_r", "_n")
+
+
+def event_rate(vehicles: DataFrame, by: str = "split") -> DataFrame:
+    """(``by``, n, event_rate)."""
+    return vehicles.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("event").alias("event_rate"))
+
+
+def without_near_constant(table: DataFrame, features: list[str], threshold: float = 1e-4) -> tuple[DataFrame, list[str]]:
+    """``table`` without its features of a variance up to ``threshold``, and their names: drop the same of other splits."""
+    gone = sorted(r["feature"] for r in near_constant(table, features, threshold).collect())
+    return table.drop(*gone), gone
 
 
 def correlations(table: DataFrame, features: list[str]) -> DataFrame:

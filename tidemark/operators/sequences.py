@@ -69,3 +69,32 @@ def truncate_at_horizon(sequences: DataFrame, horizon: float, min_history: int =
     early = sequences.filter((F.col("duration") - horizon > 0) & (F.col("time_step") <= F.col("duration") - horizon))
     timed = early.select("*", F.max("time_step").over(whole()).alias("readout_time"), F.count(F.lit(1)).over(whole()).alias("_kept"))
     return timed.filter(F.col("_kept") >= min_history).select(*[c for c in sequences.columns if c not in ("duration", "sequence_length")], "readout_time", F.col("_kept").alias("sequence_length"), F.col("duration").alias("original_duration"), (F.col("duration") - F.col("readout_time")).alias("duration"))
+
+
+def missing_vehicles(sequences: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """One row: how many sequences have a row in ``vehicles``, and how many have none and would go."""
+    keys = sequences.select("vehicle_id").distinct().join(vehicles.select("vehicle_id", F.lit(1).alias("_v")).distinct(), "vehicle_id", "left")
+    return keys.agg(F.count("_v").alias("attached"), F.count_if(F.col("_v").isNull()).alias("dropped"))
+
+
+def checked_prefixes(prefixes: DataFrame, columns: list[str]) -> DataFrame:
+    """``prefixes``; an error where there are none, a column of ``columns`` isn't there, or has a null."""
+    absent = [c for c in ["prefix_id", "vehicle_id", "prefix_length", *columns] if c not in prefixes.columns]
+    if absent:
+        raise ValueError(f"no column {', '.join(absent)}")
+    if prefixes.isEmpty():
+        raise ValueError("no prefixes")
+    check = lambda c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"{c} is null")).cast(prefixes.schema[c].dataType)).otherwise(F.col(c))
+    return prefixes.withColumns({c: check(c) for c in columns})
+
+
+def prefix_summary(prefixes: DataFrame) -> DataFrame:
+    """One row: prefixes, their vehicles, and least, most and mean length; 0 and nulls of an empty table."""
+    one = prefixes.select("prefix_id", "vehicle_id", "prefix_length").distinct()
+    return one.agg(F.count(F.lit(1)).alias("n_prefixes"), F.count_distinct("vehicle_id").alias("n_vehicles"), F.min("prefix_length").alias("min_length"), F.max("prefix_length").alias("max_length"), F.avg("prefix_length").alias("mean_length"))
+
+
+def packed(rows: DataFrame, columns: list[str], key: str = "vehicle_id") -> DataFrame:
+    """One row for each ``key``: sequence_length and an array of each column, in order."""
+    held = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("seq_idx", *columns))).alias("_rows"))
+    return held.select(key, F.size("_rows").alias("sequence_length"), *[F.col(f"_rows.{c}").alias(c) for c in columns])

@@ -1,64 +1,149 @@
-"""Survival metrics over (vehicle_id, risk, duration, event)."""
+"""Survival curves, losses and metrics over (vehicle_id, risk, duration, event)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import percentiles, running_sums
+from tidemark.sources.stored import stored
+
+
+def _by_time(table: DataFrame) -> DataFrame:
+    """(time, gone, events, at_risk): rows are added up by time first, so running sums are over distinct times."""
+    counts = table.groupBy(F.col("duration").cast("double").alias("time")).agg(F.count(F.lit(1)).alias("gone"), F.sum("event").cast("bigint").alias("events")).filter("time IS NOT NULL")
+    return running_sums(counts, "time", {"at_risk": F.col("gone")}, descending=True)
+
+
+def _product(table: DataFrame, lost: Column, at_risk: Column) -> DataFrame:
+    """``table`` and survival: the product of 1 - lost / at_risk up to each time."""
+    last = (lost > 0) & (lost == at_risk)
+    log = F.when(last | (lost == 0), 0.0).otherwise(F.log1p(-lost / at_risk))
+    held = running_sums(table, "time", {"_log": log, "_last": last.cast("int")})
+    return held.withColumn("survival", F.when(F.col("_last") > 0, 0.0).otherwise(F.exp("_log"))).drop("_log", "_last")
+
 
 def kaplan_meier(table: DataFrame) -> DataFrame:
-    """(time, at_risk, events, survival) at each distinct time with an event.
+    """(time, at_risk, events, survival) at each distinct time with an event."""
+    held = _by_time(table).filter("events > 0")
+    return _product(held, F.col("events"), F.col("at_risk")).select("time", "at_risk", "events", "survival")
 
-    Rows are added up by time first; the running sums are over distinct times.
-    """
-    by_time = table.groupBy(F.col("duration").alias("time")).agg(F.count(F.lit(1)).alias("left"), F.sum("event").alias("events"))
-    later = Window.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-    so_far = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    held = by_time.withColumn("at_risk", F.sum("left").over(later)).filter("events > 0")
-    lost = F.col("events") == F.col("at_risk")
-    log = F.sum(F.when(~lost, F.log1p(-F.col("events") / F.col("at_risk"))).otherwise(0.0)).over(so_far)
-    return held.select("time", "at_risk", "events", F.when(F.max(lost).over(so_far), 0.0).otherwise(F.exp(log)).alias("survival"))
+
+def censoring_survival(table: DataFrame) -> DataFrame:
+    """(time, survival) of the censoring times at each distinct time; at ties events leave before censored rows."""
+    return _product(_by_time(table), F.col("gone") - F.col("events"), F.col("at_risk") - F.col("events")).select("time", "survival")
 
 
-def concordance(table: DataFrame) -> DataFrame:
-    """One row: comparable pairs, concordant and tied ones, and Harrell's index (null without pairs).
+def step_value(points: DataFrame, steps: DataFrame, at: str, value: str, before: float) -> DataFrame:
+    """``points`` and ``value``: that of the last step (time, ``value``) at or before the column ``at``; ``before`` if there is none.
 
-    A pair is comparable if the one with the smaller duration has the event, or
-    at equal durations the other has none.  Rows are counted by (duration,
-    event, risk) first, so what is joined is distinct values.
+    Distinct points and steps are merged in one order of times.
     """
-    held = table.groupBy("duration", "event", "risk").agg(F.count(F.lit(1)).alias("n"))
-    a = held.filter("event = 1").select(F.col("duration").alias("d"), F.col("risk").alias("r"), F.col("n").alias("m"))
-    later = (F.col("duration") > F.col("d")) | ((F.col("duration") == F.col("d")) & (F.col("event") == 0))
-    pairs = a.join(held, later)
-    weight = F.col("m") * F.col("n")
-    found = pairs.agg(F.sum(weight).alias("comparable"), F.sum(F.when(F.col("r") > F.col("risk"), weight).otherwise(0)).alias("concordant"), F.sum(F.when(F.col("r") == F.col("risk"), weight).otherwise(0)).alias("tied"))
-    return found.withColumn("c_index", (F.col("concordant") + F.col("tied") / 2) / F.col("comparable"))
+    marks = steps.select(F.col("time").alias("_t"), F.col(value).alias("_v")).unionByName(points.select(F.col(at).cast("double").alias("_t")).distinct().withColumn("_v", F.lit(None).cast("double")))
+    merged = marks.groupBy("_t").agg(F.max("_v").alias("_v"))
+    held = running_sums(merged, "_t", {"_k": F.col("_v").isNotNull().cast("bigint")})
+    known = held.filter("_v IS NOT NULL").select("_k", F.col("_v").alias("_w"))
+    found = held.select("_t", "_k").join(known, "_k", "left").select(F.col("_t"), F.coalesce("_w", F.lit(before)).alias(value))
+    return points.join(found, points[at].cast("double") == found["_t"], "left").drop("_t")
 
 
 def _at_risk(table: DataFrame) -> DataFrame:
-    """(duration, events, hazard): by distinct duration, events and the sum of exp(risk) of all that last as long or longer."""
-    by_time = table.groupBy("duration").agg(F.sum("event").alias("events"), F.sum(F.exp("risk")).alias("_own"))
-    later = Window.orderBy(F.desc("duration")).rowsBetween(Window.unboundedPreceding, 0)
-    return by_time.select("duration", "events", F.sum("_own").over(later).alias("hazard"))
+    """(time, events, hazard): by distinct time, events and the sum of exp(risk) of all that last as long or longer."""
+    by_time = table.groupBy(F.col("duration").cast("double").alias("time")).agg(F.sum("event").cast("bigint").alias("events"), F.sum(F.exp("risk")).alias("_own")).filter("time IS NOT NULL")
+    return running_sums(by_time, "time", {"hazard": F.col("_own")}, descending=True).drop("_own")
 
 
 def cox_loss(table: DataFrame) -> DataFrame:
     """One row: events and the mean negative log partial likelihood over them; equal durations share a risk set; 0 without events."""
-    found = table.filter("event = 1").join(_at_risk(table), "duration")
+    found = table.filter("event = 1").join(_at_risk(table), F.col("duration").cast("double") == F.col("time"))
     return found.agg(F.count(F.lit(1)).alias("n_events"), F.coalesce(F.avg(F.log("hazard") - F.col("risk")), F.lit(0.0)).alias("loss"))
 
 
 def breslow_baseline(table: DataFrame) -> DataFrame:
     """(time, cumulative_hazard) of the baseline at each distinct time with an event."""
-    so_far = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    steps = _at_risk(table).filter("events > 0").select(F.col("duration").alias("time"), (F.col("events") / F.col("hazard")).alias("_step"))
-    return steps.select("time", F.sum("_step").over(so_far).alias("cumulative_hazard"))
+    steps = _at_risk(table).filter("events > 0").withColumn("_step", F.col("events") / F.col("hazard"))
+    return running_sums(steps, "time", {"cumulative_hazard": F.col("_step")}).select("time", "cumulative_hazard")
+
+
+def survival_curves(table: DataFrame, baseline: DataFrame, grid: DataFrame) -> DataFrame:
+    """(vehicle_id, time, survival): exp(-H0(t) * exp(risk)) at each time of ``grid`` (time), which is of a bounded size."""
+    at = step_value(grid, stored(baseline), "time", "cumulative_hazard", 0.0)
+    return table.select("vehicle_id", "risk").crossJoin(F.broadcast(at)).select("vehicle_id", "time", F.exp(-F.col("cumulative_hazard") * F.exp("risk")).alias("survival"))
+
+
+def time_grid(test: DataFrame, train: DataFrame, n: int = 100, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """(time): ``n`` even steps between two percentiles of the test durations, those strictly within the train durations."""
+    ends = percentiles(test, "duration", (low, high)).select(F.col("p0").alias("a"), F.col("p1").alias("b"))
+    bounds = train.agg(F.min("duration").alias("lo"), F.max("duration").alias("hi"))
+    even = ends.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select((F.col("a") + (F.col("b") - F.col("a")) * F.col("i") / (n - 1)).alias("time"))
+    return even.crossJoin(F.broadcast(bounds)).filter((F.col("time") > F.col("lo")) & (F.col("time") < F.col("hi"))).select("time").distinct()
+
+
+def baseline_grid(baseline: DataFrame, test: DataFrame, train: DataFrame, n: int = 100) -> DataFrame:
+    """(time): times of the baseline that lie in both ranges of durations, thinned to ``n`` by even places among them."""
+    ends = test.agg(F.min("duration").alias("a"), F.max("duration").alias("b")).crossJoin(train.agg(F.min("duration").alias("lo"), F.max("duration").alias("hi")))
+    inside = baseline.select("time").crossJoin(F.broadcast(ends)).filter("time >= a AND time < b AND time > lo AND time < hi").select("time")
+    placed = running_sums(inside, "time", {"place": F.lit(1).cast("bigint")})
+    total = placed.agg(F.max("place").alias("held"))
+    i = F.explode(F.sequence(F.lit(0), F.least(F.lit(n), F.col("held")).cast("int") - 1)).alias("i")
+    picks = total.filter("held > 0").select("held", i).select(F.floor(F.when(F.least(F.lit(n), F.col("held")) > 1, F.col("i") * (F.col("held") - 1) / (F.least(F.lit(n), F.col("held")) - 1)).otherwise(0.0) + 1e-9).cast("bigint").alias("pick")).distinct()
+    return placed.join(F.broadcast(picks), F.col("place") - 1 == F.col("pick")).select("time")
+
+
+def weighted_events(test: DataFrame, train: DataFrame) -> DataFrame:
+    """``test`` and weight: of an event the inverse of the probability, by the train rows, of not being censored by then; else 0."""
+    held = step_value(test, stored(censoring_survival(train).withColumnRenamed("survival", "_g")), "duration", "_g", 1.0)
+    return held.withColumn("weight", F.when(F.col("event") == 1, F.try_divide(F.lit(1.0), F.col("_g"))).otherwise(0.0)).drop("_g")
+
+
+def dynamic_auc(test: DataFrame, train: DataFrame, grid: DataFrame) -> DataFrame:
+    """(time, auc): at each time of ``grid``, how often an event by then has the larger risk than a row that lasts longer.
+
+    Events are weighted by :func:`weighted_events`; equal risks count half.
+    Risks are summed up by value and time, then along ranges of risks.
+    """
+    rows = stored(weighted_events(test, train)).crossJoin(F.broadcast(grid))
+    case = F.when((F.col("duration") <= F.col("time")) & (F.col("event") == 1), F.col("weight")).otherwise(0.0)
+    control = (F.col("duration") > F.col("time")).cast("bigint")
+    held = stored(rows.groupBy("time", F.col("risk").cast("double").alias("risk")).agg(F.sum(case).alias("cases"), F.sum(control).alias("controls")))
+    below = running_sums(held, "risk", {"upto": F.col("controls")}, keys=("time",))
+    found = below.groupBy("time").agg(F.sum(F.col("cases") * (F.col("upto") - F.col("controls") / 2)).alias("_won"), F.sum("cases").alias("_cases"), F.sum("controls").alias("_controls"))
+    return found.select("time", F.try_divide(F.col("_won"), F.col("_cases") * F.col("_controls")).alias("auc"))
+
+
+def mean_auc(auc: DataFrame, test: DataFrame) -> DataFrame:
+    """One row, mean_auc: over the grid, weighted by how much the survival of the test rows falls up to each time."""
+    curve = step_value(auc, kaplan_meier(test), "time", "survival", 1.0)
+    falls = curve.withColumn("_fall", F.coalesce(F.lag("survival").over(Window.orderBy("time")), F.lit(1.0)) - F.col("survival"))  # a row a time of the grid
+    return falls.agg(F.try_divide(F.sum(F.col("auc") * F.col("_fall")), 1 - F.min("survival")).alias("mean_auc"))
+
+
+def brier_scores(test: DataFrame, train: DataFrame, curves: DataFrame) -> DataFrame:
+    """(time, brier): the mean weighted squared error of ``curves`` (vehicle_id, time, survival) at each of their times."""
+    weighted = weighted_events(test, train).select("vehicle_id", "duration", "event", "weight")
+    at = stored(censoring_survival(train).withColumnRenamed("survival", "_g"))
+    grid = step_value(curves.select("time").distinct(), at, "time", "_g", 1.0)
+    rows = curves.join(weighted, "vehicle_id").join(F.broadcast(grid), "time")
+    gone = F.when((F.col("duration") <= F.col("time")) & (F.col("event") == 1), F.pow("survival", F.lit(2)) * F.col("weight")).otherwise(0.0)
+    there = F.when(F.col("duration") > F.col("time"), F.try_divide(F.pow(1 - F.col("survival"), F.lit(2)), F.col("_g"))).otherwise(0.0)
+    return rows.groupBy("time").agg(F.avg(gone + there).alias("brier"))
+
+
+def integrated_brier(scores: DataFrame) -> DataFrame:
+    """One row, integrated_brier: the trapezoid over the times of ``scores``, by their span."""
+    order = Window.orderBy("time")  # a row a time of the grid
+    area = (F.col("time") - F.lag("time").over(order)) * (F.col("brier") + F.lag("brier").over(order)) / 2
+    return scores.withColumn("_area", area).agg(F.try_divide(F.sum("_area"), F.max("time") - F.min("time")).alias("integrated_brier"))
 
 
 def nearest_to_percentiles(table: DataFrame, value: str, shares: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
     """(share, cut, vehicle_id): the row nearest to each percentile, the smaller id on ties."""
-    cuts = table.agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("_cuts")).select(F.posexplode("_cuts").alias("_at", "cut"))
-    cuts = cuts.select(F.get(F.array(*map(F.lit, shares)), F.col("_at")).alias("share"), "cut")
+    found = percentiles(table, value, shares)
+    cuts = found.select(F.inline(F.array(*[F.struct(F.lit(s).alias("share"), F.col(f"p{i}").alias("cut")) for i, s in enumerate(shares)])))
     near = table.crossJoin(F.broadcast(cuts)).groupBy("share", "cut")  # a row for each share
     return near.agg(F.min_by("vehicle_id", F.struct(F.abs(F.col(value) - F.col("cut")), "vehicle_id")).alias("vehicle_id"))
+
+
+def leaderboard(table: DataFrame, by: str = "c_index") -> DataFrame:
+    """``table`` (model, split and metrics) with place: the best first, by name on ties."""
+    return table.withColumn("place", F.row_number().over(Window.partitionBy("split").orderBy(F.desc(by), "model")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import transforms as X
@@ -10,6 +10,7 @@ from tidemark.operators import features as A
 from tidemark.operators import quality as Q
 from tidemark.operators import sequences as B
 from tidemark.operators import survival as M
+from tidemark.operators.concordance import concordance
 from tidemark.operators import views as V
 from tidemark.sources.tables import order_readouts, order_vehicles, table
 
@@ -67,15 +68,6 @@ def q7_counter_resets(spark, d):
     return rounded(Q.counter_resets(order_readouts(spark, d), [PRICE]))
 
 
-def q8_cumulative_verdicts(spark, d):
-    return rounded(Q.cumulative_verdicts(order_readouts(spark, d), [PRICE]))
-
-
-def q10_key_coverage(spark, d):
-    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("vehicle_id"))
-    return Q.key_coverage(order_readouts(spark, d), customers)
-
-
 def q11_null_counts(spark, d):
     return Q.null_counts(order_readouts(spark, d))
 
@@ -128,12 +120,11 @@ def m_kaplan_meier(spark, d):
 
 
 def m1_c_index(spark, d):
-    risk: Column = F.col("duration") % 97
-    return rounded(M.concordance(order_vehicles(spark, d).withColumn("risk", -risk)))
+    return rounded(concordance(_risks(spark, d)))
 
 
 def _risks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_vehicles(spark, sf_dir).withColumn("risk", F.col("vehicle_id") % 13 / 10)
+    return order_vehicles(spark, sf_dir).withColumn("risk", F.col("vehicle_id") * 7919 % 1009 / 500)
 
 
 def l5_cox_loss(spark, d):
@@ -184,7 +175,7 @@ SPLIT = """p AS (SELECT vehicle_id, event, CASE WHEN k <= floor(m * 0.7) THEN 't
   FROM (SELECT *, row_number() OVER (PARTITION BY event ORDER BY md5('42:' || vehicle_id), vehicle_id) AS k, count(*) OVER (PARTITION BY event) AS m FROM v)),
 """
 GAPS = "g AS (SELECT vehicle_id, rid, time_step, time_step - lag(time_step) OVER (PARTITION BY vehicle_id ORDER BY time_step, rid) AS gap FROM r),\n"
-RISKS = "t AS (SELECT vehicle_id, duration, event, vehicle_id % 13 / 10 AS risk FROM v),\nh AS (SELECT duration, events, sum(own) OVER (ORDER BY duration DESC) AS hazard FROM (SELECT duration, sum(event) AS events, sum(exp(risk)) AS own FROM t GROUP BY 1)),\n"
+RISKS = "t AS (SELECT vehicle_id, duration, event, vehicle_id * 7919 % 1009 / 500 AS risk FROM v),\nh AS (SELECT duration, events, sum(own) OVER (ORDER BY duration DESC) AS hazard FROM (SELECT duration, sum(event) AS events, sum(exp(risk)) AS own FROM t GROUP BY 1)),\n"
 STEPS = "d AS (SELECT *, lag(f) OVER (PARTITION BY vehicle_id ORDER BY time_step, rid) AS prev FROM r),\n"
 
 
@@ -207,11 +198,6 @@ FROM (SELECT vehicle_id, arg_min(f, seq_idx) FILTER (f IS NOT NULL) AS a, arg_ma
     "q5_gap_summary": _sql(READOUTS, GAPS, "SELECT count(gap) AS n, round(avg(gap), 5) AS mean, round(stddev_samp(gap), 5) AS std, min(gap) AS least, max(gap) AS most, " + ", ".join(f"round(quantile_cont(gap, {p}), 5) AS p{round(p * 100)}" for p in Q.PERCENTILES) + " FROM g"),
     "q6_large_gaps": _sql(READOUTS, GAPS, "SELECT * FROM g WHERE gap > 50"),
     "q7_counter_resets": _sql(READOUTS, STEPS, "SELECT vehicle_id, time_step, '1_0' AS feature, round(f, 5) AS value, round(prev, 5) AS prev, round(f - prev, 5) AS diff FROM d WHERE f < prev"),
-    "q8_cumulative_verdicts": _sql(READOUTS, STEPS, """SELECT '1_0' AS feature, n AS n_diffs, round(a, 5) AS negative_ratio, round(b, 5) AS positive_ratio, round(lo, 5) AS min_diff, round(hi, 5) AS max_diff,
-  round(m, 5) AS mean_abs_diff, CASE WHEN n < 50 THEN 'insufficient' WHEN a <= 0.01 AND b >= 0.8 THEN 'cumulative' ELSE 'not_cumulative' END AS verdict
-FROM (SELECT count(*) AS n, avg((x < -1e-8)::INT) AS a, avg((x > 1e-8)::INT) AS b, min(x) AS lo, max(x) AS hi, avg(abs(x)) AS m FROM (SELECT f - prev AS x FROM d) WHERE x IS NOT NULL)"""),
-    "q10_key_coverage": _sql(READOUTS, """SELECT count(DISTINCT vehicle_id) AS n_left, (SELECT count(DISTINCT c_custkey) FROM customer) AS n_right,
-  count(DISTINCT vehicle_id) FILTER (vehicle_id NOT IN (SELECT c_custkey FROM customer)) AS left_only, (SELECT count(DISTINCT c_custkey) FROM customer WHERE c_custkey NOT IN (SELECT vehicle_id FROM r)) AS right_only FROM r"""),
     "q11_null_counts": _sql(READOUTS, "SELECT '1_0' AS feature, count(*) - count(f) AS nulls FROM r"),
     "b1_sequences": _sql(READOUTS, SEQUENCES, "SELECT vehicle_id, rid, time_step, seq_idx, time_gap, n AS sequence_length FROM s"),
     "b2_random_truncation": _sql(READOUTS, VEHICLES, SEQUENCES, """c AS (SELECT *, 5 + ('0x' || substr(md5('42:' || vehicle_id), 1, 8))::BIGINT % (n - 4) AS cut FROM s WHERE n >= 5),
@@ -233,7 +219,7 @@ SELECT vehicle_id, rid, seq_idx, k AS sequence_length, readout_time, original_du
     "m_kaplan_meier": _sql(READOUTS, VEHICLES, """k AS (SELECT duration AS time, count(*) AS gone, sum(event)::BIGINT AS events FROM v GROUP BY 1),
 h AS (SELECT time, events, (sum(gone) OVER (ORDER BY time DESC))::BIGINT AS at_risk FROM k)""", """
 SELECT time, at_risk, events, round(coalesce(exp(sum(CASE WHEN events < at_risk THEN ln(1 - events / at_risk) END) OVER w), 1) * CASE WHEN max((events = at_risk)::INT) OVER w = 1 THEN 0 ELSE 1 END, 5) AS survival FROM h WHERE events > 0 WINDOW w AS (ORDER BY time)"""),
-    "m1_c_index": _sql(READOUTS, VEHICLES, "t AS (SELECT duration, event, -(duration % 97) AS risk FROM v)", """
+    "m1_c_index": _sql(READOUTS, VEHICLES, RISKS, """
 SELECT comparable, concordant, tied, round((concordant + tied / 2) / comparable, 5) AS c_index FROM (SELECT count(*) AS comparable, count(*) FILTER (a.risk > b.risk) AS concordant, count(*) FILTER (a.risk = b.risk) AS tied
   FROM t a JOIN t b ON a.event = 1 AND (b.duration > a.duration OR (b.duration = a.duration AND b.event = 0)))"""),
     "l5_cox_loss": _sql(READOUTS, VEHICLES, RISKS, "SELECT count(*) AS n_events, round(coalesce(avg(ln(hazard) - risk), 0), 5) AS loss FROM t JOIN h USING (duration) WHERE event = 1"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -41,3 +41,74 @@ def order_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = order_readouts(spark, sf_dir).groupBy("vehicle_id").agg(F.max("time_step").alias("last"), F.max_by("status", F.struct("time_step", "rid")).alias("status"))
     specs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("vehicle_id"), F.col("c_mktsegment").alias("Spec_0"), F.col("c_nationkey").cast("string").alias("Spec_1"))
     return specs.join(last, "vehicle_id").select("vehicle_id", "Spec_0", "Spec_1", (F.col("last") + 30).alias("duration"), (F.col("status") == "F").cast("int").alias("event"))
+
+
+#: The histogram of event readouts counts these, one bin each, in this order (fixed values of the stored table).
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+EVENT_BINS = [f"2_{i}" for i in range(len(EVENT_TYPES))]
+
+
+def event_readouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as vehicles, events as readouts: a numerical column, null in every eleventh event, and a cumulative histogram of event types, null in every thirteenth."""
+    held = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("vehicle_id"),
+        F.col("event_id").alias("rid"),
+        (F.timestamp_diff("SECOND", F.lit("2024-01-01").cast("timestamp_ntz"), "ts") / 3600.0).alias("time_step"),
+        F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("1_0"),
+        F.col("event_type").alias("status"),
+    )
+    order = Window.partitionBy("vehicle_id").orderBy("time_step", "rid").rowsBetween(Window.unboundedPreceding, 0)
+    counts = {c: F.when(F.col("rid") % 13 != 0, F.count_if(F.col("status") == kind).over(order).cast("double")) for c, kind in zip(EVENT_BINS, EVENT_TYPES)}
+    return held.withColumns(counts)
+
+
+def event_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers that have events as users: an event if their last one is a click or an error; observed one to seven days longer."""
+    last = event_readouts(spark, sf_dir).groupBy("vehicle_id").agg(F.max("time_step").alias("last"), F.max_by("status", F.struct("time_step", "rid")).alias("status"))
+    specs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("vehicle_id"), F.col("c_mktsegment").alias("Spec_0"), F.col("c_nationkey").cast("string").alias("Spec_1"))
+    return specs.join(last, "vehicle_id").select("vehicle_id", "Spec_0", "Spec_1", (F.col("last") + 24 * (1 + F.col("vehicle_id") % 7)).alias("duration"), F.col("status").isin("click", "error").cast("int").alias("event"))
+
+
+def read_raw_tables(spark: SparkSession, folder: str, schemas: dict[str, StructType | str]) -> dict[str, DataFrame]:
+    """The CSV files ``name``.csv of a folder, by name, each by its schema."""
+    return {name: read_csv(spark, f"{folder}/{name}.csv", schema) for name, schema in schemas.items()}
+
+
+def write_processed(features: dict[str, DataFrame], targets: dict[str, DataFrame], folder: str) -> None:
+    """Predictors and targets of each split: X_``split`` and y_``split`` below ``folder``."""
+    for kind, tables in (("X", features), ("y", targets)):
+        for split, rows in tables.items():
+            rows.write.mode("overwrite").parquet(f"{folder}/{kind}_{split}")
+
+
+def read_processed(spark: SparkSession, folder: str, splits: tuple[str, ...] = ("train", "val")) -> dict[str, DataFrame]:
+    """What :func:`write_processed` wrote of ``splits``: X_``split`` and y_``split``."""
+    return {f"{kind}_{split}": spark.read.parquet(f"{folder}/{kind}_{split}") for split in splits for kind in ("X", "y")}
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """A JSON object a row."""
+    rows.write.mode("overwrite").json(path)
+
+
+def write_list(spark: SparkSession, items: list, path: str, name: str = "value") -> None:
+    """A short list, such as column names, as JSON rows in order."""
+    kind = "double" if any(isinstance(i, float) for i in items) else "bigint" if items and all(isinstance(i, int) for i in items) else "string"
+    write_json(spark.createDataFrame(list(enumerate(items)), f"place bigint, {name} {kind}").coalesce(1), path)
+
+
+def read_list(spark: SparkSession, path: str, name: str = "value") -> list:
+    return [r[name] for r in spark.read.json(path).orderBy("place").collect()]
+
+
+def write_artifacts(folder: str, sequences: DataFrame, **fitted: DataFrame) -> None:
+    """Sequences of all splits, a folder a split, and tables of fitted parameters (normalizer, vocabulary, gap scaler) beside them."""
+    write_split_tables(sequences, f"{folder}/sequences")
+    for name, rows in fitted.items():
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def read_artifacts(spark: SparkSession, folder: str, *fitted: str, split: str | None = None) -> dict[str, DataFrame]:
+    """What :func:`write_artifacts` wrote; of one split only its folder is read."""
+    rows = spark.read.parquet(f"{folder}/sequences")
+    return {"sequences": rows if split is None else rows.filter(F.col("split") == split)} | {name: spark.read.parquet(f"{folder}/{name}") for name in fitted}
