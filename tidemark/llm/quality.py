@@ -57,10 +57,10 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     size = np.diff(np.append(heads, len(start)))
     kind = KINDS[np.frombuffer(raw, np.uint8)].astype(np.int64)
     pair = kind[:-1] * N_KINDS + kind[1:]
-    # bytes before a text's first word go to the passage before; they are blank
-    passage_of = np.repeat(np.arange(len(heads)), np.diff(np.append(start[heads], len(raw))))
-    pair = pair[start[0] :]
-    grid = np.bincount(passage_of[: len(pair)] * N_KINDS**2 + pair, minlength=len(heads) * N_KINDS**2).reshape(len(heads), -1).astype(np.float32)
+    passage_of = np.repeat(np.arange(len(heads)), np.diff(np.append(start[heads], len(raw))))[:-1]
+    byte_of = np.repeat(np.arange(len(texts)), np.diff(np.append(0, ends)))[start[0] :]
+    inside = (owner[passage_of] == byte_of[:-1]) & (byte_of[1:] == byte_of[:-1])  # not the blanks before a text's first word, nor a pair of two texts
+    grid = np.bincount((passage_of * N_KINDS**2 + pair[start[0] :])[inside], minlength=len(heads) * N_KINDS**2).reshape(len(heads), -1).astype(np.float32)
     grid /= np.maximum(1, grid.sum(1, keepdims=True))
     number, words = distinct_slices(raw, start, length)
     run_of = np.repeat(np.arange(len(heads)), size)
