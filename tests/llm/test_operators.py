@@ -5,16 +5,17 @@ import json
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import language, quality, suffix_dedup, suffixes, toxicity
+from tidemark.llm import jaccard, language, media, quality, suffix_dedup, suffixes, toxicity
 from tidemark.llm.bpe_ops import bpe_decode, bpe_encode, bpe_round_trip
 from tidemark.llm.components import connected
 from tidemark.llm.exact_dedup import exact_dedup
@@ -22,6 +23,7 @@ from tidemark.llm.jaccard import jaccard_components, near_dedup
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.media import describe_media, from_png, media_columns, padded, to_png
 from tidemark.llm.packing import best_fit, pack_documents, sweep
+from tidemark.llm.words import subwords
 
 WORDS = "alpha beta gamma delta wind tide mark stone river cloud light, Dark. élan über ñandú 日本 l'eau don't".split(" ")
 SCHEMA = "doc_id bigint, text string, lang string, chunk int, `_0` string"
@@ -79,9 +81,7 @@ def test_media(docs, plain, empty):
     assert media_columns(empty).count() == 0
 
 
-def test_media_reads_damaged_member_again(tmp_path, spark, docs):
-    from tidemark.llm import media
-
+def test_media_of_lasting_damage_fails(tmp_path, spark, docs):
     stored = media.store_media(docs, f"file://{tmp_path}/m")
     assert describe_media(stored).count() == docs.count()
     archive = next(tmp_path.glob("m/*.zip"))
@@ -92,6 +92,68 @@ def test_media_reads_damaged_member_again(tmp_path, spark, docs):
         stored.count() and describe_media(stored).collect()
 
 
+def test_media_append_and_overwrite(tmp_path, spark):
+    path = f"file://{tmp_path}/m"
+    some = lambda ids: spark.createDataFrame([(i, "text") for i in ids], "doc_id bigint, text string")
+    keys = lambda stored: sorted(r.key for r in stored.select("key").collect())
+    assert keys(media.store_media(some([1, 2]), path)) == [1, 2]
+    assert keys(media.store_media(some([3]), path)) == [1, 2, 3]
+    assert keys(media.store_media(some([4]), path, mode="overwrite")) == [4]
+    left = {name for name, _ in media.archives(*media._files(path))}
+    assert {f.name for f in tmp_path.glob("m/*.zip")} == left
+    writer = media.MediaWriter(path, 1 << 20, False)
+    made = writer.write(iter([pa.RecordBatch.from_pydict({"key": [9], "n_bytes": [1], "media": [b"x"]})]))
+    assert (tmp_path / "m" / made.made[0][0]).exists()
+    writer.abort([made, None])
+    assert not (tmp_path / "m" / made.made[0][0]).exists()
+
+
+class _Faulty:
+    """Files of which the reads named by number fail once; ``spoil``: bytes of that read are wrong instead."""
+
+    def __init__(self, files, fail=(), spoil=()):
+        self.files, self.fail, self.spoil, self.reads = files, set(fail), set(spoil), 0
+
+    def open_input_file(self, path):
+        outer, f = self, self.files.open_input_file(path)
+
+        class Wrapped:
+            closed = False
+            seek, tell, close = f.seek, f.tell, f.close
+            seekable = readable = lambda self: True
+            __enter__, __exit__ = lambda self: self, lambda self, *_: f.close()
+
+            def read(self, *n):
+                outer.reads += 1
+                if outer.reads in outer.fail:
+                    raise OSError("a fault that goes away")
+                data = f.read(*n)
+                return bytes(len(data)) if outer.reads in outer.spoil else data
+
+        return Wrapped()
+
+    def __getattr__(self, name):
+        return getattr(self.files, name)
+
+
+def test_media_reads_again_after_faults_that_go_away(tmp_path, spark, monkeypatch):
+    path = f"file://{tmp_path}/m"
+    media.store_media(spark.createDataFrame([(i, f"text {i}" * 9) for i in range(5)], "doc_id bigint, text string").coalesce(1), path)
+    reader = media.MediaReader(path, 1 << 20, 3)
+    (part,) = reader.partitions()
+    whole = [r for b in reader.read(part) for r in b.to_pylist()]
+    files, root = media._files(path)
+    counted = _Faulty(files)
+    monkeypatch.setattr(media, "_files", lambda _: (counted, root))
+    list(reader.read(part))
+    assert len(whole) == 5 and counted.reads >= 2
+    for n in range(1, counted.reads + 1):
+        for kind in ("fail", "spoil"):
+            faulty = _Faulty(files, **{kind: [n]})
+            monkeypatch.setattr(media, "_files", lambda _, faulty=faulty: (faulty, root))
+            assert [r for b in reader.read(part) for r in b.to_pylist()] == whole, (n, kind)
+
+
 def test_packing(docs, plain, empty):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in plain.items()}
@@ -219,6 +281,50 @@ def test_context_tree_is_method_c():
     assert fresh[0] == pytest.approx(-np.log2(1 / 2) - np.log2(1 / 2) - np.log2(1 / 3) - np.log2(2 / 6) + 8)
 
 
+def test_language_equals_plain_matching():
+    rng = random.Random(3)
+    rows = [("".join(rng.choice(letters) for _ in range(80)), name) for name, letters in (("x", "abcab "), ("y", "abdé "), ("z", "dea ")) for _ in range(5)]
+    model = language.Languages(rows)
+    found = model.code_lengths(["abca bde", "é", "", "q" * 5])
+
+    def bits(text, name):
+        seen = defaultdict(Counter)
+        for t in (t for t, own in rows if own == name):
+            raw = bytes(3) + t.encode()
+            for i in range(3, len(raw)):
+                for order in range(4):
+                    seen[order, raw[i - order : i]][raw[i]] += 1
+        total, raw = 0.0, bytes(3) + text.encode()
+        for i in range(3, len(raw)):
+            for order in (3, 2, 1, 0):
+                counts = seen[order, raw[i - order : i]]
+                n, d = sum(counts.values()), len(counts)
+                if raw[i] in counts:
+                    total -= np.log2(counts[raw[i]] / (n + d))
+                    break
+                if n:
+                    total -= np.log2(d / (n + d))
+            else:
+                total += 8
+        return total
+
+    want = [[bits(t, name) for name in "xyz"] for t in ("abca bde", "é", "", "q" * 5)]
+    assert found == pytest.approx(np.array(want), rel=1e-5)
+
+
+def test_columns_of_any_name_pass(spark):
+    rows = spark.createDataFrame([(1, "the wind", "a", True, 2.0), (2, None, None, None, None)], "doc_id bigint, text string, _letters string, letters boolean, _row double")
+    model = language.Languages([("the wind", "en")])
+    found = language.identify(rows, model)
+    assert found.columns == [*rows.columns, "lang_pred", "score"]
+    assert [tuple(r)[2:6] for r in found.orderBy("doc_id").collect()] == [("a", True, 2.0, "en"), (None, None, None, "und")]
+    toxic = toxicity.fit([("vile", 1), ("calm", 0)] * 6)
+    good = quality.fit([("vile", 1), ("calm", 0)] * 6)
+    for scored in (toxicity.score_toxicity(rows, toxic), quality.score_quality(rows, good)):
+        assert scored.columns[:5] == rows.columns and scored.count() == 2
+        assert scored.limit(0).count() == 0
+
+
 def test_line_dedup(docs, plain, empty):
     lines = {i: t.split("\n") for i, t in plain.items()}
     first, cut = {}, defaultdict(set)
@@ -320,6 +426,86 @@ def test_classifiers_learn(spark):
     assert toxicity.toxicity(docs, none).count() == quality.quality(docs, none).count() == 242
 
 
+def test_toxicity_equals_plain_scores():
+    rng = random.Random(9)
+    rows = [(" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 40))) + (" Vile" if i % 2 else ""), i % 2) for i in range(60)]
+    model = toxicity.fit(rows, steps=3)
+
+    def margin(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        value = [model.weight[subwords([w.encode()], toxicity.SIZES, toxicity.BUCKETS)[0]].mean(dtype=np.float64) for w in words]
+        passages = [np.mean(value[i : i + toxicity.RUN]) + model.bias for i in range(0, len(value), toxicity.RUN)]
+        return np.log(np.mean(np.exp(passages))) if passages else model.bias
+
+    some = [t for t, _ in rows] + ["", " \n "]
+    assert model.margins(some) == pytest.approx([margin(t) for t in some], rel=1e-4, abs=1e-4)
+
+
+def test_quality_equals_plain_scores():
+    rng = random.Random(9)
+    rows = [(" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 300))) + "%%%" * (i % 2), i % 2) for i in range(40)]
+    model = quality.fit(rows, steps=5)
+    w1, b1, v, u, a, w2, b2 = model.parameters
+
+    def score(text):
+        x, _ = quality.passages([text])
+        h = [np.tanh((row - model.mean) / model.scale @ w1 + b1) for row in x]
+        e = np.array([np.exp((np.tanh(p @ v) / (1 + np.exp(-(p @ u)))) @ a) for p in h])
+        bag = sum((s * p for s, p in zip(e / e.sum(), h)), np.zeros(len(b1))) if len(h) else np.zeros(len(b1))
+        return 1 / (1 + np.exp(-(bag @ w2 + b2[0])))
+
+    some = [t for t, _ in rows] + [""]
+    assert model.scores(some) == pytest.approx([score(t) for t in some], rel=1e-4, abs=1e-5)
+
+
+def test_texts_beyond_a_chunk(spark):
+    rng = random.Random(11)
+    long = " ".join(rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(300_000))
+    texts_ = {1: long, 2: "short one", 3: None, 4: long + " and more", 5: "short one"}
+    docs = spark.createDataFrame(list(texts_.items()), "doc_id bigint, text string").coalesce(1)
+    assert len(long) > 3 << 20
+    raw = {i: (t or "").encode() for i, t in texts_.items()}
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    for r in bpe_round_trip(docs, path).collect():
+        assert r.decoded_sha256 == hashlib.sha256(raw[r.doc_id]).hexdigest()
+    for r in media_columns(docs).collect():
+        assert r.n_bytes == len(raw[r.doc_id]) and r.payload_sha256 == hashlib.sha256(padded(raw[r.doc_id])).hexdigest()
+    assert {r.doc_id: r.component_id for r in jaccard_components(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 1, 5: 2}
+    removed_ = {r.doc_id: r.suffix_dedup.n_removed for r in suffix_dedup.suffix_dedup(docs).collect()}
+    assert removed_[1] == removed_[2] == removed_[3] == removed_[5] == 0 and removed_[4] >= len(long.encode())
+    assert {r.doc_id: r.keep_id for r in exact_dedup(docs).collect()} == {1: 1, 2: 5, 3: 3, 4: 4, 5: 5}
+    assert sum(r.length for r in pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).filter("doc_id = 1").collect()) > 600_000
+    assert line_dedup(docs).count() == 5
+
+
+def test_cut_characters_go_whole(spark):
+    rows = {1: "é" * 40, 2: "one ũ" + "é" * 30 + "å two"}  # ũ ends with the same byte as é, å begins with the same
+    out = {r.doc_id: r for r in suffix_dedup.suffix_dedup(spark.createDataFrame(list(rows.items()), "doc_id bigint, text string"), as_text=True).collect()}
+    assert (out[1].text, out[2].text) == (rows[1], "one  two")
+    assert tuple(out[2].suffix_dedup)[1:] == (len(rows[2].encode()), 64, 1)
+    start, end = suffix_dedup.whole_characters("aé日b".encode(), np.array([2, 4]), np.array([4, 5]))
+    assert (start.tolist(), end.tolist()) == ([1], [6])
+
+
+@pytest.mark.parametrize("block", [40, 400])
+def test_jaccard_in_blocks(spark, monkeypatch, block):
+    """Trees that are cut into blocks, and those too wide for bitmaps, find the same components."""
+    rng = random.Random(13)
+    base = [rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(60)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(i % 9):
+            words[rng.randrange(60)] = f"edit{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    whole = sorted(map(tuple, jaccard_components(docs, size=2, percent=85).collect()))
+    assert 1 < len({c for _, _, c in whole}) < 90
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "TREE_ROWS", block // 10)
+    assert sorted(map(tuple, jaccard_components(docs, size=2, percent=85).collect())) == whole
+
+
 def test_toxicity_averages_words_and_passages():
     rng = random.Random(6)
     calm = [f"calm{a}{b}" for a in "aeiou" for b in "lmnrst"]
@@ -338,6 +524,14 @@ def test_toxicity_averages_words_and_passages():
     assert of_both == pytest.approx(np.log((np.exp(of_a) + np.exp(of_b)) / 2)) and of_both < max(of_a, of_b)
 
 
+def test_pipeline_of_an_empty_table(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    empty.select("doc_id", "text", "lang").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path, docs):
     import corpus_pipeline
 
