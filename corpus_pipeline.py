@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages that each take and return documents, the last one packed pieces."""
+"""The corpus pipeline: stages that each take and return documents, the last one packed pieces.
+
+Every stage takes tables without rows, null, empty and very long texts, null
+and repeated keys, and further columns of any name, which pass; a null text
+stays null, and counts as an empty one.  Rows are told apart by doc_id and text.
+"""
 
 from __future__ import annotations
 
@@ -26,7 +31,11 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose toxicity is below 0.5, by a model of the labels outside fold 0."""
+    """The documents whose toxicity is below 0.5, by a model of the labels outside fold 0.
+
+    Equal texts get equal scores; null, empty and blank ones that of no words.
+    Null labels and keys teach nothing; without both labels nothing goes.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels.filter(fold(F.col("doc_id"), FOLDS) != 0))
     scored = toxicity.score_toxicity(docs.withColumn("_row", F.struct(*docs.columns)).select("text", "_row"), model, name="_score")
@@ -34,22 +43,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every later occurrence of three lines in a row is cut out."""
+    """Every later occurrence of three lines in a row is cut out; later is by doc_id (null last), then by line.
+
+    Texts of fewer than three lines stay; rows of one doc_id and text are the same occurrence.
+    """
     return _counted(line_dedup(docs).drop("line_dedup"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 of their five-word shingles the smallest doc_id stays."""
+    """Of documents linked by a similarity of 0.8 of their five-word shingles the smallest doc_id stays.
+
+    A null doc_id stays only where a group has no other; texts without words are linked with nothing and stay.
+    """
     return near_dedup(docs)
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every string of 50 bytes that a smaller doc_id has too is cut out."""
+    """Every string of 50 bytes that a smaller doc_id has too is cut out, with the characters it cuts in two.
+
+    A null doc_id is larger than any other; rows of one doc_id don't count against each other.
+    """
     return _counted(suffix_dedup(docs, as_text=True).drop("suffix_dedup"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens in sequences of 1024."""
+    """The documents' tokens in sequences of 1024; a null or empty text is its end token alone."""
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
