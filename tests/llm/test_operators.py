@@ -487,7 +487,7 @@ def test_cut_characters_go_whole(spark):
     assert (start.tolist(), end.tolist()) == ([1], [6])
 
 
-@pytest.mark.parametrize("block", [40, 400])
+@pytest.mark.parametrize("block", [40])
 def test_jaccard_in_blocks(spark, monkeypatch, block):
     """Trees that are cut into blocks, and those too wide for bitmaps, find the same components."""
     rng = random.Random(13)
