@@ -20,6 +20,8 @@ from tidemark.llm.scratch import written
 from tidemark.llm.suffix_dedup import suffix_dedup
 
 FOLDS = 5
+#: Texts of each label that the toxicity model is fitted on: fewer than by default, as the driver also holds the later stages' plans.
+TOXICITY_SAMPLE = 1000
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -37,7 +39,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null labels and keys teach nothing; without both labels nothing goes.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.train(docs, labels.filter(fold(F.col("doc_id"), FOLDS) != 0))
+    model = toxicity.train(docs, labels.filter(fold(F.col("doc_id"), FOLDS) != 0), most=TOXICITY_SAMPLE)
     scored = toxicity.score_toxicity(docs.withColumn("_row", F.struct(*docs.columns)).select("text", "_row"), model, name="_score")
     return scored.filter("_score < 0.5").select("_row.*")
 
