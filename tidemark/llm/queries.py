@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe_ops import bpe_round_trip
+from tidemark.llm.conversations import repaired_conversations
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.filter_audit import audited_documents
 from tidemark.llm.jaccard import jaccard_components
 from tidemark.llm.language import language
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.media import media_columns
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import quality
+from tidemark.llm.sharding import sharded_documents
 from tidemark.llm.suffix_dedup import suffix_dedup
 from tidemark.llm.toxicity import toxicity
 
@@ -72,6 +75,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audited_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded_documents(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = f"""
 WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')) AS h FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -92,6 +107,43 @@ SELECT d.doc_id, len(d.ls) AS n_lines, len(d.ls) - coalesce(k.n, 0) AS n_removed
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY x) AS first FROM d),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CASE WHEN len(words) < 50 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * (length(x) - length(regexp_replace(x, '[A-Z]', '', 'g'))) > 5 * length(x) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN coalesce(doc_id > first, false) THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN l USING (doc_id)
+),
+cells AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS t FROM m GROUP BY part, fails),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+  FROM f a JOIN f b ON b.f <> a.f JOIN f c ON c.f NOT IN (a.f, b.f) JOIN f d ON d.f NOT IN (a.f, b.f, c.f) JOIN f e ON e.f NOT IN (a.f, b.f, c.f, d.f)
+),
+steps AS (SELECT filter_order, k AS step, substr(filter_order, k, 1) AS f, substr(filter_order, 1, k - 1) AS before FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
+held AS (
+  SELECT part, filter_order, step, f, n, g, t, fails, contains(fails, f) AS hit,
+         before <> '' AND fails <> '' AND regexp_matches(fails, '[' || before || '-]') AS gone
+  FROM steps, cells
+),
+counted AS (
+  SELECT part, filter_order, step, f,
+         coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS removed,
+         coalesce(sum(n) FILTER (hit AND gone), 0) AS redundant, coalesce(sum(n) FILTER (fails = f), 0) AS unique_fails,
+         coalesce(sum(g) FILTER (hit AND NOT gone), 0) AS good_lost, coalesce(sum(t) FILTER (hit AND NOT gone), 0) AS toxic_lost
+  FROM held GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM counted
+"""
+
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -103,5 +155,8 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_sharding": op13_sharding,
 }
-ORACLE_SQL = {"op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLE_SQL = {"op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op12_filter_audit": OP12_SQL}
