@@ -264,6 +264,10 @@ def x5_event_batches(spark, d):
     return H.event_batches(event_vehicles(spark, d), 12, 4).select("batch", "place", "vehicle_id", "event")
 
 
+def x8_loaded(spark, d):
+    return H.loaded(event_vehicles(spark, d).select("vehicle_id"), "vehicle_id", 128, epochs=2)
+
+
 def x6_collated(spark, d):
     packed = B.packed(_filled(spark, d), [VALUE]).withColumn("batch", F.floor(F.col("vehicle_id") / 16))
     held = H.collated(packed, [VALUE])
@@ -349,6 +353,17 @@ g AS (SELECT -1 AS k, []::VARCHAR[] AS gone
 SELECT feature, list_contains(gone, feature) AS dropped FROM (SELECT unnest({names}) AS feature), (SELECT gone FROM g ORDER BY k DESC LIMIT 1)"""
 
 
+def _shuffled(source: str, name: str) -> str:
+    """shuffled: the rows of ``source`` (i, n, ...) with v, where the permutation of this name takes i."""
+    number = lambda text: f"('0x' || substr(md5('42:' || {text}), 1, 8))::BIGINT"
+    out = [f"r0 AS (SELECT *, i AS v FROM {source}),"]
+    for k in range(1, H.ROUNDS + 1):
+        at = f"(({number(f"{name} || ':{k}'")} % n - v) % n + n) % n"
+        bit = number(f"{name} || ':{k}:' || greatest(v, m)")
+        out.append(f"r{k} AS (SELECT * EXCLUDE (v, m), CASE WHEN {bit} % 2 = 1 THEN m ELSE v END AS v FROM (SELECT *, {at} AS m FROM r{k - 1})),")
+    return "\n".join([*out, f"shuffled AS (SELECT * FROM r{H.ROUNDS}),"])
+
+
 ORACLE_SQL = {
     "q1_inspect": _sql(READOUTS, "SELECT feature, nulls, n_rows, 10 AS n_columns FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS feature, count(*) - count({c}) AS nulls, count(*) AS n_rows FROM r" for name, c in COLUMNS.items()) + ") ORDER BY nulls DESC, feature LIMIT 10"),
     "q8_cumulative_verdicts": _sql(READOUTS, SEQUENCES, FILLED, LONG, VERDICT, "SELECT feature, n_diffs, " + ", ".join(f"round({c}, 5) AS {c}" for c in ("negative_ratio", "positive_ratio", "zero_ratio", "min_diff", "max_diff", "mean_abs_diff")) + ", verdict FROM k"),
@@ -392,10 +407,14 @@ FROM (SELECT vehicle_id, n, unnest(range(60))::INT AS position FROM (SELECT DIST
     "f1_kept_by_variance": _sql(READOUTS, SEQUENCES, """SELECT vehicle_id, round(avg(f), 5) AS "1_0_mean", round(min(time_gap) FILTER (seq_idx > 1 OR n = 1), 5) AS gap_min FROM s GROUP BY vehicle_id"""),
     "f2_kept_by_correlation": _greedy(),
     "x2_train_validation": _sql(READOUTS, VEHICLES, "SELECT vehicle_id, CASE WHEN row_number() OVER (PARTITION BY event ORDER BY md5('42:' || vehicle_id), vehicle_id) <= ceil(count(*) OVER (PARTITION BY event) * 0.2) THEN 'val' ELSE 'train' END AS split FROM v"),
-    "x5_event_batches": _sql(READOUTS, VEHICLES, """k AS (SELECT vehicle_id, event, row_number() OVER (PARTITION BY event ORDER BY md5('42:' || vehicle_id), vehicle_id) - 1 AS i FROM v),
+    "x5_event_batches": _sql(READOUTS, VEHICLES, """k AS (SELECT vehicle_id, event, row_number() OVER (PARTITION BY event ORDER BY md5('42:' || vehicle_id), vehicle_id) - 1 AS i, count(*) OVER (PARTITION BY event) AS n FROM v),
 b AS (SELECT ceil(sum(event) / 4)::BIGINT AS batches, floor(count(*) FILTER (event = 0) / 8)::BIGINT AS shares FROM v),
-o AS (SELECT vehicle_id, event, i // 4 AS batch FROM k WHERE event = 1 UNION ALL SELECT vehicle_id, event, unnest(range(i // 8, batches, shares)) FROM k, b WHERE event = 0 AND i // 8 < shares)""", """
-SELECT batch, row_number() OVER (PARTITION BY batch ORDER BY ('0x' || substr(md5('42:' || batch || ':' || vehicle_id), 1, 8))::BIGINT, vehicle_id) - 1 AS place, vehicle_id, event FROM o"""),
+q AS (SELECT k.*, unnest(range(CASE WHEN event = 1 THEN 1 ELSE ceil(batches / shares)::BIGINT END)) AS pass FROM k, b),
+""", _shuffled("q", "'0:' || event || ':' || pass"), """
+o AS (SELECT vehicle_id, event, pass * shares + v // CASE WHEN event = 1 THEN 4 ELSE 8 END AS batch FROM shuffled, b WHERE (event = 1 OR v // 8 < shares) AND pass * shares + v // CASE WHEN event = 1 THEN 4 ELSE 8 END < batches)""", """
+SELECT batch, row_number() OVER (PARTITION BY batch ORDER BY ('0x' || substr(md5('42:0:' || batch || ':' || vehicle_id), 1, 8))::BIGINT, vehicle_id) - 1 AS place, vehicle_id, event FROM o"""),
+    "x8_loaded": _sql(READOUTS, VEHICLES, """q AS (SELECT k.*, epoch FROM (SELECT vehicle_id, row_number() OVER (ORDER BY md5('42:' || vehicle_id), vehicle_id) - 1 AS i, count(*) OVER () AS n FROM v) k, range(2) AS e(epoch)),
+""", _shuffled("q", "'epoch:' || epoch")[:-1], "\nSELECT epoch::INT AS epoch, v // 128 AS batch, v % 128 AS place, vehicle_id FROM shuffled"),
     "x6_collated": _sql(READOUTS, SEQUENCES, FILLED, """i AS (SELECT vehicle_id, max(n) AS n, max(max(n)) OVER (PARTITION BY vehicle_id // 16) AS w FROM s GROUP BY vehicle_id)""", """
 SELECT i.vehicle_id // 16 AS batch, i.vehicle_id, position, coalesce(x, 0) AS value, position < i.n AS valid FROM (SELECT vehicle_id, n, unnest(range(w))::INT AS position FROM i) i LEFT JOIN f ON f.vehicle_id = i.vehicle_id AND f.seq_idx = position + 1"""),
     "x7_dataset": _sql(READOUTS, VEHICLES, SEQUENCES, "SELECT vehicle_id, count(*) AS sequence_length, round(max(duration), 5) AS duration, max(event) AS event, 1.0::DOUBLE AS sample_weight, false AS is_pseudo, row_number() OVER (ORDER BY vehicle_id::VARCHAR) - 1 AS index FROM s JOIN v USING (vehicle_id) GROUP BY vehicle_id"),

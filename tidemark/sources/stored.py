@@ -5,21 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(table: DataFrame) -> DataFrame:
-    """``table``, written and read again: steps that read it many times, or only part of it, don't compute it anew.
-
-    The folder is below ``spark.checkpoint.dir``; below the temp folder where
-    that is unset and the session is a local one.
-    """
-    spark = table.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``; below the temp folder where that is unset and the session is a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/checkpoints"
-    path = f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+
+
+def stored(table: DataFrame, path: str | None = None) -> DataFrame:
+    """``table``, written (to a new shared folder, or ``path``) and read again: steps that read it many times, or only part of it, don't compute it anew."""
+    spark = table.sparkSession
+    path = path or shared_folder(spark)
     table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
