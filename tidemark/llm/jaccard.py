@@ -300,10 +300,12 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     same = written(same, "same")
     discard(docs.sparkSession, since, ("later", "same"))
 
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].alias("key"), _text_id(text).alias("text_id"))
+
     def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-        return left.join(right, left[key].eqNullSafe(right["_key"]) & (left["_text_id"] == right["_id"]), how)
+        return left.join(right, F.col("key").eqNullSafe(F.col("_key")) & (F.col("text_id") == F.col("_id")), how)
 
-    kept = joined(docs.withColumn("_text_id", _text_id(text)), later, "left_anti")
+    kept = joined(held, later, "left_anti")
     if not same.isEmpty():
-        kept = joined(kept, same, "left_anti").unionByName(joined(kept, same, "left_semi").dropDuplicates([key, "_text_id"]))
-    return kept.drop("_text_id")
+        kept = joined(kept, same, "left_anti").unionByName(joined(kept, same, "left_semi").dropDuplicates(["key", "text_id"]))
+    return kept.select("row.*")

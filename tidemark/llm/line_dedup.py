@@ -45,7 +45,7 @@ def later_windows(docs: DataFrame, key: str, text: str, size: int = WINDOW) -> D
     return later.groupBy("id", "tag").agg(F.sort_array(F.collect_set("line")).alias("covered"))
 
 
-def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
+def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW, name: str = "line_dedup") -> DataFrame:
     """``docs`` with every later occurrence of a run of ``size`` lines removed from ``text``.
 
     Lines end at ``\\n`` only and are compared as they are.  The first
@@ -54,11 +54,11 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     ``size`` lines, an empty one and a null one stay as they are; a text whose
     lines all go becomes empty.  Only ``text`` changes; further columns pass,
     whatever their names, and n_lines and n_removed follow in a struct column
-    ``line_dedup`` (of two columns of this name the new one replaces the old).
+    ``name`` (of two columns of this name the new one replaces the old).
     """
     covered = later_windows(docs, key, text, size).select(F.struct("id", "tag").alias("_at"), F.col("covered").alias("_covered"))
     row = F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("tag"))
-    columns = [c for c in docs.columns if c != "line_dedup"]
+    columns = [c for c in docs.columns if c != name]
     held = docs.select(F.struct(*[docs[c] for c in columns]).alias("_row"), row.alias("_here"))
     joined = held.join(covered, F.col("_here").eqNullSafe(F.col("_at")), "left")
     lines, at = _lines(F.col(f"_row.{text}")), F.col("_covered")
@@ -69,4 +69,4 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     shown = joined.select("_row", at.isNull().alias("_whole"), F.size(lines).alias("_n"), kept.alias("_kept"))
     new = F.when(F.col("_whole"), F.col(f"_row.{text}")).otherwise(F.array_join("_kept", "\n"))
     counts = F.struct(F.col("_n").alias("n_lines"), (F.col("_n") - F.size("_kept")).alias("n_removed"))
-    return shown.select(*[new.alias(c) if c == text else F.col(f"_row.{c}").alias(c) for c in columns], counts.alias("line_dedup"))
+    return shown.select(*[new.alias(c) if c == text else F.col(f"_row.{c}").alias(c) for c in columns], counts.alias(name))

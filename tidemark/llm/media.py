@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from tidemark.llm.batches import texts_in_chunks
 from tidemark.llm.scratch import shared_dir
 
 FORMAT = "tidemark_media"
@@ -35,7 +36,7 @@ SCHEMA = "key bigint, n_bytes bigint, media binary"
 ARCHIVE_BYTES = 64 << 20
 SPLIT_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
-MANIFEST = "_archives.json"
+MANIFEST = "_archives-"
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -98,7 +99,7 @@ def _files(path: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 class MediaWriter(DataSourceArrowWriter):
-    """Archives of a write count once the manifest names them: appending keeps those named before, overwriting drops them."""
+    """Archives of a write count once its manifest names them: appending keeps those named before, overwriting drops them."""
 
     def __init__(self, path: str, archive_bytes: int, overwrite: bool):
         self.path, self.archive_bytes, self.overwrite = path, archive_bytes, overwrite
@@ -130,25 +131,36 @@ class MediaWriter(DataSourceArrowWriter):
         return Archives(made)
 
     def commit(self, messages: list[Archives]) -> None:
+        """Writes a manifest of its own beside those of other writes, and renames it when it is whole."""
         files, root = _files(self.path)
-        before = archives(files, root)
-        kept = [] if self.overwrite else before
-        with files.open_output_stream(f"{root}/{MANIFEST}") as f:
-            f.write(json.dumps(sorted([*kept, *(a for m in messages if m for a in m.made)])).encode())
-        if self.overwrite:
-            _delete(files, root, before)
+        before = manifests(files, root) if self.overwrite else []
+        gone = archives(files, root) if self.overwrite else []
+        name = f"{uuid.uuid4().hex}.json"
+        with files.open_output_stream(f"{root}/_writing-{name}") as f:
+            f.write(json.dumps(sorted(a for m in messages if m for a in m.made)).encode())
+        files.move(f"{root}/_writing-{name}", f"{root}/{MANIFEST}{name}")
+        for old in before:
+            files.delete_file(old)
+        _delete(files, root, gone)
 
     def abort(self, messages: list[Archives]) -> None:
         files, root = _files(self.path)
         _delete(files, root, [a for m in messages if m for a in m.made])
 
 
+def manifests(files: pa.fs.FileSystem, root: str) -> list[str]:
+    """The paths of the manifests, one of each write."""
+    found = files.get_file_info(pa.fs.FileSelector(root, allow_not_found=True))
+    return sorted(f.path for f in found if f.base_name.startswith(MANIFEST))
+
+
 def archives(files: pa.fs.FileSystem, root: str) -> list[tuple[str, int]]:
-    """Names and sizes that the manifest has; none where there is no manifest."""
-    if files.get_file_info(f"{root}/{MANIFEST}").type == pa.fs.FileType.NotFound:
-        return []
-    with files.open_input_file(f"{root}/{MANIFEST}") as f:
-        return [(name, size) for name, size in json.loads(f.read())]
+    """Names and sizes that the manifests have; none where there is no manifest."""
+    out = []
+    for path in manifests(files, root):
+        with files.open_input_file(path) as f:
+            out += [(name, size) for name, size in json.loads(f.read())]
+    return sorted(out)
 
 
 def _delete(files: pa.fs.FileSystem, root: str, made: list[tuple[str, int]]) -> None:
@@ -272,10 +284,10 @@ class MediaSource(DataSource):
 
 
 def _as_media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [t or b"" for t in batch["payload"].to_pylist()]
+    for part, payloads in texts_in_chunks(batches, "payload"):
+        texts = [t or b"" for t in payloads]
         media = [to_png(padded(t)) for t in texts]
-        yield pa.RecordBatch.from_arrays([batch["key"], pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], names=["key", "n_bytes", "media"])
+        yield pa.RecordBatch.from_arrays([part["key"], pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], names=["key", "n_bytes", "media"])
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +309,8 @@ def store_media(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     """Store each text as an image in archives below ``path``; the stored rows (key, n_bytes, media) as a source, those stored there before included unless ``mode`` is overwrite.
 
     A text is its UTF-8 bytes, followed by bytes 0 up to a positive multiple
-    of 64; null counts as empty and a null key stays null.  Rows are stored
+    of 64; null counts as empty and a null key stays null.  Keys are integers;
+    a key that can't be cast to one is an error.  Rows are stored
     one by one, so ties, repeated rows and very long texts need nothing
     special; an empty table makes an archive folder without archives.  Other
     columns are not read.

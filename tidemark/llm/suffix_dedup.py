@@ -383,8 +383,8 @@ def _releasing(make: Callable) -> Callable:
     return one
 
 
-def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, as_text: bool = False) -> DataFrame:
-    """``docs`` and a struct column ``suffix_dedup``: kept (bytes), n_bytes, n_removed, n_spans.
+def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, as_text: bool = False, name: str = "suffix_dedup") -> DataFrame:
+    """``docs`` and a struct column ``name``: kept (bytes), n_bytes, n_removed, n_spans.
 
     Removed is every byte covered by a string of ``length`` bytes that also
     starts in a row with a smaller key.  Texts count as UTF-8, a null one as
@@ -392,12 +392,13 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     larger than any other; rows that share a key, or have none, don't count
     against each other.  Repeated rows get equal results; an empty table gives
     an empty result.  ``docs`` keeps its columns, whatever their names, but a
-    column ``suffix_dedup`` is replaced.
+    column ``name`` is replaced.  Keys are integers; a key that can't be cast to
+    one is an error.
 
     ``as_text``: what is left also replaces the text, a null one stays null;
     characters that a span cuts in two are removed whole, and counted.
     """
-    columns = [c for c in docs.columns if c != "suffix_dedup"]
+    columns = [c for c in docs.columns if c != name]
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     groups = max(1, -(-total // GROUP_BYTES))
     tag = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
@@ -417,4 +418,4 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     schema = result.select(*kept_names).schema.add("kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
     out = result.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(_releasing(_cut(kept_names, to_arrow_schema(schema), as_text)), schema)
     back = [F.col(n).alias(c) for c, n in zip(columns, kept_names)]
-    return out.select(*back, F.struct("kept", "n_bytes", "n_removed", "n_spans").alias("suffix_dedup"))
+    return out.select(*back, F.struct("kept", "n_bytes", "n_removed", "n_spans").alias(name))
