@@ -32,6 +32,11 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
 
 
+def _unused(docs: DataFrame) -> str:
+    """A name that no column of ``docs`` has."""
+    return "_" + max(docs.columns, key=len)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose toxicity is below 0.5, by a model of the labels outside fold 0.
 
@@ -40,7 +45,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels.filter(fold(F.col("doc_id"), FOLDS) != 0), most=TOXICITY_SAMPLE)
-    scored = toxicity.score_toxicity(docs.withColumn("_row", F.struct(*docs.columns)).select("text", "_row"), model, name="_score")
+    scored = toxicity.score_toxicity(docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("_row")), model, name="_score")
     return scored.filter("_score < 0.5").select("_row.*")
 
 
@@ -49,7 +54,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Texts of fewer than three lines stay; rows of one doc_id and text are the same occurrence.
     """
-    return _counted(line_dedup(docs).drop("line_dedup"))
+    name = _unused(docs)
+    return _counted(line_dedup(docs, name=name).drop(name))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +71,8 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     A null doc_id is larger than any other; rows of one doc_id don't count against each other.
     """
-    return _counted(suffix_dedup(docs, as_text=True).drop("suffix_dedup"))
+    name = _unused(docs)
+    return _counted(suffix_dedup(docs, as_text=True, name=name).drop(name))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
