@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import transforms as X
-from tidemark.operators import batches, columns, concordance, cox, encoders, forest, ranks, sequences, survival
+from tidemark.operators import batches, columns, concordance, cox, forest, ranks, sequences, survival
 from tidemark.sources import tables
 
 
@@ -100,33 +100,6 @@ def test_log_rank_of_one_split():
     assert forest.log_rank(t, e, left)[0] == pytest.approx(abs(seen - expected) / spread**0.5)
 
 
-def test_encoder_equals_steps(spark):
-    weights = encoders.random_weights(encoders.encoder_sizes(1, 2))
-    rng = np.random.default_rng(1)
-    rows = [(i, n, rng.normal(size=n).tolist(), rng.normal(size=n).tolist(), rng.normal(size=n).tolist(), rng.random(n).tolist()) for i, n in enumerate((1, 4, 7))]
-    packed = spark.createDataFrame(rows, "vehicle_id bigint, sequence_length int, x array<double>, p array<double>, q array<double>, g array<double>").coalesce(1)
-    got = {r.vehicle_id: r for r in encoders.encoded(packed, ["x"], ["p", "q"], "g", weights).collect()}
-    s = lambda v: 1 / (1 + np.exp(-v))
-
-    def states(inputs, part, gaps):
-        h, out = np.zeros(8), []
-        for v, gap in zip(inputs, gaps):
-            old = h if gap is None else h * np.exp(-np.maximum(0, gap * weights["decay_w"] + weights["decay_b"]))
-            r, z, m = np.split(weights[f"{part}_w"][:, 0] * v + weights[f"{part}_b"], 3)
-            a, b, c = np.split(weights[f"{part}_u"] @ old + weights[f"{part}_c"], 3)
-            gate = s(z + b)
-            h = (1 - gate) * np.tanh(m + s(r + a) * c) + gate * old
-            out.append(h)
-        return np.mean(out, 0)
-
-    for i, _, x, p, q, g in rows:
-        bins = np.mean([np.maximum(0, weights["bins_2"] @ np.maximum(0, weights["bins_1"] @ np.array(v))) for v in zip(p, q)], 0)
-        time = (states(x, "time", g) + bins) / 2
-        freq = states(np.log1p(np.abs(np.fft.rfft(x)) + 1e-8), "freq", [None] * (len(x) // 2 + 1))
-        assert got[i].time == pytest.approx(time) and got[i].freq == pytest.approx(freq)
-    assert {k: v.tolist() for k, v in encoders.loaded_weights(encoders.stored_weights(spark, weights)).items()} == {k: v.tolist() for k, v in weights.items()}
-
-
 def test_errors_that_are_asked_for(spark):
     rows = spark.createDataFrame([(1, 1.0), (1, 2.0)], "vehicle_id bigint, v double")
     with pytest.raises(Exception, match="more than one row"):

@@ -85,6 +85,38 @@ def test_losses_equal_plain_ones():
         Network("tfc", 1, 1, survival="static", fusion="sum")
 
 
+@pytest.mark.parametrize("segment, values", [(256, 1 << 20), (3, 30)])
+def test_encoders_equal_steps(monkeypatch, segment, values):
+    monkeypatch.setattr(layers, "SEGMENT", segment)
+    monkeypatch.setattr(networks, "GROUP_VALUES", values)
+    net, b = Network("tfc", 2, 3, **SMALL), drawn_batch()
+    w = net.weights()
+    s = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(x, name, gaps):
+        h, out = np.zeros(4), []
+        for v, gap in zip(x, gaps):
+            old = h if gap is None else h * np.exp(-np.maximum(0, gap * w["time_decay_w"] + w["time_decay_b"]))
+            r, z, m = np.split(w[f"{name}_w"] @ v + w[f"{name}_b"], 3)
+            p, q, c = np.split(w[f"{name}_u"] @ old + w[f"{name}_c"], 3)
+            gate = s(z + q)
+            h = (1 - gate) * np.tanh(m + s(r + p) * c) + gate * old
+            out.append(h)
+        return np.mean(out, 0)
+
+    time, freq = (networks.pooled(*networks.inputs(net, b, p), w, p) for p in ("time", "freq"))
+    for i, (x, gaps) in enumerate(zip(b.x, b.gaps)):
+        steps = np.concatenate([np.zeros((1, 5)), x[1:] - x[:-1]])
+        sizes = np.log1p(np.abs(np.fft.rfft(steps, axis=0)) + 1e-8)
+        assert time[i] == pytest.approx(states(x, "time", gaps)) and freq[i] == pytest.approx(states(sizes, "freq", [None] * len(sizes)))
+    simple = Network("simple", 2, 3, **SMALL)
+    w = simple.weights()
+    bins = networks.pooled(*networks.inputs(simple, b, "bins"), w, "bins")
+    relu = lambda v: np.maximum(0, v)
+    for i, x in enumerate(b.x):
+        assert bins[i] == pytest.approx(np.mean([relu(w["bins_2_w"] @ relu(w["bins_1_w"] @ v + w["bins_1_b"]) + w["bins_2_b"]) for v in x[:, 2:]], 0))
+
+
 COLUMNS = Columns(["x"], ["p", "q"], "gaps", ["s", "u"])
 
 

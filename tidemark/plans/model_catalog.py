@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import transforms as X
-from tidemark.operators import cox, encoders, forest
+from tidemark.operators import cox, forest
 from tidemark.operators import features as A
 from tidemark.operators import losses as L
 from tidemark.operators import sequences as B
@@ -15,7 +14,7 @@ from tidemark.operators.columns import with_targets
 from tidemark.operators.concordance import concordance
 from tidemark.plans.catalog import READOUTS, RISKS, SEQUENCES, SPLIT, VEHICLES, _risks, _sql, rounded
 from tidemark.sources.stored import stored
-from tidemark.sources.tables import EVENT_BINS, event_readouts, event_vehicles, order_readouts, order_vehicles, table
+from tidemark.sources.tables import order_readouts, order_vehicles, table
 
 GRID = 20
 FEATURES = ["sequence_length", "1_0_mean", "gap_mean", "observation_density"]
@@ -147,31 +146,6 @@ def l13_forest_search(spark, d):
     return rounded(forest.search_forest(spark, _tabular(spark, d)[0], FEATURES, grid, draws=2, k=2, base=FOREST), 4)
 
 
-def _packed(spark: SparkSession, d: str) -> DataFrame:
-    split = A.stratified_split(event_vehicles(spark, d)).select("vehicle_id", "split")
-    rows = B.build_sequences(event_readouts(spark, d).drop("status")).join(split, "vehicle_id")
-    prepared = X.prepare_for_contrast(X.preprocess_splits(rows, ["1_0"], EVENT_BINS), ["1_0", *EVENT_BINS])
-    return B.packed(prepared, ["1_0", *EVENT_BINS, "time_gap_scaled"])
-
-
-def _encoded(spark: SparkSession, d: str) -> DataFrame:
-    weights = encoders.random_weights(encoders.encoder_sizes(1, len(EVENT_BINS)))
-    return encoders.encoded(_packed(spark, d), ["1_0"], EVENT_BINS, "time_gap_scaled", weights)
-
-
-def e8_encodings(spark, d):
-    held = _encoded(spark, d)
-    return rounded(held.select("vehicle_id", F.posexplode("projection").alias("place", "value")), 4)
-
-
-def e9_encoder_risk(spark, d):
-    """Concordance of a hazard model on pooled encodings: the encoder's weights stay, the head is fitted."""
-    held = _encoded(spark, d).select("vehicle_id", *[F.col("time")[i].alias(f"time_{i}") for i in range(8)])
-    rows = stored(with_targets(held, event_vehicles(spark, d)).join(A.stratified_split(event_vehicles(spark, d)).select("vehicle_id", "split"), "vehicle_id"))
-    train, test = (rows.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
-    return rounded(cox.evaluate_cox(train, test, [f"time_{i}" for i in range(8)])[1], 4)
-
-
 PARTS = """te AS (SELECT t.* FROM t JOIN p USING (vehicle_id) WHERE split = 'test'),
 tr AS (SELECT t.* FROM t JOIN p USING (vehicle_id) WHERE split = 'train'),
 """
@@ -227,6 +201,6 @@ n AS (SELECT batch, avg(sqrt(list_dot_product(v, v))) AS mean_norm FROM e GROUP
 c AS (SELECT a.batch, avg(list_cosine_similarity(a.v, b.v)) FILTER (a.id = b.id) AS p, avg(list_cosine_similarity(a.v, b.v)) FILTER (a.id <> b.id) AS q FROM e a JOIN e b ON a.batch = b.batch AND (a.id, a.view) <> (b.id, b.view) GROUP BY 1)""", """
 SELECT batch, round(mean_std, 5) AS mean_std, round(mean_norm, 5) AS mean_norm, round(p, 5) AS positive_cosine, round(q, 5) AS negative_cosine FROM s JOIN n USING (batch) JOIN c USING (batch)"""),
 }
-#: Iterative fits, and scoring by encoders: these have no SQL and are tested against plain versions.
-PLAIN = ("l11_cox_coefficients", "l11_cox_concordance", "m7_curve_evaluation", "m8_predictions", "l12_forest_risk", "l13_forest_search", "e8_encodings", "e9_encoder_risk")
+#: Iterative fits: these have no SQL and are tested against plain versions.
+PLAIN = ("l11_cox_coefficients", "l11_cox_concordance", "m7_curve_evaluation", "m8_predictions", "l12_forest_risk", "l13_forest_search")
 QUERIES = {name: globals()[name] for name in (*ORACLE_SQL, *PLAIN)}
