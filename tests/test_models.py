@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import transforms as X
-from tidemark.operators import batches, columns, concordance, cox, forest, ranks, sequences, survival
+from tidemark.operators import batches, columns, concordance, cox, features, forest, ranks, sequences, survival
 from tidemark.sources import tables
 
 
@@ -33,18 +33,44 @@ def test_running_sums_and_percentiles(spark):
         ranks.running_sums(spark.createDataFrame([(None,), (1.0,)], "v double"), "v", {"s": F.lit(1)}).collect()
 
 
-@pytest.mark.parametrize("parts", [2, 5, 64])
+def pairs(rows, tolerance):
+    """(comparable, concordant, tied) of all pairs."""
+    full = [r for r in rows if None not in r]
+    found = [(a[2], b[2]) for a in full if a[1] for b in full if b[0] > a[0] or (b[0] == a[0] and not b[1])]
+    return len(found), sum(a - b > tolerance for a, b in found), sum(abs(a - b) <= tolerance for a, b in found)
+
+
+@pytest.mark.parametrize("parts", [None, 2, 5, 64])
 def test_concordance_equals_all_pairs(spark, parts):
     rng = np.random.default_rng(2)
     rows = [(float(rng.integers(1, 15)), int(rng.integers(0, 2)), float(rng.integers(0, 6))) for _ in range(150)] + [(None, 1, 1.0), (3.0, None, 1.0), (2.0, 1, None)]
-    full = [r for r in rows if None not in r]
-    pairs = [(a, b) for a in full if a[1] for b in full if b[0] > a[0] or (b[0] == a[0] and not b[1])]
     got = concordance.concordance(spark.createDataFrame(rows, "duration double, event int, risk double"), parts).first()
-    assert (got.comparable, got.concordant, got.tied) == (len(pairs), sum(a[2] > b[2] for a, b in pairs), sum(a[2] == b[2] for a, b in pairs))
+    assert (got.comparable, got.concordant, got.tied) == pairs(rows, 0)
     none = concordance.concordance(spark.createDataFrame([(1.0, 0, 1.0)], "duration double, event int, risk double")).first()
     assert none.comparable == 0 and none.c_index is None
 
 
+@pytest.mark.parametrize("parts", [1, 7, 30])
+def test_concordance_with_near_ties_and_hot_values(spark, parts):
+    """Chains of risks half a tolerance apart, across borders of ranges; half of the rows at one duration, a third at one risk."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(240):
+        risk = 0.5 if i % 3 == 0 else float(rng.integers(0, 12)) * 0.25 + float(rng.integers(0, 9)) * 2.0**-28
+        rows.append((7.0 if i % 2 else float(rng.integers(1, 30)), int(rng.integers(0, 2)), risk))
+    tolerance = 2.0**-27
+    got = concordance.concordance(spark.createDataFrame(rows, "duration double, event int, risk double"), parts, tolerance=tolerance).first()
+    assert (got.comparable, got.concordant, got.tied) == pairs(rows, tolerance) != pairs(rows, 0)
+
+
+def test_concordance_by_keys(spark):
+    rng = np.random.default_rng(6)
+    rows = {k: [(float(rng.integers(1, 9)), int(rng.integers(0, 2)), float(rng.normal())) for _ in range(40)] for k in (1, 2, 3)}
+    table = spark.createDataFrame([(k, *r) for k, some in rows.items() for r in some], "k int, duration double, event int, risk double")
+    got = {r.k: (r.comparable, r.concordant, r.tied) for r in concordance.concordance(table, 4, keys=("k",)).collect()}
+    assert got == {k: pairs(some, concordance.TOLERANCE) for k, some in rows.items()}
+
+
 def plain_cox(rows, penalizer, steps=40):
     x = np.array([r[3:] for r in rows])
     x = (x - x.mean(0)) / x.std(0)
@@ -88,6 +114,95 @@ def test_forest_ranks_by_hazard(table):
     assert {r.vehicle_id: r.risk for r in risk.collect()} == pytest.approx({r.vehicle_id: r.risk for r in again.collect()})
 
 
+def plain_leaf(times, events):
+    """Event times, hazard steps and survival of a leaf's rows."""
+    out, left = [], 1.0
+    for time in sorted({t for t, e in zip(times, events) if e}):
+        step = sum(t == time and e for t, e in zip(times, events)) / sum(t >= time for t in times)
+        left *= 1 - step
+        out.append((time, step, left))
+    return out
+
+
+def test_leaves_equal_plain_curves():
+    rng = np.random.default_rng(3)
+    t = np.sort(rng.integers(1, 12, 60).astype(float))
+    e, x = rng.integers(0, 2, 60), rng.normal(size=(60, 2))
+    axis = sorted({1.5, 20.0, *t[e == 1]})  # event times of all train rows
+    later = np.array([sum(a >= v for a in axis) for v in t])
+    nodes = forest.grow(t, e, x, later, forest.ForestParams(max_depth=2, min_leaf=8, max_features="all"), np.random.default_rng(0))
+    members = {}
+    for row in range(60):
+        at = 0
+        while nodes[at].feature >= 0:
+            at = nodes[at].left if x[row, nodes[at].feature] <= nodes[at].cut else nodes[at].right
+        members.setdefault(at, []).append(row)
+    assert len(members) > 2
+    for at, rows in members.items():
+        plain = plain_leaf(t[rows].tolist(), e[rows].tolist())
+        assert np.array(plain).T == pytest.approx(np.array([nodes[at].times, nodes[at].hazard, nodes[at].survival]))
+        assert nodes[at].mortality == pytest.approx(sum(step for time, step, _ in plain for a in axis if a >= time))
+
+
+def test_forest_curves_are_means_of_leaves(spark, table):
+    params = forest.ForestParams(trees=5, max_depth=3, min_split=12, min_leaf=6)
+    grown = forest.fit_forest(table, ["a", "b"], params).cache()
+    grid = spark.createDataFrame([(v,) for v in (0.5, 2.0, 3.0, 8.0, 500.0)], "time double")
+    curves = {}
+    for r in forest.forest_curves(table, grown, ["a", "b"], grid).collect():
+        curves.setdefault(r.vehicle_id, {})[r.time] = r.survival
+    trees = {}
+    for r in grown.collect():
+        trees.setdefault(r.tree, {})[r.node] = r
+    for i, _, _, a, b in survivors()[:20]:
+        for time in (0.5, 2.0, 3.0, 8.0, 500.0):
+            want = []
+            for nodes in trees.values():
+                node = nodes[0]
+                while node.feature >= 0:
+                    node = nodes[node.left if (a, b)[node.feature] <= node.cut else node.right]
+                before = [s for at, s in zip(node.times, node.survival) if at <= time]
+                want.append(before[-1] if before else 1.0)
+            assert curves[i][time] == pytest.approx(np.mean(want))
+    assert all(c[0.5] == 1 and sorted(c.values(), reverse=True) == [c[k] for k in sorted(c)] for c in curves.values())
+    test = table.withColumn("duration", F.col("duration") + 0.0)
+    auc = survival.dynamic_auc(test.join(forest.score_forest(table, grown, ["a", "b"]), "vehicle_id"), table, survival.time_grid(test, table, 6))
+    scores = survival.brier_scores(test, table, forest.forest_curves(test, grown, ["a", "b"], survival.time_grid(test, table, 6)))
+    assert np.mean([r.auc for r in auc.collect()]) > 0.6 and 0 < survival.integrated_brier(scores).first()[0] < 0.25
+
+
+def test_search_equals_the_loop(spark, table):
+    base = forest.ForestParams(trees=4, min_split=12, min_leaf=6)
+    grid = {"trees": [2, 4], "max_depth": [1, 3]}
+    found, best, tuned = forest.search_forest(spark, table, ["a", "b"], grid, draws=3, k=2, base=base)
+    got = {(r.trees, r.max_depth): r.c_index for r in found.collect()}
+    dealt = features.folds(table, 2, base.seed).cache()
+    want = {}
+    for params in forest.drawn_settings(grid, 3, base):
+        scores = []
+        for i in range(2):
+            held = dealt.filter(F.col("fold") == i)
+            risk = forest.score_forest(held, forest.fit_forest(dealt.filter(F.col("fold") != i), ["a", "b"], params), ["a", "b"])
+            scores.append(concordance.concordance(held.join(risk, "vehicle_id")).first().c_index)
+        want[params.trees, params.max_depth] = np.mean(scores)
+    assert got == pytest.approx(want) and len(got) == 3
+    assert want[best.trees, best.max_depth] == max(want.values())
+    assert tuned.select("tree").distinct().count() == best.trees
+    both = forest.fitted_forests(spark, table, table, ["a", "b"], base, grid=grid, draws=2, k=2).collect()
+    assert [r.model for r in both] == ["baseline", "tuned"] and all(r.c_index > 0.6 for r in both)
+
+
+def test_running_sums_of_many_ranges(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).cast("double").alias("v"))
+    got = ranks.running_sums(rows, "v", {"s": F.col("v")}, parts=40)
+    assert got.filter("s != v * (v + 1) / 2").count() == 0 and got.count() == 5000
+    held = ranks.in_ranges(rows, "v", 40)
+    sizes = [r["count"] for r in held.groupBy("_range").count().collect()]
+    assert len(sizes) == 40 and max(sizes) < 4 * 125
+    twice = ranks.running_sums(ranks.running_sums(rows, "v", {"n": F.lit(1)}, descending=True, ranged=True), "v", {"m": F.lit(1)})
+    assert twice.filter("n + m != 5001").count() == 0
+
+
 def test_log_rank_of_one_split():
     t, e = np.array([1, 2, 2, 3, 4.0]), np.array([1, 1, 0, 1, 1])
     left = np.array([[1, 1, 0, 0, 0]], bool)

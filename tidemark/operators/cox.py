@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.transforms import fit_normalizer, normalize
 from tidemark.operators.concordance import concordance
-from tidemark.operators.ranks import PARTS, range_of
+from tidemark.operators.ranks import cuts_of, parts_for, range_of
 
 
 @dataclass
@@ -35,14 +35,6 @@ class CoxModel:
         return table.withColumn(name, F.exp(sum(z[1:], z[0])))
 
 
-def cuts_of(table: DataFrame, value: str, parts: int) -> list[float]:
-    """Cuts as in :func:`ranks.cut_points`; a value that takes more than a range is one of its own."""
-    shares = [i / parts for i in range(1, parts)]
-    found = table.select(F.col(value).cast("double").alias("v")).approxQuantile("v", shares, 0.25 / parts) if shares else []
-    hot = {v for v in found if found.count(v) > 1}
-    return sorted(set(found) | {float(np.nextafter(v, -np.inf)) for v in hot})
-
-
 def _unpacked(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x = rows["x"].combine_chunks() if isinstance(rows, pa.Table) else rows["x"]
     return rows["t"].to_numpy(), rows["e"].to_numpy(), x.flatten().to_numpy().reshape(rows.num_rows, -1)
@@ -53,15 +45,20 @@ def _moments(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.concatenate([[w.sum()], w @ x, ((x * w[:, None]).T @ x).ravel()])
 
 
+#: Events of one time whose terms are worked out at a time.
+EVENTS_AT_ONCE = 4096
+
+
 def _terms(later: np.ndarray, risk: np.ndarray, dead: np.ndarray, d: int, x_sum: np.ndarray, eta: float, p: int) -> np.ndarray:
     """What the d events of one time add to the log likelihood, its gradient and its negative second derivative."""
     out = np.concatenate([[eta], x_sum, np.zeros(p * p)])
-    for k in range(d):
-        s = later + risk - k / d * dead
-        mean = s[1 : p + 1] / s[0]
-        out[0] -= np.log(s[0])
-        out[1 : p + 1] -= mean
-        out[p + 1 :] += (s[p + 1 :].reshape(p, p) / s[0] - np.outer(mean, mean)).ravel()
+    for at in range(0, d, EVENTS_AT_ONCE):
+        k = np.arange(at, min(d, at + EVENTS_AT_ONCE))
+        s = (later + risk) - np.outer(k / d, dead)
+        mean = s[:, 1 : p + 1] / s[:, :1]
+        out[0] -= np.log(s[:, 0]).sum()
+        out[1 : p + 1] -= mean.sum(0)
+        out[p + 1 :] += (1 / s[:, 0]) @ s[:, p + 1 :] - (mean.T @ mean).ravel()
     return out
 
 
@@ -90,7 +87,7 @@ def _terms_of(beta: np.ndarray, behind: dict[int, np.ndarray]):
     return terms
 
 
-def fit_cox(train: DataFrame, features: list[str], penalizer: float = 0.1, steps: int = 30, tol: float = 1e-9, parts: int = PARTS) -> CoxModel:
+def fit_cox(train: DataFrame, features: list[str], penalizer: float = 0.1, steps: int = 30, tol: float = 1e-9, parts: int | None = None) -> CoxModel:
     """Maximise (log partial likelihood) / n - ``penalizer`` / 2 * |beta|^2 over scaled ``features``.
 
     ``train`` has duration, event and ``features``; rows with a null duration
@@ -98,14 +95,14 @@ def fit_cox(train: DataFrame, features: list[str], penalizer: float = 0.1, steps
     passes: one sums up moments of ranges of durations, within each partition
     first; the next adds the terms of each range's times, given the ranges
     behind it.  A range that is a single duration, however many rows have it,
-    needs its sums only.  The driver sees a vector of 1 + p + p * p numbers a
+    needs its sums only; without ``parts`` there are as many ranges as the rows ask for.  The driver sees a vector of 1 + p + p * p numbers a
     range.  Without events all coefficients are 0.
     """
     held = train.dropna(subset=["duration", "event"])
     fitted = fit_normalizer(held, features)
     scaler = fitted.first().asDict()
     p = len(features)
-    cuts = cuts_of(held, "duration", parts)
+    cuts, _ = cuts_of(held, "duration", parts or parts_for(held.count()))
     z = normalize(held, fitted, features)
     rows = z.select(range_of(F.col("duration"), cuts).alias("range"), F.col("duration").cast("double").alias("t"), F.col("event").cast("int").alias("e"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
     rows = rows.persist()

@@ -10,9 +10,9 @@ from tidemark.sources.stored import stored
 
 
 def _by_time(table: DataFrame) -> DataFrame:
-    """(time, gone, events, at_risk): rows are added up by time first, so running sums are over distinct times."""
+    """(time, gone, events, at_risk), stored in ranges of times: rows are added up by time first, so running sums are over distinct times."""
     counts = table.groupBy(F.col("duration").cast("double").alias("time")).agg(F.count(F.lit(1)).alias("gone"), F.sum("event").cast("bigint").alias("events")).filter("time IS NOT NULL")
-    return running_sums(counts, "time", {"at_risk": F.col("gone")}, descending=True)
+    return stored(running_sums(counts, "time", {"at_risk": F.col("gone")}, descending=True, ranged=True))
 
 
 def _product(table: DataFrame, lost: Column, at_risk: Column) -> DataFrame:
@@ -50,7 +50,7 @@ def step_value(points: DataFrame, steps: DataFrame, at: str, value: str, before:
 def _at_risk(table: DataFrame) -> DataFrame:
     """(time, events, hazard): by distinct time, events and the sum of exp(risk) of all that last as long or longer."""
     by_time = table.groupBy(F.col("duration").cast("double").alias("time")).agg(F.sum("event").cast("bigint").alias("events"), F.sum(F.exp("risk")).alias("_own")).filter("time IS NOT NULL")
-    return running_sums(by_time, "time", {"hazard": F.col("_own")}, descending=True).drop("_own")
+    return running_sums(by_time, "time", {"hazard": F.col("_own")}, descending=True, ranged=True).drop("_own")
 
 
 def cox_loss(table: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def cox_loss(table: DataFrame) -> DataFrame:
 
 def breslow_baseline(table: DataFrame) -> DataFrame:
     """(time, cumulative_hazard) of the baseline at each distinct time with an event."""
-    steps = _at_risk(table).filter("events > 0").withColumn("_step", F.col("events") / F.col("hazard"))
+    steps = stored(_at_risk(table).filter("events > 0").withColumn("_step", F.col("events") / F.col("hazard")))
     return running_sums(steps, "time", {"cumulative_hazard": F.col("_step")}).select("time", "cumulative_hazard")
 
 
@@ -105,7 +105,7 @@ def dynamic_auc(test: DataFrame, train: DataFrame, grid: DataFrame) -> DataFrame
     rows = stored(weighted_events(test, train)).crossJoin(F.broadcast(grid))
     case = F.when((F.col("duration") <= F.col("time")) & (F.col("event") == 1), F.col("weight")).otherwise(0.0)
     control = (F.col("duration") > F.col("time")).cast("bigint")
-    held = stored(rows.groupBy("time", F.col("risk").cast("double").alias("risk")).agg(F.sum(case).alias("cases"), F.sum(control).alias("controls")))
+    held = rows.groupBy("time", F.col("risk").cast("double").alias("risk")).agg(F.sum(case).alias("cases"), F.sum(control).alias("controls"))
     below = running_sums(held, "risk", {"upto": F.col("controls")}, keys=("time",))
     found = below.groupBy("time").agg(F.sum(F.col("cases") * (F.col("upto") - F.col("controls") / 2)).alias("_won"), F.sum("cases").alias("_cases"), F.sum("controls").alias("_controls"))
     return found.select("time", F.try_divide(F.col("_won"), F.col("_cases") * F.col("_controls")).alias("auc"))
