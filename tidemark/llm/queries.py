@@ -107,6 +107,75 @@ SELECT d.doc_id, len(d.ls) AS n_lines, len(d.ls) - coalesce(k.n, 0) AS n_removed
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS chars
+  FROM conversations
+),
+k AS (  -- crc32, bit by bit
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_transform(chars, lambda x: ord(x)::BIGINT),
+           lambda c, x: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda d, y: xor(d >> 1, 3988292384 * (d & 1)), xor(c, x)), 4294967295::BIGINT), 4294967295) % 20 AS kind
+  FROM o
+),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM k WHERE kind <> 0
+),
+p AS (
+  SELECT *, row_number() OVER w AS i, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare, substr(role, 1, 1) AS ini,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, lag(substr(role, 1, 1)) OVER w AS before
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)
+),
+f AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM p
+),
+m AS (
+  SELECT conv_id, i, role, text, ini, CASE fault WHEN '' THEN 0 WHEN 'truncated' THEN 5 ELSE 1000000000 END AS more FROM f
+),
+n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM f GROUP BY conv_id
+),
+v AS (  -- costs to go in the states: nothing yet, after s, after u, after a
+  SELECT conv_id, n + 1 AS i, [0, 10, 5, 0]::BIGINT[] AS v FROM n
+  UNION ALL
+  SELECT conv_id, i, [least(b[1], 5 + b[3], 10 + b[4]), least(b[2], 5 + b[3], 10 + b[4]), least(b[3], 5 + b[4]), least(b[4], 5 + b[3])] AS v
+  FROM (
+    SELECT m.conv_id, m.i, [
+      least(2 + v[1], more + CASE ini WHEN 's' THEN v[2] WHEN 'u' THEN v[3] ELSE 1 + v[3] END, 1 + more + v[3]),
+      least(2 + v[2], more + CASE ini WHEN 'u' THEN v[3] ELSE 1 + v[3] END),
+      least(2 + v[3], more + CASE ini WHEN 'a' THEN v[4] ELSE 1 + v[4] END),
+      least(2 + v[4], more + CASE ini WHEN 'u' THEN v[3] ELSE 1 + v[3] END)] AS b
+    FROM v JOIN m ON m.conv_id IS NOT DISTINCT FROM v.conv_id AND m.i = v.i - 1
+  )
+),
+e AS (  -- the walk: q is the state, from 1
+  SELECT conv_id, 1::BIGINT AS i, 1 AS q, '' AS audit, []::VARCHAR[] AS lines FROM n
+  UNION ALL
+  SELECT conv_id, CASE WHEN edit = 'I' THEN i ELSE i + 1 END, CASE edit WHEN 'D' THEN q WHEN 'K' THEN stays ELSE fits END, audit || edit,
+         CASE edit WHEN 'D' THEN lines ELSE list_append(lines, CASE WHEN edit = 'K' THEN role ELSE CASE fits WHEN 3 THEN 'user' ELSE 'assistant' END END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END) END
+  FROM (
+    SELECT *, CASE WHEN i <= n AND now[q] = 2 + next[q] THEN 'D' WHEN now[q] = 5 + now[fits] THEN 'I'
+                   WHEN stays > 0 AND now[q] = more + next[stays] THEN 'K' ELSE 'R' END AS edit
+    FROM (
+      SELECT e.*, n.n, m.role, m.text, m.more, a.v AS now, b.v AS next, CASE WHEN e.q = 3 THEN 4 ELSE 3 END AS fits,
+             CASE WHEN e.q = 1 AND ini = 's' THEN 2 WHEN e.q <> 3 AND ini = 'u' THEN 3 WHEN e.q = 3 AND ini = 'a' THEN 4 ELSE 0 END AS stays
+      FROM e JOIN n ON n.conv_id IS NOT DISTINCT FROM e.conv_id JOIN v a ON a.conv_id IS NOT DISTINCT FROM e.conv_id AND a.i = e.i
+        LEFT JOIN v b ON b.conv_id IS NOT DISTINCT FROM e.conv_id AND b.i = e.i + 1 LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM e.conv_id AND m.i = e.i
+      WHERE e.i <= n.n OR a.v[e.q] > 0
+    )
+  )
+),
+w AS (SELECT conv_id, arg_max(audit, length(audit)) AS audit, arg_max(lines, length(audit)) AS lines FROM e GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(v.v[1], 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN v ON v.conv_id IS NOT DISTINCT FROM c.conv_id AND v.i = 1 LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 OP12_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents),
 w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY x) AS first FROM d),
@@ -159,4 +228,4 @@ QUERIES = {
     "op12_filter_audit": op12_filter_audit,
     "op13_sharding": op13_sharding,
 }
-ORACLE_SQL = {"op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op12_filter_audit": OP12_SQL}
+ORACLE_SQL = {"op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op11_conversation_repair": OP11_SQL, "op12_filter_audit": OP12_SQL}
