@@ -123,7 +123,7 @@ def e9_encoder_risk(spark, d):
 def t3_models(spark, d):
     """Concordance of the fitted hazard model and forest, on train and test vehicles."""
     train, test = _tabular(spark, d)
-    model, grown = cox.fit_cox(train, FEATURES), forest.fit_forest(train, FEATURES, FOREST)
+    model, grown = cox.fit_cox(train, FEATURES), stored(forest.fit_forest(train, FEATURES, FOREST))
     out = None
     for split, rows in (("train", train), ("test", test)):
         found = {"cox": model.score(rows).select("duration", "event", F.log("partial_hazard").alias("risk")), "forest": rows.join(forest.score_forest(rows, grown, FEATURES), "vehicle_id").select("duration", "event", "risk")}
