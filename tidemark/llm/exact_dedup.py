@@ -1,7 +1,8 @@
 """Exact deduplication by a two-pass Bloom filter.
 
-Pass one sets, for every row, two bits of a filter of bounded size and keeps
-the bits that were set twice or more.  Pass two tests every row: only rows
+Pass one sets, for every row, two bits of a filter of bounded size, in the task
+that reads it, and merges the tasks' bitmaps into the bits that were set twice
+or more.  Pass two tests every row: only rows
 whose two bits are both such bits can have an equal partner, so only those are
 shuffled by digest; the others pass straight through.  A filter that is too
 small for the corpus flags more rows and costs more shuffling; it never
@@ -11,7 +12,10 @@ changes the result.  What moves is a digest and an id, never a text.
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,17 +38,48 @@ def _bits(digest: Column, n_bits: int) -> list[Column]:
     return [F.pmod(part(at), F.lit(n_bits)) for at in (1, 9)]
 
 
+#: Bytes of a piece of the filter, as bitmap_bucket_number() counts them.
+PIECE = 4096
+
+
+def _set_bits(n_bits: int):
+    """From rows (bit0, bit1) the pieces of a task's bitmaps: the bits that its rows have set, and those that were set twice or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = np.zeros(n_bits // 8, np.uint8), np.zeros(n_bits // 8, np.uint8)
+        for batch in batches:
+            bit, count = np.unique(np.concatenate([batch[c].to_numpy() for c in ("bit0", "bit1")]), return_counts=True)
+            byte, mask = bit >> 3, (1 << (bit & 7)).astype(np.uint8)
+            again = (count > 1) | (once[byte] & mask > 0)
+            np.bitwise_or.at(twice, byte[again], mask[again])
+            np.bitwise_or.at(once, byte, mask)
+        held = np.flatnonzero(once.reshape(-1, PIECE).any(1))
+        for at in range(0, len(held), 256):
+            some = held[at : at + 256]
+            pieces = [pa.array([x[k * PIECE : (k + 1) * PIECE].tobytes() for k in some.tolist()], pa.binary()) for x in (once, twice)]
+            yield pa.RecordBatch.from_arrays([pa.array(some + 1, pa.int64()), *pieces], names=["bucket", "once", "twice"])
+
+    return run
+
+
+def _merged(pieces: pa.Table) -> pa.Table:
+    """The bits of a piece that are set twice in a task, or in two tasks."""
+    once, twice = np.zeros(PIECE, np.uint8), np.zeros(PIECE, np.uint8)
+    for a, b in zip(pieces["once"].to_pylist(), pieces["twice"].to_pylist()):
+        a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+        twice |= b | once & a
+        once |= a
+    return pa.table({"bucket": pieces["bucket"].slice(0, 1), "bitmap": pa.array([twice.tobytes()], pa.binary())})
+
+
 def repeated_bits(keyed: DataFrame, n_bits: int) -> DataFrame:
-    """(bucket, bitmap): the bits that two rows or more have set, 4 KB a row."""
-    bit = F.explode(F.array(*_bits(F.col("digest"), n_bits)))
-    return (
-        keyed.select(bit.alias("bit"))
-        .groupBy("bit")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
-    )
+    """(bucket, bitmap): the bits that two rows or more have set, 4 KB a row.
+
+    Each task sets the bits of its own rows; only its bitmaps move, to be merged piece by piece.
+    """
+    bits = keyed.select(*[b.alias(f"bit{i}") for i, b in enumerate(_bits(F.col("digest"), n_bits))])
+    made = bits.mapInArrow(_set_bits(n_bits), "bucket bigint, once binary, twice binary")
+    return made.groupBy("bucket").applyInArrow(_merged, "bucket bigint, bitmap binary")
 
 
 def _is_set(bitmap: Column, bit: Column) -> Column:
