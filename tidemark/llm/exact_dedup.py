@@ -38,7 +38,7 @@ def _bits(digest: Column, n_bits: int) -> list[Column]:
     return [F.pmod(part(at), F.lit(n_bits)) for at in (1, 9)]
 
 
-#: Bytes of a piece of the filter, as bitmap_bucket_number() counts them.
+#: Bytes of a piece of the filter.
 PIECE = 4096
 
 
@@ -57,7 +57,7 @@ def _set_bits(n_bits: int):
         for at in range(0, len(held), 256):
             some = held[at : at + 256]
             pieces = [pa.array([x[k * PIECE : (k + 1) * PIECE].tobytes() for k in some.tolist()], pa.binary()) for x in (once, twice)]
-            yield pa.RecordBatch.from_arrays([pa.array(some + 1, pa.int64()), *pieces], names=["bucket", "once", "twice"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *pieces], names=["bucket", "once", "twice"])
 
     return run
 
@@ -82,8 +82,13 @@ def repeated_bits(keyed: DataFrame, n_bits: int) -> DataFrame:
     return made.groupBy("bucket").applyInArrow(_merged, "bucket bigint, bitmap binary")
 
 
+def _piece(bit: Column) -> Column:
+    """The piece of the filter that a bit is in."""
+    return F.floor(bit / (8 * PIECE)).cast("bigint")
+
+
 def _is_set(bitmap: Column, bit: Column) -> Column:
-    position = F.bitmap_bit_position(bit)
+    position = bit % (8 * PIECE)
     byte = F.conv(F.hex(F.substring(bitmap, (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return F.coalesce(F.pmod((byte / F.pow(F.lit(2), position % 8)).cast("int"), F.lit(2)) == 1, F.lit(False))
 
@@ -97,7 +102,7 @@ def possibly_repeated(keyed: DataFrame, n_bits: int) -> DataFrame:
     tested = keyed
     for i, bit in enumerate(_bits(F.col("digest"), n_bits)):
         side = F.broadcast(bitmaps.select(F.col("bucket").alias(f"bucket{i}"), F.col("bitmap").alias(f"bitmap{i}")))
-        tested = tested.withColumn(f"bit{i}", bit).join(side, F.bitmap_bucket_number(f"bit{i}") == F.col(f"bucket{i}"), "left")
+        tested = tested.withColumn(f"bit{i}", bit).join(side, _piece(F.col(f"bit{i}")) == F.col(f"bucket{i}"), "left")
     maybe = _is_set(F.col("bitmap0"), F.col("bit0")) & _is_set(F.col("bitmap1"), F.col("bit1"))
     return tested.select(*keyed.columns, maybe.alias("maybe"))
 
