@@ -46,7 +46,8 @@ def _set_bits(n_bits: int):
     """From rows (bit0, bit1) the pieces of a task's bitmaps: the bits that its rows have set, and those that were set twice or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(n_bits // 8, np.uint8), np.zeros(n_bits // 8, np.uint8)
+        size = -(-n_bits // (8 * PIECE)) * PIECE
+        once, twice = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
         for batch in batches:
             bit, count = np.unique(np.concatenate([batch[c].to_numpy() for c in ("bit0", "bit1")]), return_counts=True)
             byte, mask = bit >> 3, (1 << (bit & 7)).astype(np.uint8)
