@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import transforms as X
-from tidemark.operators import batches, columns, concordance, cox, features, forest, ranks, sequences, survival
-from tidemark.sources import tables
+from tidemark.operators import batches, columns, concordance, cox, features, forest, ranks, sequences, spectral, survival
+from tidemark.sources import paths, tables
 
 
 def survivors(n=120, seed=5):
@@ -250,6 +250,29 @@ def test_readers_and_writers(spark, tmp_path):
     assert found["sequences"].first().vehicle_id == 2 and found["scaler"].first().v_mean == 0.5
 
 
+def test_paths_and_results(spark, tmp_path):
+    project = paths.Paths(f"file://{tmp_path}/p/")
+    project.create(spark)
+    project.create(spark)
+    assert {str(f.relative_to(tmp_path / "p")) for f in (tmp_path / "p").rglob("*")} >= {"data/raw", "data/processed/sequences", "results/tables", "results/logs"}
+    assert project.raw("tte").endswith("/data/raw/train_tte.csv") and project.predictors("val", "with_static").endswith("X_val_trunc_with_static.csv")
+    with pytest.raises(ValueError, match="split"):
+        project.targets("all")
+    tables.write_dict(spark, {"a": [1, {"b": None}], "c": "x\ny"}, f"{tmp_path}/d")
+    assert tables.read_dict(spark, f"{tmp_path}/d") == {"a": [1, {"b": None}], "c": "x\ny"}
+    tables.write_latex(spark.createDataFrame([("a_1", 0.5, None), ("b", 2.0, 3)], "model string, c_index double, n int"), f"{tmp_path}/t")
+    text = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/t", wholetext=True).collect())
+    assert "a\\_1 & 0.500 & --" in text and text.count(r"\\") >= 3 and r"\toprule" in text
+
+
+def test_spectra_of_long_sequences_are_the_same(spark):
+    rng = np.random.default_rng(1)
+    rows = [(v, i + 1, n, float(rng.normal())) for v, n in ((1, 9), (2, 30)) for i in range(n)]
+    table = spark.createDataFrame(rows, "vehicle_id bigint, seq_idx bigint, sequence_length bigint, x double")
+    whole, added = ({(r.vehicle_id, r.bin): r.x for r in spectral.frequency_representation(table, ["x"], k).collect()} for k in (100, 10))
+    assert whole == pytest.approx(added) and len(whole) == 5 + 16
+
+
 def test_kaplan_meier_of_censoring(spark):
     rows = spark.createDataFrame([(1.0, 1), (2.0, 1), (2.0, 0), (3.0, 0), (4.0, 1)], "duration double, event int")
     got = {r.time: r.survival for r in survival.censoring_survival(rows).collect()}

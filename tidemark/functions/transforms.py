@@ -63,6 +63,12 @@ def with_branches(sequences: DataFrame, columns: list[str]) -> DataFrame:
     return sequences.select("*", F.array(*columns).alias("dynamic_time"), F.array(*map(first_difference, columns)).alias("dynamic_freq"))
 
 
+def with_modalities(sequences: DataFrame, **columns: list[str]) -> DataFrame:
+    """``sequences`` and, for each name, arrays of its columns: the values as {name}_time, and their steps as {name}_freq; a name without columns gives none."""
+    arrays = {f"{n}_{side}": F.array(*(map(of, some))) for n, some in columns.items() if some for side, of in (("time", F.col), ("freq", first_difference))}
+    return sequences.select("*", *[v.alias(n) for n, v in arrays.items()])
+
+
 def prepare_for_contrast(sequences: DataFrame, columns: list[str]) -> DataFrame:
     """Sequences of all splits with both branches, and gaps scaled by the train rows."""
     scaler = fit_gap_scaler(sequences.filter("split = 'train'"))

@@ -23,11 +23,19 @@ def feature_groups(columns: list[str]) -> tuple[list[str], dict[str, list[str]]]
     return [f"{n}_0" for n in single], {str(n): [f"{n}_{b}" for b in sorted(found[n])] for n in sorted(found) if n not in single}
 
 
-def grouped_features(spark: SparkSession, columns: list[str]) -> DataFrame:
-    """(feature, kind, place): :func:`feature_groups` as a table."""
-    numerical, histograms = feature_groups(columns)
-    rows = [(c, "numerical") for c in numerical] + [(c, "histogram") for bins in histograms.values() for c in bins]
-    return spark.createDataFrame([(c, kind, i) for i, (c, kind) in enumerate(rows)], "feature string, kind string, place int")
+def filled_values(table: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, n): how many rows of ``table`` have a value in each column."""
+    counts = table.agg(*[F.count(F.col(c)).alias(f"_{i}") for i, c in enumerate(columns)])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_{i}").alias("n")) for i, c in enumerate(columns)])))
+
+
+def grouped_features(table: DataFrame) -> DataFrame:
+    """(feature, kind, place, n): :func:`feature_groups` of a table's columns, and how many rows have a value there."""
+    numerical, histograms = feature_groups(table.columns)
+    kinds = dict.fromkeys(numerical, "numerical") | {c: "histogram" for bins in histograms.values() for c in bins}
+    places = {c: i for i, c in enumerate(kinds)}
+    of = lambda held: F.element_at(F.create_map(*[F.lit(x) for pair in held.items() for x in pair]), F.col("feature"))
+    return filled_values(table, list(kinds)).select("feature", of(kinds).alias("kind"), of(places).alias("place"), "n")
 
 
 def static_columns(columns: list[str]) -> list[str]:
@@ -45,16 +53,19 @@ def continuous_columns(table: DataFrame, key: str = "vehicle_id") -> list[str]:
     return [c for c in table.columns if kinds[c] in ("double", "float", "bigint", "int") and c != key and c not in TARGETS and not c.startswith(STATIC)]
 
 
-def census(spark: SparkSession, features: list[str]) -> DataFrame:
-    """(kind, n): how many of the kept features are of a numerical column, a histogram, gaps or the rest."""
-    bases = {m[0]: None for m in (re.match(r"\d+_\d+", f) for f in features) if m}
-    numerical, _ = feature_groups(list(bases))
+def census(table: DataFrame, key: str = "vehicle_id") -> DataFrame:
+    """(kind, features, filled): of a table's features that are of a numerical column, a histogram, gaps or the rest how many there are, and how many values they have."""
+    features = [c for c in table.columns if c != key]
+    bases = {f: m[0] for f in features if (m := re.match(r"\d+_\d+", f))}
+    numerical, _ = feature_groups(list(dict.fromkeys(bases.values())))
 
     def kind(feature: str) -> str:
-        base = re.match(r"\d+_\d+", feature)
-        return ("numerical" if base[0] in numerical else "histogram") if base else "gap" if feature.startswith("gap_") else "metadata"
+        if feature in bases:
+            return "numerical" if bases[feature] in numerical else "histogram"
+        return "gap" if feature.startswith("gap_") else "metadata"
 
-    return spark.createDataFrame([(kind(f),) for f in features], "kind string").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    of = F.element_at(F.create_map(*[F.lit(x) for f in features for x in (f, kind(f))]), F.col("feature"))
+    return filled_values(table, features).groupBy(of.alias("kind")).agg(F.count(F.lit(1)).alias("features"), F.sum("n").alias("filled"))
 
 
 def aligned(table: DataFrame, columns: list[str]) -> DataFrame:

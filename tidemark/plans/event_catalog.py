@@ -109,11 +109,21 @@ def q16_one_vehicle(spark, d):
 
 
 def q17_feature_census(spark, d):
-    return C.census(spark, [c for c in A.aggregate_sequences(_sequences(spark, d), [VALUE], EVENT_BINS).columns if c != "vehicle_id"])
+    return C.census(A.aggregate_sequences(_sequences(spark, d), [VALUE], EVENT_BINS))
 
 
 def p1_feature_groups(spark, d):
-    return C.grouped_features(spark, event_readouts(spark, d).columns)
+    return C.grouped_features(event_readouts(spark, d))
+
+
+def p3_static_columns(spark, d):
+    """How many categories each static column has, and how many vehicles have one."""
+    vehicles = event_vehicles(spark, d)
+    out = None
+    for c in C.static_columns(vehicles.columns):
+        one = vehicles.agg(F.lit(c).alias("feature"), F.count(c).alias("n"), F.count_distinct(c).alias("categories"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def p4_continuous_columns(spark, d):
@@ -166,6 +176,20 @@ def b7_contrast_prefixes(spark, d):
     return rounded(_prefixes(spark, d).select("prefix_id", "rid", "time_gap_scaled", *scalars), 4)
 
 
+def b7_modality_prefixes(spark, d):
+    held = X.with_modalities(X.preprocess_splits(_with_split(spark, d), [VALUE], EVENT_BINS), numerical=[VALUE], histogram=EVENT_BINS, other=[])
+    cut = B.checked_prefixes(B.build_prefixes(held), ["numerical_time", "numerical_freq", "histogram_time", "histogram_freq"])
+    last = F.size("histogram_freq") - 1
+    return rounded(cut.select("prefix_id", "rid", F.col("numerical_time")[0].alias("value"), F.col("numerical_freq")[0].alias("value_step"), F.get("histogram_time", last).alias("bin"), F.get("histogram_freq", last).alias("bin_step")), 4)
+
+
+def b7_modality_spectra(spark, d):
+    """Spectra of the steps of each prefix, by modality."""
+    held = X.with_modalities(X.preprocess_splits(_with_split(spark, d), [VALUE], EVENT_BINS), numerical=[VALUE], histogram=EVENT_BINS)
+    cut = B.build_prefixes(held).select(F.col("prefix_id").alias("vehicle_id"), "seq_idx", F.col("prefix_length").alias("sequence_length"), F.col("numerical_freq")[0].alias("numerical"), F.col("histogram_freq")[0].alias("histogram"))
+    return rounded(E.frequency_representation(cut, ["numerical", "histogram"]).withColumnRenamed("vehicle_id", "prefix_id"), 4)
+
+
 def b9_prefix_summary(spark, d):
     return rounded(B.prefix_summary(B.build_prefixes(_sequences(spark, d))))
 
@@ -375,8 +399,17 @@ ORACLE_SQL = {
   round(max(t.duration), 5) AS duration, abs(max(t.duration) - (max(original_duration) - max(readout_time))) < 1e-6 AND max(v.duration) = max(original_duration) AND count(*) <= max(n) AS consistent FROM t JOIN v USING (vehicle_id) GROUP BY vehicle_id"""),
     "q15_normalization_check": _sql(READOUTS, VEHICLES, SEQUENCES, FILLED, SPLIT, PREPARED, "SELECT '1_0' AS feature, count(*) - count(sx) AS missing, round(avg(sx), 4) + 0 AS mean, round(stddev_pop(sx), 4) AS std, abs(avg(sx)) < 1e-6 AND abs(stddev_pop(sx) - 1) < 1e-6 AS normalized FROM z WHERE split = 'train'"),
     "q16_one_vehicle": _sql(READOUTS, SEQUENCES, "SELECT rid, time_step, seq_idx, f AS value FROM s WHERE vehicle_id = 7"),
-    "q17_feature_census": "SELECT kind, count(*) AS n FROM (SELECT unnest([" + ", ".join(f"'{k}'" for k, n in (("numerical", 8), ("histogram", 10), ("gap", 5), ("metadata", 3)) for _ in range(n)) + "]) AS kind) GROUP BY kind",
-    "p1_feature_groups": "WITH c AS (SELECT unnest([" + ", ".join(f"'{c}'" for c in COLUMNS) + r"]) AS feature), m AS (SELECT feature, regexp_extract(feature, '^(\d+)_(\d+)$', 1)::INT AS g, regexp_extract(feature, '^(\d+)_(\d+)$', 2)::INT AS b FROM c WHERE regexp_matches(feature, '^\d+_\d+$'))" + "\nSELECT feature, kind, (row_number() OVER (ORDER BY kind DESC, g, b) - 1)::INT AS place FROM (SELECT *, CASE WHEN count(*) OVER (PARTITION BY g) = 1 AND b = 0 THEN 'numerical' ELSE 'histogram' END AS kind FROM m)",
+    "q17_feature_census": _sql(READOUTS, SEQUENCES, f"""a AS (SELECT vehicle_id, (count(f) > 0)::INT AS c, (count(f) > 0 AND max(time_step) FILTER (f IS NOT NULL) > min(time_step) FILTER (f IS NOT NULL))::INT AS slope, {' + '.join(f'(count(h{i}) > 0)::INT' for i in BINS)} AS b FROM s GROUP BY vehicle_id)""", f"""
+SELECT 'numerical' AS kind, 8 AS features, (7 * sum(c) + sum(slope))::BIGINT AS filled FROM a UNION ALL SELECT 'histogram', {2 * len(EVENT_BINS)}, (2 * sum(b))::BIGINT FROM a UNION ALL SELECT 'gap', 5, 5 * count(*) FROM a UNION ALL SELECT 'metadata', 3, 3 * count(*) FROM a"""),
+    "p1_feature_groups": _sql(READOUTS, f"""c AS (SELECT unnest([{', '.join(f"'{c}'" for c in COLUMNS)}]) AS feature, unnest([{', '.join(f'count({c})' for c in COLUMNS.values())}]) AS n FROM r),
+m AS (SELECT feature, n, regexp_extract(feature, '^(\\d+)_(\\d+)$', 1)::INT AS g, regexp_extract(feature, '^(\\d+)_(\\d+)$', 2)::INT AS b FROM c WHERE regexp_matches(feature, '^\\d+_\\d+$'))""", """
+SELECT feature, kind, (row_number() OVER (ORDER BY kind DESC, g, b) - 1)::INT AS place, n FROM (SELECT *, CASE WHEN count(*) OVER (PARTITION BY g) = 1 AND b = 0 THEN 'numerical' ELSE 'histogram' END AS kind FROM m)"""),
+    "p3_static_columns": _sql(READOUTS, VEHICLES, "SELECT 'Spec_0' AS feature, count(s0) AS n, count(DISTINCT s0) AS categories FROM v UNION ALL SELECT 'Spec_1', count(s1), count(DISTINCT s1) FROM v"),
+    "b7_modality_prefixes": _sql(READOUTS, VEHICLES, SEQUENCES, FILLED, SPLIT, PREPARED, PREFIXES, f"e AS (SELECT vehicle_id, rid, seq_idx, sx, sy{len(EVENT_BINS) - 1} AS sy, {STEP('sx')} AS dx, {STEP(f'sy{len(EVENT_BINS) - 1}')} AS dy FROM z)", """
+SELECT q.vehicle_id || '_p' || prefix_number AS prefix_id, rid, round(sx, 4) AS value, round(dx, 4) AS value_step, round(sy, 4) AS bin, round(dy, 4) AS bin_step FROM q JOIN e USING (vehicle_id) WHERE seq_idx <= prefix_length"""),
+    "b7_modality_spectra": _sql(READOUTS, VEHICLES, SEQUENCES, FILLED, SPLIT, PREPARED, PREFIXES, f"e AS (SELECT vehicle_id, seq_idx, {STEP('sx')} AS dx, {STEP('sy0')} AS dy FROM z),\nk AS (SELECT vehicle_id || '_p' || prefix_number AS prefix_id, vehicle_id, prefix_length AS n, unnest(range(prefix_length // 2 + 1)) AS bin FROM q)", """
+SELECT prefix_id, bin, round(ln(1 + sqrt(sum(dx * cos(a)) ** 2 + sum(dx * sin(a)) ** 2) + 1e-8), 4) AS numerical, round(ln(1 + sqrt(sum(dy * cos(a)) ** 2 + sum(dy * sin(a)) ** 2) + 1e-8), 4) AS histogram
+FROM (SELECT prefix_id, bin, dx, dy, -2 * pi() * (((seq_idx - 1) * bin) % n) / n AS a FROM k JOIN e ON e.vehicle_id = k.vehicle_id AND seq_idx <= n) GROUP BY prefix_id, bin"""),
     "p4_continuous_columns": _sql(READOUTS, VEHICLES, SEQUENCES, """SELECT s.vehicle_id, round(avg(f), 5) AS "1_0_mean", round(max(CASE WHEN seq_idx > 1 OR n = 1 THEN time_gap END), 5) AS gap_max, max(n) AS sequence_length, round(max(duration), 5) AS duration, max(event) AS event FROM s JOIN v USING (vehicle_id) GROUP BY 1"""),
     "p6_flattened": _sql(READOUTS, VEHICLES, "SELECT vehicle_id, round(duration, 5) AS result_duration, event AS result_inner_event, s0 AS \"result_inner_Spec_0\" FROM v"),
     "p7_shown": _sql(READOUTS, "SELECT rid, CASE WHEN f IS NULL THEN '—' ELSE format('{:.3f}', f) END AS value FROM r"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -101,6 +104,24 @@ def read_list(spark: SparkSession, path: str, name: str = "value") -> list:
     return [r[name] for r in spark.read.json(path).orderBy("place").collect()]
 
 
+def write_dict(spark: SparkSession, data: dict, path: str) -> None:
+    """A small dictionary, such as fitted parameters or metrics, as one JSON object."""
+    spark.createDataFrame([(json.dumps(data),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_dict(spark: SparkSession, path: str) -> dict:
+    return json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def write_latex(rows: DataFrame, path: str, places: int = 3) -> None:
+    """A table of results as LaTeX, in its order; it is of a size to be read."""
+    text = lambda v: "--" if v is None else f"{v:.{places}f}" if isinstance(v, float) else str(v)
+    safe = lambda v: re.sub(r"([&%$#_{}])", r"\\\1", text(v))
+    body = [" & ".join(map(safe, r)) + r" \\" for r in [rows.columns, *rows.collect()]]
+    lines = [r"\begin{tabular}{" + "l" * len(rows.columns) + "}", r"\toprule", body[0], r"\midrule", *body[1:], r"\bottomrule", r"\end{tabular}"]
+    rows.sparkSession.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_artifacts(folder: str, sequences: DataFrame, **fitted: DataFrame) -> None:
     """Sequences of all splits, a folder a split, and tables of fitted parameters (normalizer, vocabulary, gap scaler) beside them."""
     write_split_tables(sequences, f"{folder}/sequences")
