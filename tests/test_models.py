@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import transforms as X
 from tidemark.operators import batches, columns, concordance, cox, features, forest, ranks, sequences, spectral, survival
-from tidemark.sources import paths, tables
+from tidemark.sources import paths, stored, tables
 
 
 def survivors(n=120, seed=5):
@@ -265,6 +265,15 @@ def test_paths_and_results(spark, tmp_path):
     assert "a\\_1 & 0.500 & --" in text and text.count(r"\\") >= 3 and r"\toprule" in text
 
 
+def test_what_is_stored_can_be_released(spark, tmp_path):
+    kept = stored.stored(spark.range(3), f"file://{tmp_path}/kept")
+    held = stored.stored(spark.range(5))
+    assert held.count() == 5 and stored.release(spark) >= 1 and stored.release(spark) == 0
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+        held.count()
+
+
 def test_spectra_of_long_sequences_are_the_same(spark):
     rng = np.random.default_rng(1)
     rows = [(v, i + 1, n, float(rng.normal())) for v, n in ((1, 9), (2, 30)) for i in range(n)]

@@ -16,7 +16,9 @@ from tidemark.operators import views as V
 from tidemark.plans.catalog import GAPS, SEQUENCES, SPLIT, _sql, rounded
 from tidemark.plans.catalog import READOUTS as ORDERS
 from tidemark.plans.catalog import VEHICLES as CUSTOMERS
-from tidemark.sources.tables import EVENT_BINS, EVENT_TYPES, event_readouts, event_vehicles, order_vehicles
+from tidemark.sources.stored import shared_folder
+from tidemark.sources.tables import EVENT_BINS, EVENT_TYPES, event_readouts, event_vehicles, order_vehicles, streamed_readouts
+from tidemark.streaming.readouts import followed
 
 VALUE = "1_0"
 FEATURES = [VALUE, *EVENT_BINS]
@@ -161,6 +163,11 @@ def t2_largest_gaps(spark, d):
     return rounded(Q.time_gaps(_readouts(spark, d)).filter("gap IS NOT NULL").orderBy(F.desc("gap"), "rid").limit(10).select("vehicle_id", "rid", "gap"))
 
 
+def b1_streamed_sequences(spark, d):
+    """Places, gaps and filled values by a stream with state, of all that the table has."""
+    return rounded(followed(streamed_readouts(spark, d), VALUE, shared_folder(spark)), 4)
+
+
 def b5_one_sequence(spark, d):
     carried = B.attach_vehicles(_sequences(spark, d).filter("vehicle_id = 7"), event_vehicles(spark, d))
     return rounded(B.build_prefixes(carried).select("prefix_id", "rid", "prefix_number", "prefix_fraction", "Spec_0", "duration", "event"))
@@ -418,6 +425,7 @@ FROM (SELECT prefix_id, bin, dx, dy, -2 * pi() * (((seq_idx - 1) * bin) % n) / n
     "j5_with_targets": _sql(READOUTS, VEHICLES, "SELECT vehicle_id, count(*) AS sequence_length, round(max(duration), 5) AS duration, max(event) AS event FROM r JOIN v USING (vehicle_id) GROUP BY 1"),
     "l14_survival_target": _sql(READOUTS, VEHICLES, "SELECT vehicle_id, event = 1 AS target_event, round(duration, 5) AS target_duration FROM v"),
     "t2_largest_gaps": _sql(READOUTS, GAPS, "SELECT vehicle_id, rid, round(gap, 5) AS gap FROM g WHERE gap IS NOT NULL ORDER BY g.gap DESC, rid LIMIT 10"),
+    "b1_streamed_sequences": _sql(READOUTS, SEQUENCES, FILLED, "SELECT vehicle_id, rid, round(time_step, 4) AS time_step, seq_idx, round(time_gap, 4) AS time_gap, round(x, 4) AS value FROM f"),
     "b5_one_sequence": _sql(READOUTS, VEHICLES, SEQUENCES, PREFIXES, 'SELECT q.vehicle_id || \'_p\' || prefix_number AS prefix_id, rid, prefix_number, round(prefix_length / q.n, 5) AS prefix_fraction, s0 AS "Spec_0", round(duration, 5) AS duration, event FROM q JOIN s USING (vehicle_id) JOIN v USING (vehicle_id) WHERE seq_idx <= prefix_length AND q.vehicle_id = 7'),
     "b7_contrast_prefixes": _sql(READOUTS, VEHICLES, SEQUENCES, FILLED, SPLIT, PREPARED, PREFIXES, f"e AS (SELECT vehicle_id, rid, seq_idx, sg, sx, sy0, {STEP('sx')} AS dx, {STEP('sy0')} AS dy FROM z)", """
 SELECT q.vehicle_id || '_p' || prefix_number AS prefix_id, rid, round(sg, 4) AS time_gap_scaled, round(sx, 4) AS value, round(sy0, 4) AS bin, round(dx, 4) AS value_step, round(dy, 4) AS bin_step FROM q JOIN e USING (vehicle_id) WHERE seq_idx <= prefix_length"""),

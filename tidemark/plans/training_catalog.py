@@ -13,13 +13,13 @@ from tidemark.operators import features as A
 from tidemark.operators import sequences as B
 from tidemark.operators import survival as M
 from tidemark.operators import training as T
-from tidemark.operators.columns import with_targets
+from tidemark.operators.columns import static_columns, with_targets
 from tidemark.operators.concordance import concordance
 from tidemark.operators.networks import Network
 from tidemark.plans.catalog import rounded
 from tidemark.plans.model_catalog import FEATURES, FOREST, _tabular
 from tidemark.sources.stored import stored
-from tidemark.sources.tables import EVENT_BINS, event_readouts, event_vehicles
+from tidemark.sources.tables import EVENT_BINS, event_readouts, event_vehicles, order_vehicles
 
 VALUE, GAPS = "1_0", "time_gap_scaled"
 SIZES = {"hidden": 16, "head": 16, "projection": 8, "survival_hidden": 16}
@@ -133,4 +133,24 @@ def t3_models(spark, d):
     return rounded(M.leaderboard(out), 4)
 
 
-QUERIES = {f.__name__: f for f in (l6_simple_training, l7_tfc_training, l8_guided_training, l9_fine_tuning, l10_encoders_compared, e8_encodings, e9_encoder_risk, t3_models)}
+def f3_static_ablation(spark, d):
+    """Concordance on test vehicles of one hazard model without and with static columns, each with its own selection of features."""
+    train, test = _tabular(spark, d)
+    vehicles = order_vehicles(spark, d)
+    static = static_columns(vehicles.columns)[:1]
+    vocabulary = X.kept_vocabulary(X.fit_vocabulary(vehicles.join(train.select("vehicle_id"), "vehicle_id"), static))
+    specs = X.one_hot(vehicles.select("vehicle_id", *static), vocabulary)
+    out = None
+    for name, more in (("without_static", []), ("with_static", [c for c in specs.columns if c != "vehicle_id"])):
+        rows = {s: stored(t.join(specs, "vehicle_id")) for s, t in (("train", train), ("test", test))}
+        features = [*FEATURES, *more]
+        spread = {r["feature"]: r["variance"] for r in A.feature_variances(rows["train"], features).collect()}  # a row a feature
+        features = [f for f in features if spread[f] > 1e-4]
+        gone = A.highly_correlated(rows["train"], features, 0.9)
+        features = [f for f in features if f not in gone]
+        one = cox.evaluate_cox(rows["train"], rows["test"], features)[1].select(F.lit(name).alias("variant"), F.lit(len(features)).alias("features"), "c_index")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, 4)
+
+
+QUERIES = {f.__name__: f for f in (l6_simple_training, l7_tfc_training, l8_guided_training, l9_fine_tuning, l10_encoders_compared, e8_encodings, e9_encoder_risk, t3_models, f3_static_ablation)}

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; below the temp folder where that is unset and the session is a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -15,7 +18,8 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def stored(table: DataFrame, path: str | None = None) -> DataFrame:
@@ -30,3 +34,13 @@ def removed(spark: SparkSession, path: str) -> None:
     """Delete a stored table that nothing reads any more."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all that was stored so far, and tell how many folders that was; for when the results that were made from them are written."""
+    gone = list(_made)
+    for path in gone:
+        removed(spark, path)
+    return len(gone)

@@ -51,15 +51,25 @@ EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 EVENT_BINS = [f"2_{i}" for i in range(len(EVENT_TYPES))]
 
 
-def event_readouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users as vehicles, events as readouts: a numerical column, null in every eleventh event, and a cumulative histogram of event types, null in every thirteenth."""
-    held = table(spark, sf_dir, "events").select(
+def _as_readouts(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("user_id").alias("vehicle_id"),
         F.col("event_id").alias("rid"),
         (F.timestamp_diff("SECOND", F.lit("2024-01-01").cast("timestamp_ntz"), "ts") / 3600.0).alias("time_step"),
         F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("1_0"),
         F.col("event_type").alias("status"),
     )
+
+
+def streamed_readouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readouts of :func:`event_readouts` without their histogram, as a stream of the files of the table."""
+    schema = table(spark, sf_dir, "events").schema
+    return _as_readouts(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*"))
+
+
+def event_readouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as vehicles, events as readouts: a numerical column, null in every eleventh event, and a cumulative histogram of event types, null in every thirteenth."""
+    held = _as_readouts(table(spark, sf_dir, "events"))
     order = Window.partitionBy("vehicle_id").orderBy("time_step", "rid").rowsBetween(Window.unboundedPreceding, 0)
     counts = {c: F.when(F.col("rid") % 13 != 0, F.count_if(F.col("status") == kind).over(order).cast("double")) for c, kind in zip(EVENT_BINS, EVENT_TYPES)}
     return held.withColumns(counts)
