@@ -250,6 +250,23 @@ def test_readers_and_writers(spark, tmp_path):
     assert found["sequences"].first().vehicle_id == 2 and found["scaler"].first().v_mean == 0.5
 
 
+@pytest.mark.parametrize("parts", [1, 9])
+def test_dynamic_auc_equals_all_pairs(spark, parts):
+    """Half of the rows have one risk."""
+    rng = np.random.default_rng(9)
+    rows = [(i, float(rng.integers(1, 20)), int(rng.integers(0, 2)), 0.5 if i % 2 else float(rng.integers(0, 30)) / 10) for i in range(150)]
+    test = spark.createDataFrame(rows, "vehicle_id bigint, duration double, event int, risk double")
+    weight = {r.vehicle_id: r.weight for r in survival.weighted_events(test, test).collect()}
+    grid = spark.createDataFrame([(3.5,), (9.0,), (15.0,)], "time double")
+    got = {r.time: r.auc for r in survival.dynamic_auc(test, test, grid, parts).collect()}
+    for at, auc in got.items():
+        cases, controls = [r for r in rows if r[2] and r[1] <= at], [r for r in rows if r[1] > at]
+        won = sum(weight[a[0]] * ((a[3] > b[3]) + (a[3] == b[3]) / 2) for a in cases for b in controls)
+        assert auc == pytest.approx(won / (sum(weight[a[0]] for a in cases) * len(controls)))
+    assert len(got) == 3
+    assert survival.dynamic_auc(test.limit(0), test, grid).filter("auc is null").count() == 3
+
+
 def test_paths_and_results(spark, tmp_path):
     project = paths.Paths(f"file://{tmp_path}/p/")
     project.create(spark)

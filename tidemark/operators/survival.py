@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranks import percentiles, running_sums
+from tidemark.operators.ranks import cuts_of, parts_for, percentiles, range_of, running_sums
 from tidemark.sources.stored import stored
 
 
@@ -96,19 +98,50 @@ def weighted_events(test: DataFrame, train: DataFrame) -> DataFrame:
     return held.withColumn("weight", F.when(F.col("event") == 1, F.try_divide(F.lit(1.0), F.col("_g"))).otherwise(0.0)).drop("_g")
 
 
-def dynamic_auc(test: DataFrame, train: DataFrame, grid: DataFrame) -> DataFrame:
+def dynamic_auc(test: DataFrame, train: DataFrame, grid: DataFrame, parts: int | None = None) -> DataFrame:
     """(time, auc): at each time of ``grid``, how often an event by then has the larger risk than a row that lasts longer.
 
     Events are weighted by :func:`weighted_events`; equal risks count half.
-    Risks are summed up by value and time, then along ranges of risks.
+    Rows are dealt to ranges of risks and stored once.  Of a range only its sums
+    at each time reach the driver; pairs within it are counted in its own task,
+    a time after the other, and a risk that many rows share needs its sums only.
     """
-    rows = stored(weighted_events(test, train)).crossJoin(F.broadcast(grid))
-    case = F.when((F.col("duration") <= F.col("time")) & (F.col("event") == 1), F.col("weight")).otherwise(0.0)
-    control = (F.col("duration") > F.col("time")).cast("bigint")
-    held = rows.groupBy("time", F.col("risk").cast("double").alias("risk")).agg(F.sum(case).alias("cases"), F.sum(control).alias("controls"))
-    below = running_sums(held, "risk", {"upto": F.col("controls")}, keys=("time",))
-    found = below.groupBy("time").agg(F.sum(F.col("cases") * (F.col("upto") - F.col("controls") / 2)).alias("_won"), F.sum("cases").alias("_cases"), F.sum("controls").alias("_controls"))
-    return found.select("time", F.try_divide(F.col("_won"), F.col("_cases") * F.col("_controls")).alias("auc"))
+    times = sorted(r["time"] for r in grid.select("time").distinct().collect())
+    rows = weighted_events(test, train).select(F.col("risk").cast("double").alias("r"), F.col("duration").cast("double").alias("t"), (F.col("event") == 1).alias("e"), "weight").filter("r IS NOT NULL")
+    held = stored(rows)
+    cuts, _ = cuts_of(held, "r", parts or parts_for(held.count()))
+    held = held.withColumn("range", range_of(F.col("r"), cuts))
+    case = lambda at: F.coalesce(F.sum(F.when((F.col("t") <= at) & F.col("e"), F.col("weight"))), F.lit(0.0))
+    control = lambda at: F.count_if(F.col("t") > at).cast("double")
+    sums = F.array(*[f(at) for f in (case, control) for at in times]) if times else F.array().cast("array<double>")
+    found = held.groupBy("range").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), sums.alias("v")).orderBy("range").collect()  # a row a range
+    cases, controls, won = np.zeros(len(times)), np.zeros(len(times)), np.zeros(len(times))
+    below = {}
+    for r in found:
+        own = np.array(r["v"]).reshape(2, -1)
+        below[r["range"]] = controls
+        if r["lo"] == r["hi"]:
+            won = won + own[0] * (controls + own[1] / 2)
+        cases, controls = cases + own[0], controls + own[1]
+
+    def within(rows: pa.Table) -> pa.Table:
+        r, t, e, w = (rows[c].to_numpy(zero_copy_only=False) for c in ("r", "t", "e", "weight"))
+        order = np.argsort(r)
+        r, t, e, w = r[order], t[order], e[order].astype(bool), np.nan_to_num(w[order].astype(float))
+        low, high, before = np.searchsorted(r, r), np.searchsorted(r, r, "right"), below[rows["range"][0].as_py()]
+        out = []
+        for k, at in enumerate(times):
+            upto = np.append(0, np.cumsum(t > at))
+            i = np.flatnonzero((t <= at) & e)
+            out.append(float((w[i] * (before[k] + (upto[low[i]] + upto[high[i]]) / 2)).sum()))
+        return pa.table({"won": pa.array([out], pa.list_(pa.float64()))})
+
+    mixed = [r["range"] for r in found if r["lo"] < r["hi"]]
+    if mixed and times:
+        parted = held.filter(F.col("range").isin(mixed)).groupBy("range").applyInArrow(within, "won array<double>")
+        won = won + np.array(parted.agg(F.array(*[F.sum(F.col("won")[k]) for k in range(len(times))]).alias("w")).first()["w"])
+    rows = [(at, float(x / (a * b)) if a * b else None) for at, x, a, b in zip(times, won, cases, controls)]
+    return test.sparkSession.createDataFrame(rows, "time double, auc double")
 
 
 def mean_auc(auc: DataFrame, test: DataFrame) -> DataFrame:
