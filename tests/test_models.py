@@ -192,6 +192,14 @@ def test_search_equals_the_loop(spark, table):
     assert [r.model for r in both] == ["baseline", "tuned"] and all(r.c_index > 0.6 for r in both)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 8, 100])
+def test_range_of_a_value(spark, n):
+    cuts = [0.5 * i for i in range(n)]
+    values = [-1.0, *cuts, *(c + 0.1 for c in cuts), None]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", ranks.range_of(F.col("v"), cuts).alias("k")).collect()
+    assert all(r.k == (0 if r.v is None else sum(c < r.v for c in cuts)) for r in got)
+
+
 def test_running_sums_of_many_ranges(spark):
     rows = spark.range(5000).select((F.col("id") * 7919 % 5000).cast("double").alias("v"))
     got = ranks.running_sums(rows, "v", {"s": F.col("v")}, parts=40)

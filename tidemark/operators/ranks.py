@@ -33,8 +33,12 @@ def cuts_of(table: DataFrame, value: str, parts: int) -> tuple[list[float], list
 
 
 def range_of(value: Column, cuts: list[float]) -> Column:
-    """The number of the range: of the cuts below the value."""
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < value)) if cuts else F.lit(0)
+    """The number of the range: of the cuts, which ascend, below the value, found by halving."""
+    if not cuts:
+        return F.lit(0)
+    held, n = F.array(*map(F.lit, cuts)), len(cuts)
+    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(held, at + step - 1) < value), at + step).otherwise(at))
 
 
 def in_ranges(table: DataFrame, by: str, parts: int | None = None) -> DataFrame:
