@@ -22,7 +22,7 @@ from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.jaccard import jaccard_components, near_dedup
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.media import describe_media, from_png, media_columns, padded, to_png
-from tidemark.llm.packing import best_fit, pack_documents, sweep
+from tidemark.llm.packing import best_fit, openers, pack_documents, sweep, swept
 from tidemark.llm.words import subwords
 
 WORDS = "alpha beta gamma delta wind tide mark stone river cloud light, Dark. élan über ñandú 日本 l'eau don't".split(" ")
@@ -192,6 +192,42 @@ def test_sweep_takes_the_largest_that_fits():
     assert sweep([(3, 0, 2), (5, 2, 1)], [(4, 100, 1), (6, 101, 1)]) == [(3, 1, 1, 4, 100, 1, 1), (5, 2, 1, 6, 101, 1, 1)]
 
 
+def test_sweep_by_ranges_equals_the_whole_sweep(spark):
+    rng = np.random.default_rng(3)
+    kinds = "value bigint, at bigint, n bigint"
+    for capacity, values, most in ((1024, 60, 9), (1024, 1000, 300), (7, 7, 40)):
+        items, gaps = (sorted((int(v), 1000 * k, int(rng.integers(1, most))) for k, v in enumerate(rng.integers(1, capacity + 1, values))) for _ in range(2))
+        got = swept(spark.createDataFrame(items, kinds), spark.createDataFrame(gaps, kinds), capacity)
+        assert sorted(map(tuple, got.collect())) == sorted(sweep(items, gaps))
+    none = spark.createDataFrame([], kinds)
+    assert swept(none, none, 10).count() == swept(spark.createDataFrame([(5, 0, 1)], kinds), none, 10).count() == 0
+
+
+def test_openers_are_the_largest(spark):
+    rows = spark.createDataFrame([(3, 0), (3, 1), (2, 2), (3, 1 << 33), (1, 9)], "size bigint, at bigint")
+    runs = spark.createDataFrame([(3, 0, 2), (2, 2, 1), (3, 1 << 33, 1), (1, 9, 1)], "value bigint, at bigint, n bigint")
+    assert {tuple(r) for r in rows.filter(openers(runs, 4, 8)).collect()} == {(3, 1), (3, 1 << 33)}  # 12 in sequences of 8
+    assert {r.size for r in rows.filter(openers(runs, 2, 5)).collect()} == {3}
+
+
+def test_best_fit_needs_about_what_best_fit_decreasing_needs(spark):
+    rng = np.random.default_rng(5)
+    sizes = [int(v) for v in np.concatenate([rng.integers(1, 100, 400), np.full(200, 34)])]
+    got = best_fit(spark.createDataFrame(list(enumerate(sizes)), "item bigint, size bigint").repartition(3), 100).collect()
+    loads = defaultdict(int)
+    for r in got:
+        loads[r.sequence] += sizes[r.item]
+    assert sorted(r.item for r in got) == list(range(len(sizes))) and max(loads.values()) <= 100
+    plain_loads = []
+    for size in sorted(sizes, reverse=True):  # one by one, largest first, to the smallest gap
+        fits = [k for k, load in enumerate(plain_loads) if load + size <= 100]
+        if fits:
+            plain_loads[max(fits, key=plain_loads.__getitem__)] += size
+        else:
+            plain_loads.append(size)
+    assert len(loads) <= len(plain_loads) + 2
+
+
 def test_bpe(docs, plain, empty):
     ranks_path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     import base64

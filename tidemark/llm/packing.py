@@ -2,13 +2,17 @@
 
 Each round sorts the items that have no place by size and the open sequences by
 gap, both by range over the cluster.  Every partition sums up its runs of equal
-values; the sweep goes over these sums in ascending order and matches each gap
-with the largest items below it that no smaller gap has taken.  Equal items are
-told apart, and conflicts resolved, by rank: the k-th item of a run goes to the
-k-th gap of the run it was matched with.  Then gaps shrink, and the next round
-follows.  Where no item fits a gap, the largest items open new sequences, as
-many as the items left must need.  What the driver sees is sums of runs: at
-most one a partition and one a size.
+values; a sweep over these sums in ascending order matches each gap with the
+largest items below it that no smaller gap has taken.  The sweep is made range
+by range of values, each in a task of its own; what a range leaves, gaps without
+an item and items without a gap, goes on to a sweep of ``FAN`` ranges together,
+until one is left.  An item of a gap's own range is larger than any below it, so
+this matches just what a sweep over all would.  Equal items are told apart, and
+conflicts resolved, by rank: the k-th item of a run goes to the k-th gap of the
+run it was matched with.  Then gaps shrink, and the next round follows.  Where
+no item fits a gap, the largest items open new sequences, as many as the items
+left must need.  There are at most as many runs as partitions and sizes
+together; the driver sees totals, and the runs of one size.
 """
 
 from __future__ import annotations
@@ -17,8 +21,9 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import texts_in_chunks
@@ -27,6 +32,8 @@ from tidemark.llm.scratch import written
 
 CAPACITY = 1024
 END_ID = 2
+#: Ranges of values that a sweep begins with, and how many of them are swept together after each step.
+RANGES, FAN = 64, 8
 
 #: A run of equal values: the value, the place of its first row, rows.
 Run = tuple[int, int, int]
@@ -65,20 +72,19 @@ def token_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     return held.mapInArrow(cut, kinds).withColumnRenamed("key", key)
 
 
-def _sorted(table: DataFrame, value: str, name: str) -> tuple[DataFrame, list[Run]]:
-    """``table`` sorted by ``value`` over the cluster, each row's place in ``at``, and its runs."""
+def _sorted(table: DataFrame, value: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """``table`` sorted by ``value`` over the cluster, each row's place in ``at``, and its runs (value, at, n)."""
     held = written(table.repartitionByRange(value, name).sortWithinPartitions(value, name).withColumn("at", F.monotonically_increasing_id()), "sorted")
-    part = F.shiftright("at", 33)
-    runs = held.groupBy(part, value).agg(F.min("at"), F.count(F.lit(1))).collect()
-    return held, sorted((int(r[1]), r[2], r[3]) for r in runs)
+    runs = held.groupBy(F.shiftright("at", 33), F.col(value).alias("value")).agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))
+    return held, runs.select("value", "at", "n")
 
 
-def sweep(items: list[Run], gaps: list[Run]) -> list[tuple[int, int, int, int, int, int, int]]:
-    """(size, first item, items, gap, first gap, gaps, items a gap): gaps in ascending order take the largest items that fit.
+def sweep_range(items: list[Run], gaps: list[Run]) -> tuple[list[tuple[int, int, int, int, int, int, int]], list[Run], list[Run]]:
+    """(size, first item, items, gap, first gap, gaps, items a gap), and the items and gaps that are left: gaps in ascending order take the largest items that fit.
 
     A gap takes as many items of one size as it has room for.
     """
-    found, waiting, k = [], [], 0
+    found, open_gaps, waiting, k = [], [], [], 0
     for gap, first, left in gaps:
         while k < len(items) and items[k][0] <= gap:
             waiting.append(list(items[k]))
@@ -93,25 +99,71 @@ def sweep(items: list[Run], gaps: list[Run]) -> list[tuple[int, int, int, int, i
             waiting[-1][2] -= taken
             if not waiting[-1][2]:
                 waiting.pop()
-    return found
-
-
-def largest(items: list[Run], over: int, capacity: int) -> list[tuple[int, int, int]]:
-    """(size, first item, items) of those that open sequences: all that are over half, or else as many as all need."""
-    if any(size > over for size, _, _ in items):
-        return [run for run in items if run[0] > over]
-    need, out = -(-sum(size * n for size, _, n in items) // capacity), []
-    for size, at, n in reversed(items):
-        take = min(n, need)
-        out.append((size, at + n - take, take))
-        need -= take
-        if not need:
+        if left:
+            open_gaps.append((gap, first, left))
+    return found, [*map(tuple, waiting), *items[k:]], open_gaps
+
+
+def sweep(items: list[Run], gaps: list[Run]) -> list[tuple[int, int, int, int, int, int, int]]:
+    """The matches of a sweep over all items and gaps as one range."""
+    return sweep_range(items, gaps)[0]
+
+
+#: Rows of a sweep: runs of items (kind 0) and of gaps (1), and matches (2), whose range is negative, as nothing more is done to them.
+ITEM, GAP, MATCH = 0, 1, 2
+SWEPT = "range bigint, kind int, value bigint, at bigint, n bigint, gap bigint, gap_at bigint, gaps bigint, slots bigint"
+
+
+def _sweep_group(rows: pd.DataFrame) -> pd.DataFrame:
+    here = int(rows["range"].iloc[0])
+    if here < 0:
+        return rows
+    items, gaps = (list(rows.loc[rows["kind"] == kind, ["value", "at", "n"]].sort_values(["value", "at"]).itertuples(index=False, name=None)) for kind in (ITEM, GAP))
+    found, items, gaps = sweep_range(items, gaps)
+    out = [(-1 - here, MATCH, *match) for match in found]
+    out += [(here // FAN, kind, *run, 0, 0, 0, 0) for kind, runs in ((ITEM, items), (GAP, gaps)) for run in runs]
+    return pd.DataFrame(out, columns=rows.columns)
+
+
+def swept(items: DataFrame, gaps: DataFrame, capacity: int) -> DataFrame:
+    """The matches of :func:`sweep` for runs (value, at, n) of items and of gaps, whose values are at most ``capacity``."""
+    none = [F.lit(0).cast("bigint").alias(c) for c in ("gap", "gap_at", "gaps", "slots")]
+    of = F.floor(F.col("value") * RANGES / (capacity + 1)).cast("bigint").alias("range")
+    rows = None
+    for kind, runs in ((ITEM, items), (GAP, gaps)):
+        these = runs.select(of, F.lit(kind).alias("kind"), "value", "at", "n", *none)
+        rows = these if rows is None else rows.unionByName(these)
+    left = RANGES
+    while True:
+        rows = rows.groupBy("range").applyInPandas(_sweep_group, SWEPT)
+        if left == 1:
             break
-    return out
+        left = -(-left // FAN)
+    return rows.filter(F.col("kind") == MATCH).select(F.col("value").alias("size"), F.col("at").alias("item_at"), F.col("n").alias("items"), "gap", "gap_at", "gaps", "slots")
+
+
+def openers(runs: DataFrame, over: int, capacity: int) -> Column:
+    """Which rows (size, at) open sequences: all that are over half, or else as many of the largest as all need.
+
+    The driver sees one total a size, and the runs of the size that is cut.
+    """
+    totals = sorted(((r["value"], r["n"]) for r in runs.groupBy("value").agg(F.sum("n").alias("n")).collect()), reverse=True)
+    if totals[0][0] > over:
+        return F.col("size") > over
+    need = -(-sum(size * n for size, n in totals) // capacity)
+    for size, n in totals:  # noqa: B007
+        if need <= n:
+            break
+        need -= n
+    for at, n in sorted(((r["at"], r["n"]) for r in runs.filter(F.col("value") == size).collect()), reverse=True):  # noqa: B007
+        if need <= n:
+            break
+        need -= n
+    return (F.col("size") > size) | ((F.col("size") == size) & (F.col("at") >= at + n - need))
 
 
 def _within(table: DataFrame, plan: DataFrame, value: str, name: str, n: str, how: str) -> DataFrame:
-    """``table`` with the row of ``plan`` in whose interval it is; a plan is of sums of runs, so it can be broadcast."""
+    """``table`` with the row of ``plan`` in whose interval it is; a plan has at most three rows a run, so it can be broadcast."""
     inside = (F.col(value) == F.col(f"m_{value}")) & (F.col("at") >= F.col(name)) & (F.col("at") < F.col(name) + F.col(n))
     return table.join(F.broadcast(plan.withColumnRenamed(value, f"m_{value}")), inside, how)
 
@@ -121,22 +173,22 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Items are unique longs, sizes from 1 to ``capacity``; equal sizes are told
     apart by item.  Items whose size is null or out of range get no row.  An
-    empty table gives an empty result.  Sequences are numbered from 0 and their
-    offsets have no gaps.
+    empty table gives an empty result.  Sequences have numbers of their own, none
+    negative, and their offsets have no gaps.
     """
     spark = items.sparkSession
     left = items.filter(F.col("size").between(1, capacity)).select("item", "size")
-    opened, made, placed = None, 0, []
+    opened, times, placed = None, 0, []
     while True:
         left, item_runs = _sorted(left, "size", "item")
-        if not item_runs:
+        least = item_runs.agg(F.min("value")).first()[0]
+        if least is None:
             break
-        gap_runs = []
+        plan = None
         if opened is not None:
-            opened, gap_runs = _sorted(opened.filter(F.col("gap") >= item_runs[0][0]), "gap", "sequence")
-        matches = sweep(item_runs, gap_runs)
-        if matches:
-            plan = spark.createDataFrame(matches, "size bigint, item_at bigint, items bigint, gap bigint, gap_at bigint, gaps bigint, slots bigint")
+            opened, gap_runs = _sorted(opened.filter(F.col("gap") >= least), "gap", "sequence")
+            plan = written(swept(item_runs, gap_runs, capacity), "plan")
+        if plan is not None and not plan.isEmpty():
             taken = _within(left, plan, "size", "item_at", "items", "inner")
             rank = F.col("at") - F.col("item_at")
             taken = taken.select("item", "size", (F.col("gap_at") + F.floor(rank / F.col("slots"))).alias("at"), (rank % F.col("slots")).alias("slot"))
@@ -147,17 +199,13 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             opened = _within(opened, plan, "gap", "gap_at", "gaps", "left").select("sequence", (F.col("gap") - F.coalesce(used, F.lit(0))).alias("gap"))
             left = _within(left, plan, "size", "item_at", "items", "left_anti").select("item", "size")
             continue
-        openers, numbered = largest(item_runs, capacity // 2, capacity), []
-        for size, at, n in openers:
-            numbered.append((size, at, n, made))
-            made += n
-        plan = spark.createDataFrame(numbered, "size bigint, item_at bigint, items bigint, base bigint")
-        new = _within(left, plan, "size", "item_at", "items", "inner").select("item", "size", (F.col("base") + F.col("at") - F.col("item_at")).alias("sequence"))
-        new = written(new, "opened")
+        opens = openers(item_runs, capacity // 2, capacity)
+        new = left.filter(opens).select("item", "size", (F.lit(times << 53) + F.col("at")).alias("sequence"))  # a place is below 1 << 53
+        times += 1
         placed.append(new.select("item", "sequence", F.lit(0).cast("bigint").alias("offset")))
         gaps = new.select("sequence", (capacity - F.col("size")).alias("gap"))
         opened = gaps if opened is None else opened.select("sequence", "gap").unionByName(gaps)
-        left = _within(left, plan, "size", "item_at", "items", "left_anti").select("item", "size")
+        left = left.filter(~opens).select("item", "size")
     if not placed:
         return spark.createDataFrame([], "item bigint, sequence bigint, offset bigint")
     out = placed[0]
