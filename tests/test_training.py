@@ -229,3 +229,37 @@ def test_permutations_and_passes(spark):
     assert passes[0][:3] != passes[1] and {frozenset(s) for s in passes[0]}.isdisjoint({frozenset(s) for s in passes[1]})
     assert event_batches(vehicles, 12, 4, epoch=0).select("batch", "vehicle_id").collect() != [(r.batch, r.vehicle_id) for r in dealt]
     assert replace(Draws(), epoch=1) != Draws()
+
+
+@pytest.mark.parametrize("loss, events", [("tfc", None), ("survival", 3)])
+def test_runs_of_steps_equal_steps_of_their_own(spark, parts, monkeypatch, loss, events):
+    net = Network("tfc", 1, 2, survival=None if loss == "tfc" else "plain", **SMALL)
+    options = Options(loss, epochs=2, size=9, per_step=2, events=events)
+    jobs, walk, add = [], training.walked, training.summed
+    monkeypatch.setattr(training, "walked", lambda *a: jobs.append("run") or walk(*a))
+    monkeypatch.setattr(training, "summed", lambda *a, train=True, **k: jobs.append("step" if train else "val") or add(*a, train=train, **k))
+    one = training.train(*parts, COLUMNS, net, options)
+    assert jobs == ["run", "val"] * 2  # fewer jobs than steps
+    monkeypatch.setattr(training, "RUN_VALUES", 1200)
+    jobs.clear()
+    runs = training.train(*parts, COLUMNS, net, options)
+    assert jobs.count("run") in (4, 6) and "step" not in jobs
+    monkeypatch.setattr(training, "STEP_VALUES", 1)
+    jobs.clear()
+    steps = training.train(*parts, COLUMNS, net, options)
+    assert jobs.count("step") == steps.steps >= 4 and "run" not in jobs
+    for other in (runs, steps):
+        same(one.weights, other.weights)
+        same(one.second, other.second)
+        assert one.history == other.history and one.steps == other.steps
+
+
+def test_states_that_are_kept_give_the_same_gradient(monkeypatch):
+    monkeypatch.setattr(layers, "SEGMENT", 3)
+    net, found = Network("tfc", 2, 3, survival="guided", **SMALL), []
+    for room in (1 << 20, 60, 0):
+        monkeypatch.setattr(networks, "KEPT_VALUES", room)
+        monkeypatch.setattr(networks, "GROUP_VALUES", 60)
+        found.append(networks.guided_loss(net, drawn_batch(), net.weights(), Draws())[1])
+    same(found[0], found[1])
+    same(found[0], found[2])

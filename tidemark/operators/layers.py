@@ -1,8 +1,9 @@
 """Layers of the encoders and heads in numpy, each with its gradient.
 
 Weights and gradients are arrays by name.  A recurrent layer gives the mean of
-its states only, so it holds one state at a time; its gradient goes backward in
-segments, of which the states are worked out anew from the first.
+its states only, so it holds one state at a time, unless it is told to keep
+them; its gradient goes backward in segments, of which states that weren't kept
+are worked out anew from the first.
 """
 
 from __future__ import annotations
@@ -11,15 +12,11 @@ import numpy as np
 
 Weights = dict[str, np.ndarray]
 #: Readouts whose states are held at a time on the way back.
-SEGMENT = 256
+SEGMENT = 64
 #: What is added to variances, and the share of a new moment in a running one.
 EPSILON, MOMENTUM = 1e-5, 0.1
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
-
-
 def gru_sizes(name: str, width: int, hidden: int, decay: bool) -> dict[str, tuple[int, ...]]:
     more = {f"{name}_decay_w": (hidden,), f"{name}_decay_b": (hidden,)} if decay else {}
     return {f"{name}_w": (3 * hidden, width), f"{name}_u": (3 * hidden, hidden), f"{name}_b": (3 * hidden,), f"{name}_c": (3 * hidden,)} | more
@@ -49,64 +46,112 @@ def first_weights(sizes: dict[str, tuple[int, ...]], seed: int = 42) -> Weights:
     return out
 
 
-def _cell(x: np.ndarray, h: np.ndarray, gap: np.ndarray | None, w: Weights, name: str) -> tuple[np.ndarray, tuple]:
-    """The next state, and what its gradient needs."""
-    slope = fade = None
-    old = h
-    if gap is not None:
-        slope = gap[:, None] * w[f"{name}_decay_w"] + w[f"{name}_decay_b"]
+def _segment(x: np.ndarray, first: np.ndarray, h: np.ndarray, total: np.ndarray | None, gaps: np.ndarray | None, w: Weights, name: str, keep: bool) -> tuple | None:
+    """Moves ``h`` over the readouts of ``x``, adding states to ``total``; with ``keep``, what the gradient needs: (old, fade, slope, reset and update, new, -2 times the part that is reset)."""
+    n, hidden = h.shape
+    both = 2 * hidden
+    # gates are 1 / (1 + exp(-v)) and the candidate is 2 / (1 + exp(-2 v)) - 1: the signs and the 2 go into the weights
+    sign = np.repeat([-1.0, -1.0, -2.0], hidden)
+    c = w[f"{name}_c"]
+    ins = x @ (w[f"{name}_w"].T * sign) + (w[f"{name}_b"] + np.concatenate([c[:both], np.zeros(hidden)])) * sign
+    u = w[f"{name}_u"].T * sign
+    fade = slope = None
+    if gaps is not None:
+        slope = gaps[:, :, None] * w[f"{name}_decay_w"] + w[f"{name}_decay_b"]
         fade = np.exp(-np.maximum(0, slope))
-        old = h * fade
-    a, b, c = np.split(x @ w[f"{name}_w"].T + w[f"{name}_b"], 3, 1)
-    p, q, m = np.split(old @ w[f"{name}_u"].T + w[f"{name}_c"], 3, 1)
-    r, z = sigmoid(a + p), sigmoid(b + q)
-    n = np.tanh(c + r * m)
-    return (1 - z) * n + z * old, (old, fade, slope, r, z, n, m)
-
-
-def pooled_states(x: np.ndarray, valid: np.ndarray, w: Weights, name: str, gaps: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The mean state of a gated recurrent unit over the valid readouts of x (sequences, readouts, features), and the state before each segment.
+    olds, gates, news, parts = (np.zeros((len(x) if keep else 1, n, m * hidden)) for m in (1, 2, 1, 1))
+    with np.errstate(over="ignore"):
+        for t, k in enumerate(first):
+            at, on = t if keep else 0, h[k:]
+            old, gate, new, part = olds[at, k:], gates[at, k:], news[at, k:], parts[at, k:]
+            if fade is None:
+                old[...] = on
+            else:
+                np.multiply(on, fade[t, k:], out=old)
+            inner = old @ u
+            np.add(inner[:, :both], ins[t, k:, :both], out=gate)
+            np.exp(gate, out=gate)
+            gate += 1
+            np.reciprocal(gate, out=gate)
+            np.subtract(inner[:, both:], 2 * c[both:], out=part)
+            np.multiply(part, gate[:, :hidden], out=new)
+            new += ins[t, k:, both:]
+            np.exp(new, out=new)
+            new += 1
+            np.divide(2, new, out=new)
+            new -= 1
+            np.subtract(old, new, out=on)
+            on *= gate[:, hidden:]
+            on += new
+            if total is not None:
+                total[k:] += on
+    return (olds, fade, slope, gates, news, parts) if keep else None
+
+
+def _first(lengths: np.ndarray, longest: int) -> np.ndarray:
+    """The first sequence that still goes on at each readout."""
+    return np.searchsorted(lengths, np.arange(longest), "right")
+
+
+def pooled_states(x: np.ndarray, lengths: np.ndarray, w: Weights, name: str, gaps: np.ndarray | None = None, keep: bool = False) -> tuple[np.ndarray, tuple[list[np.ndarray], list]]:
+    """The mean state of a gated recurrent unit over x (readouts, sequences by length, features), and the state before each segment; with ``keep`` also what the gradient needs.
 
     With ``gaps`` the state fades before each readout by exp(-relu(gap * decay_w
-    + decay_b)); where a readout isn't valid the state stays.
+    + decay_b)).  Only the sequences that still go on at a readout are worked on.
     """
-    h = np.zeros((len(x), w[f"{name}_u"].shape[1]))
-    total, starts = np.zeros_like(h), []
-    for t in range(x.shape[1]):
-        if t % SEGMENT == 0:
-            starts.append(h)
-        h = np.where(valid[:, t, None], _cell(x[:, t], h, None if gaps is None else gaps[:, t], w, name)[0], h)
-        total += h * valid[:, t, None]
-    return total / np.maximum(1, valid.sum(1))[:, None], starts
+    h = np.zeros((x.shape[1], w[f"{name}_u"].shape[1]))
+    total, starts, held, first = np.zeros_like(h), [], [], _first(lengths, len(x))
+    for at in range(0, len(x), SEGMENT):
+        to = at + SEGMENT
+        starts.append(h.copy())
+        held.append(_segment(x[at:to], first[at:to], h, total, None if gaps is None else gaps[at:to], w, name, keep))
+    return total / np.maximum(1, lengths)[:, None], (starts, held)
 
 
-def pooled_states_back(x: np.ndarray, valid: np.ndarray, w: Weights, name: str, gaps: np.ndarray | None, starts: list[np.ndarray], d: np.ndarray, grads: Weights) -> None:
+def pooled_states_back(x: np.ndarray, lengths: np.ndarray, w: Weights, name: str, gaps: np.ndarray | None, found: tuple[list[np.ndarray], list], d: np.ndarray, grads: Weights) -> None:
     """Adds the gradient for ``d``, that of the mean state, to ``grads``."""
-    share, dh = d / np.maximum(1, valid.sum(1))[:, None], np.zeros_like(d)
-    for k in range(len(starts) - 1, -1, -1):
-        h, held = starts[k], []
-        for t in range(k * SEGMENT, min(x.shape[1], (k + 1) * SEGMENT)):
-            new, parts = _cell(x[:, t], h, None if gaps is None else gaps[:, t], w, name)
-            held.append((t, h, parts))
-            h = np.where(valid[:, t, None], new, h)
-        for t, h, (old, fade, slope, r, z, n, m) in reversed(held):
-            on = valid[:, t, None]
-            dh = dh + share * on
-            d_new = dh * on
-            d_n = d_new * (1 - z) * (1 - n**2)
-            d_r, d_z = d_n * m * r * (1 - r), d_new * (old - n) * z * (1 - z)
-            d_in, d_state = np.concatenate([d_r, d_z, d_n], 1), np.concatenate([d_r, d_z, d_n * r], 1)
-            grads[f"{name}_w"] += d_in.T @ x[:, t]
-            grads[f"{name}_b"] += d_in.sum(0)
-            grads[f"{name}_u"] += d_state.T @ old
-            grads[f"{name}_c"] += d_state.sum(0)
-            d_old = d_new * z + d_state @ w[f"{name}_u"]
-            if fade is not None:
-                d_slope = -d_old * h * fade * (slope > 0)
-                grads[f"{name}_decay_w"] += (d_slope * gaps[:, t, None]).sum(0)
-                grads[f"{name}_decay_b"] += d_slope.sum(0)
-                d_old = d_old * fade
-            dh = dh * ~on + d_old
+    share, dh = d / np.maximum(1, lengths)[:, None], np.zeros_like(d)
+    first, u, hidden = _first(lengths, len(x)), w[f"{name}_u"], d.shape[1]
+    starts, held = found
+    for i in range(len(starts) - 1, -1, -1):
+        at, to = i * SEGMENT, (i + 1) * SEGMENT
+        some, before = x[at:to], None if gaps is None else gaps[at:to]
+        kept = held[i] if held[i] is not None else _segment(some, first[at:to], starts[i].copy(), None, before, w, name, True)
+        old, fade, slope, gates, new, part = kept
+        r, z = gates[..., :hidden], gates[..., hidden:]
+        rise = (1 - z) * (1 - new**2)
+        # of the gradient of a new state, what goes to the reset and update gates and the candidate's state
+        slopes = np.empty((*old.shape[:2], 3, hidden))
+        np.multiply(rise, r, out=slopes[:, :, 2])
+        np.multiply(slopes[:, :, 2] * (1 - r), part, out=slopes[:, :, 0])
+        slopes[:, :, 0] *= -0.5
+        np.multiply((old - new) * z, 1 - z, out=slopes[:, :, 1])
+        d_new, d_old, d_state = np.zeros_like(old), np.zeros_like(old), np.zeros(slopes.shape)
+        for t in range(len(some) - 1, -1, -1):
+            k = first[at + t]
+            on, back, before_fade = dh[k:], d_state[t, k:], d_old[t, k:]
+            on += share[k:]
+            d_new[t, k:] = on
+            np.multiply(on[:, None, :], slopes[t, k:], out=back)
+            np.matmul(back.reshape(len(on), 3 * hidden), u, out=before_fade)
+            on *= z[t, k:]
+            if fade is None:
+                on += before_fade
+            else:
+                before_fade += on
+                np.multiply(before_fade, fade[t, k:], out=on)
+        flat = d_state.reshape(-1, 3 * hidden)
+        grads[f"{name}_u"] += flat.T @ old.reshape(-1, hidden)
+        grads[f"{name}_c"] += flat.sum(0)
+        np.multiply(d_new, rise, out=d_state[:, :, 2])
+        grads[f"{name}_w"] += flat.T @ some.reshape(len(flat), -1)
+        grads[f"{name}_b"] += flat.sum(0)
+        if fade is not None:
+            d_old *= old
+            d_old *= slope > 0
+            d_slope = d_old.reshape(-1, hidden)
+            grads[f"{name}_decay_w"] -= before.ravel() @ d_slope
+            grads[f"{name}_decay_b"] -= d_slope.sum(0)
 
 
 def dense(x: np.ndarray, w: Weights, name: str) -> np.ndarray:

@@ -1,15 +1,16 @@
 """Networks over packed sequences: two contrastive ones, and survival heads on their time encoders.
 
 A batch is a bounded number of sequences.  They are encoded in groups of like
-length, whose padded values are bounded; only the mean states of a group are
-held, and a group is encoded again on the way back.  Noise and drops are drawn
-by seed, epoch, batch, view and place, so they don't depend on groups or tasks.
+length, whose padded values are bounded; the states of the first groups are kept
+for the way back, of further ones only the mean, and they are encoded again.
+Noise and drops are drawn by seed, epoch, batch, view and place, so they don't
+depend on groups or tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ from tidemark.operators.layers import Weights
 
 #: Padded values of a group of sequences that is encoded at a time (one sequence at least).
 GROUP_VALUES = 1 << 20
+#: Padded values whose states a branch keeps for the way back; groups beyond are encoded again.
+KEPT_VALUES = 1 << 20
 FUSIONS = ("direct", "mlp")
 
 
@@ -112,6 +115,13 @@ class Batch:
     event: np.ndarray | None = None
     static: np.ndarray | None = None
     number: int = 0
+    spectra: dict[int, np.ndarray] = field(default_factory=dict)
+
+    def spectrum(self, i: int) -> np.ndarray:
+        """That of the differences of a sequence, which both views read."""
+        if i not in self.spectra:
+            self.spectra[i] = spectrum(differences(self.x[i]))
+        return self.spectra[i]
 
 
 def batch_of(table: pa.Table, columns: list[str], numerical: int, gaps: str, static: list[str] | None = None, key: str = "vehicle_id", number: int = 0) -> Batch:
@@ -155,7 +165,8 @@ class Draws:
         return x * (self._rng(batch, place, *name).random(x.shape) >= self.mask)
 
     def _rng(self, batch: Batch, *name: int) -> np.random.Generator:
-        return np.random.default_rng([self.seed, self.epoch, batch.number, *name])
+        words = [self.seed, self.epoch, batch.number, *name]
+        return np.random.default_rng(np.array(words, np.uint32) if max(words) < 1 << 32 else words)  # the same either way, an array is quicker
 
     def rng(self, batch: Batch) -> np.random.Generator:
         """For what is drawn once a batch."""
@@ -181,42 +192,64 @@ def _groups(lengths: list[int], width: int) -> Iterator[list[int]]:
 
 
 def _padded(some: list[tuple[np.ndarray, np.ndarray | None]]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    longest = max(1, *(len(x) for x, _ in some))
-    x = np.zeros((len(some), longest, some[0][0].shape[1]))
-    valid, gaps = np.zeros((len(some), longest), bool), np.zeros((len(some), longest))
+    """Sequences side by side (readouts, sequences, features), their lengths, and gaps where they have them."""
+    lengths = np.array([len(x) for x, _ in some])
+    longest = max(1, lengths.max())
+    x, gaps = np.zeros((longest, len(some), some[0][0].shape[1])), np.zeros((longest, len(some)))
     for i, (values, before) in enumerate(some):
-        x[i, : len(values)], valid[i, : len(values)] = values, True
+        x[: len(values), i] = values
         if before is not None:
-            gaps[i, : len(values)] = before
-    return x, valid, gaps if some[0][1] is not None else None
+            gaps[: len(values), i] = before
+    return x, lengths, gaps if some[0][1] is not None else None
+
 
+def pooled(get: Getter, lengths: list[int], w: Weights, name: str, held: list | None = None) -> np.ndarray:
+    """The mean state of each sequence; of ``bins`` that of two dense layers a readout.
 
-def pooled(get: Getter, lengths: list[int], w: Weights, name: str) -> np.ndarray:
-    """The mean state of each sequence; of ``bins`` that of two dense layers a readout."""
-    out = np.zeros((len(lengths), w["bins_2_b" if name == "bins" else f"{name}_u"].shape[-1]))
+    ``held`` gets what :func:`pooled_back` needs of each group: its states, while there is room for them, or else how to get them again.
+    """
+    out, room = np.zeros((len(lengths), w["bins_2_b" if name == "bins" else f"{name}_u"].shape[-1])), KEPT_VALUES
     for some in _groups(lengths, out.shape[1]):
-        x, valid, gaps = _padded([get(i) for i in some])
+        packed = _padded([get(i) for i in some])
+        x, sizes, gaps = packed
+        room -= x.shape[0] * x.shape[1] * out.shape[1]
+        keep = held is not None and room >= 0
+        found = None
         if name == "bins":
-            y, _ = layers.stack(x[valid], w, ["bins_1", "bins_2"], {}, None, last_relu=True)
-            at = np.repeat(np.arange(len(some)), valid.sum(1))
+            y, layer = layers.stack(_joined(x, sizes), w, ["bins_1", "bins_2"], {}, None, last_relu=True)
             sums = np.zeros((len(some), out.shape[1]))
-            np.add.at(sums, at, y)
-            out[some] = sums / np.maximum(1, valid.sum(1))[:, None]
+            np.add.at(sums, np.repeat(np.arange(len(some)), sizes), y)
+            out[some] = sums / np.maximum(1, sizes)[:, None]
+            found = layer if keep else None
         else:
-            out[some] = layers.pooled_states(x, valid, w, name, gaps)[0]
+            out[some], found = layers.pooled_states(x, sizes, w, name, gaps, keep)
+        if held is not None:
+            held.append((some, get, packed if keep else None, found))
     return out
 
 
-def pooled_back(get: Getter, lengths: list[int], w: Weights, name: str, d: np.ndarray, grads: Weights) -> None:
-    for some in _groups(lengths, d.shape[1]):
-        x, valid, gaps = _padded([get(i) for i in some])
+def _joined(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The readouts of each sequence, one sequence after the other."""
+    return np.concatenate([x[:n, i] for i, n in enumerate(sizes)])
+
+
+def pooled_back(held: list, w: Weights, name: str, d: np.ndarray, grads: Weights) -> None:
+    """Adds the gradient for ``d``, that of what :func:`pooled` gave with ``held``, to ``grads``."""
+    for some, get, packed, found in held:
+        x, sizes, gaps = packed or _padded([get(i) for i in some])
         if name == "bins":
-            _, held = layers.stack(x[valid], w, ["bins_1", "bins_2"], {}, None, last_relu=True)
-            share = d[some] / np.maximum(1, valid.sum(1))[:, None]
-            layers.stack_back(held, w, ["bins_1", "bins_2"], np.repeat(share, valid.sum(1), 0), grads)
+            layer = found or layers.stack(_joined(x, sizes), w, ["bins_1", "bins_2"], {}, None, last_relu=True)[1]
+            share = d[some] / np.maximum(1, sizes)[:, None]
+            layers.stack_back(layer, w, ["bins_1", "bins_2"], np.repeat(share, sizes, 0), grads)
         else:
-            starts = layers.pooled_states(x, valid, w, name, gaps)[1]
-            layers.pooled_states_back(x, valid, w, name, gaps, starts, d[some], grads)
+            layers.pooled_states_back(x, sizes, w, name, gaps, found, d[some], grads)
+
+
+def _views(net: Network, batch: Batch, part: str, draws: Draws, before: bool = False) -> tuple[Getter, list[int]]:
+    """Both views of a batch, the sequences of the second after those of the first."""
+    (one, lengths), (two, _) = (inputs(net, batch, part, draws, view, before) for view in (1, 2))
+    n = len(lengths)
+    return lambda i: one(i) if i < n else two(i - n), lengths * 2
 
 
 def inputs(net: Network, batch: Batch, part: str, draws: Draws | None = None, view: int = 0, before: bool = False) -> tuple[Getter, list[int]]:
@@ -229,7 +262,7 @@ def inputs(net: Network, batch: Batch, part: str, draws: Draws | None = None, vi
     if part == "freq":
         if before:
             return lambda i: (spectrum(moved(differences(batch.x[i]), i, 1)), None), [n // 2 + 1 for n in lengths]
-        return lambda i: (moved(spectrum(differences(batch.x[i])), i, 1), None), [n // 2 + 1 for n in lengths]
+        return lambda i: (moved(batch.spectrum(i), i, 1), None), [n // 2 + 1 for n in lengths]
     if net.kind == "tfc":
         return lambda i: (moved(batch.x[i], i), batch.gaps[i]), lengths
     k = batch.numerical
@@ -254,25 +287,24 @@ def simple_loss(net: Network, batch: Batch, w: Weights, draws: Draws, temperatur
     if len(batch.x) < 2:
         return None
     moments: list | None = [] if train else None
-    seen, z = [], []
-    for view in (1, 2):
-        sources = {part: inputs(net, batch, part, draws, view) for part in net.parts}
-        states = np.concatenate([pooled(*sources[p], w, p) for p in net.parts], 1)
-        out, held = layers.head(states, w, "time_head", moments)
-        seen.append((sources, held, states))
+    n, seen, z = len(batch.x), [], []
+    held: dict[str, list] = {p: [] for p in net.parts}
+    every = np.concatenate([pooled(*_views(net, batch, p, draws), w, p, held[p] if train else None) for p in net.parts], 1)
+    for states in (every[:n], every[n:]):
+        out, layer = layers.head(states, w, "time_head", moments)
+        seen.append((layer, states))
         z.append(out)
     loss, *d = layers.nt_xent_gradient(*z, temperature)
     u, v = (x / np.maximum(1e-8, np.linalg.norm(x, axis=1, keepdims=True)) for x in z)
-    cosines, n = u @ v.T, len(u)
+    cosines = u @ v.T
     same = float(np.trace(cosines))
-    metrics = {"loss": loss} | _diagnostics("pooled", seen[0][2]) | _diagnostics("proj", z[0]) | {"pos_sim": same / n, "neg_sim": float((cosines.sum() - same) / (n * (n - 1)))}
+    metrics = {"loss": loss} | _diagnostics("pooled", seen[0][1]) | _diagnostics("proj", z[0]) | {"pos_sim": same / n, "neg_sim": float((cosines.sum() - same) / (n * (n - 1)))}
     if not train:
         return metrics, None, []
     grads = _none(w)
-    for (sources, held, _), dz in zip(seen, d):
-        dp = layers.head_back(held, w, "time_head", dz, grads)
-        for i, part in enumerate(net.parts):
-            pooled_back(*sources[part], w, part, dp[:, i * net.hidden : (i + 1) * net.hidden], grads)
+    dp = np.concatenate([layers.head_back(layer, w, "time_head", dz, grads) for (layer, _), dz in zip(seen, d)])
+    for i, part in enumerate(net.parts):
+        pooled_back(held[part], w, part, dp[:, i * net.hidden : (i + 1) * net.hidden], grads)
     return metrics, grads, moments
 
 
@@ -281,11 +313,12 @@ def tfc_loss(net: Network, batch: Batch, w: Weights, draws: Draws, temperature:
     if len(batch.x) < 2:
         return None
     moments: list | None = [] if train else None
-    z, held, sources = {}, {}, {}
-    for view in (1, 2):
+    n, z, layer = len(batch.x), {}, {}
+    held: dict[str, list] = {"time": [], "freq": []}
+    states = {p: pooled(*_views(net, batch, p, draws, before), w, p, held[p] if train else None) for p in held}
+    for view, rows in ((1, slice(n)), (2, slice(n, None))):
         for part in ("time", "freq"):
-            sources[part, view] = inputs(net, batch, part, draws, view, before)
-            z[part, view], held[part, view] = layers.head(pooled(*sources[part, view], w, part), w, f"{part}_head", moments)
+            z[part, view], layer[part, view] = layers.head(states[part][rows], w, f"{part}_head", moments)
     d = {k: np.zeros_like(v) for k, v in z.items()}
     found = {}
     for part in ("time", "freq"):
@@ -303,16 +336,16 @@ def tfc_loss(net: Network, batch: Batch, w: Weights, draws: Draws, temperature:
     if not train:
         return metrics, None, []
     grads = _none(w)
-    for part, view in z:
-        dp = layers.head_back(held[part, view], w, f"{part}_head", d[part, view], grads)
-        pooled_back(*sources[part, view], w, part, dp, grads)
+    for part in held:
+        dp = [layers.head_back(layer[part, view], w, f"{part}_head", d[part, view], grads) for view in (1, 2)]
+        pooled_back(held[part], w, part, np.concatenate(dp), grads)
     return metrics, grads, moments
 
 
-def risks(net: Network, batch: Batch, w: Weights, rng: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray, tuple]:
-    """The pooled states, the risk of each sequence, and what the gradient needs; drops are drawn where ``rng`` is given."""
-    sources = {part: inputs(net, batch, part) for part in net.parts}
-    states = np.concatenate([pooled(*sources[p], w, p) for p in net.parts], 1)
+def risks(net: Network, batch: Batch, w: Weights, rng: np.random.Generator | None = None, back: bool = False) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """The pooled states, the risk of each sequence, and what the gradient needs, with ``back`` that of the encoder too; drops are drawn where ``rng`` is given."""
+    below: dict[str, list] = {part: [] for part in net.parts}
+    states = np.concatenate([pooled(*inputs(net, batch, p), w, p, below[p] if back else None) for p in net.parts], 1)
     fused, fixed = states, None
     if net.survival == "static":
         more = batch.static
@@ -320,25 +353,25 @@ def risks(net: Network, batch: Batch, w: Weights, rng: np.random.Generator | Non
             more, fixed = layers.stack(batch.static, w, ["static_1", "static_2"], net.drops, rng, last_relu=True)
         fused = np.concatenate([states, more], 1)
     risk, held = layers.stack(fused, w, net.survival_layers, net.drops, rng)
-    return states, risk[:, 0], (sources, fixed, held)
+    return states, risk[:, 0], (below, fixed, held)
 
 
 def risk_back(net: Network, w: Weights, held: tuple, d: np.ndarray, grads: Weights, frozen: bool = False) -> None:
-    sources, fixed, layer = held
+    below, fixed, layer = held
     d = layers.stack_back(layer, w, net.survival_layers, d[:, None], grads)
     wide = net.hidden * len(net.parts)
     if fixed is not None:
         layers.stack_back(fixed, w, ["static_1", "static_2"], d[:, wide:], grads)
     if not frozen:
         for i, part in enumerate(net.parts):
-            pooled_back(*sources[part], w, part, d[:, i * net.hidden : (i + 1) * net.hidden], grads)
+            pooled_back(below[part], w, part, d[:, i * net.hidden : (i + 1) * net.hidden], grads)
 
 
 def survival_loss(net: Network, batch: Batch, w: Weights, draws: Draws, frozen: bool = False, train: bool = True) -> Result | None:
     """The Cox loss of a batch; none where it has no event."""
     if not batch.event.sum():
         return None
-    _, risk, held = risks(net, batch, w, draws.rng(batch) if train else None)
+    _, risk, held = risks(net, batch, w, draws.rng(batch) if train else None, train and not frozen)
     loss, d = layers.cox_gradient(risk, batch.duration, batch.event)
     if not train:
         return {"loss": loss}, None, []

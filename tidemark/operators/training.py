@@ -1,18 +1,23 @@
-"""Training of networks as Spark jobs: a step is one job over its batches.
+"""Training of networks as Spark jobs: a run of small steps, or a step of many batches, is one job.
 
 An epoch's sequences are dealt to batches by a permutation of their places and
-stored in the order of steps.  A step reads its own batches; each is one group,
-whose task gives the gradient of the loss, the moments of the batch norms and
-the metrics.  These are summed by pieces of the weights, in the order of
-batches, so the number of partitions and lost executors change nothing; the
-driver gets one sum the size of the model and moves the weights.  What it holds
-is the weights and their moments, which :func:`saved` makes a table of.
+stored by runs of steps.  Each step needs the weights of the one before.  So
+steps of one batch, or of few values, are walked through in one task, a bounded
+run of them at a time, which reads its own run only and gives the state for the
+next one.  Of a larger step each batch is one group, whose task gives the
+gradient of the loss, the moments of the batch norms and the metrics; these are
+summed by pieces of the weights, and the driver gets one sum the size of the
+model and moves the weights.  Both add in the order of batches, so neither the
+length of runs, the number of partitions nor lost executors change anything.
+What the driver holds is the weights and their moments, which :func:`saved`
+makes a table of.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
+from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +33,8 @@ from tidemark.sources.stored import removed, shared_folder, stored
 
 #: Values of the weights that are summed in one group.
 PIECE = 1 << 14
+#: Values (readouts by hidden states, on average) of a run of steps, and of a step from which on its batches are dealt to tasks.
+RUN_VALUES, STEP_VALUES = 1 << 23, 1 << 20
 LOSSES = ("simple", "tfc", "guided", "survival")
 
 
@@ -73,7 +80,7 @@ FINE_TUNED = Options("survival", epochs=10, rate=1e-4, size=32, events=8, best="
 
 @dataclass
 class State:
-    """Weights and Adam's moments after ``epoch`` epochs, the best weights so far, and the metrics of each epoch."""
+    """Weights and Adam's moments after ``epoch`` epochs, the best weights so far, the metrics of each epoch, and the sums over the steps of one under way."""
 
     weights: Weights
     first: Weights
@@ -83,6 +90,7 @@ class State:
     best: float | None = None
     best_weights: Weights = field(default_factory=dict)
     history: list[dict[str, float]] = field(default_factory=list)
+    sums: dict[str, float] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -121,6 +129,26 @@ def loss_of(net: Network, options: Options, batch: Batch, w: Weights, epoch: int
     return networks.survival_loss(net, batch, w, draws, frozen, train)
 
 
+def _named(result: Result | None) -> dict[str, np.ndarray]:
+    """What a batch gives, by name: gradients, "metric:..." and "moment:place:head:mean" or "var"; "skipped" where it has no loss."""
+    if result is None:
+        return {"skipped": np.ones(1)}
+    metrics, grads, moments = result
+    out = {f"metric:{k}": np.array([v]) for k, v in metrics.items()} | dict(grads or {})
+    for i, (name, mean, var) in enumerate(moments or []):
+        out |= {f"moment:{i}:{name}:mean": mean, f"moment:{i}:{name}:var": var}
+    return out
+
+
+def _mean(batches: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """What :func:`summed` gives of the same batches."""
+    out = {}
+    for name in sorted({n for b in batches for n in b}):
+        values = np.array([b[name].ravel() for b in batches if name in b])
+        out[name] = np.sum(values, axis=0) / (1 if name == "skipped" else len(values))
+    return out
+
+
 def _pieces(number: int, found: dict[str, np.ndarray]) -> pa.Table:
     rows = [(number, name, at // PIECE, value.ravel()[at : at + PIECE]) for name, value in found.items() for at in range(0, max(1, value.size), PIECE)]
     batch, names, parts, values = zip(*rows)
@@ -138,14 +166,7 @@ def summed(rows: DataFrame, columns: Columns, net: Network, options: Options, w:
 
     def of(table: pa.Table) -> pa.Table:
         number = table.column("batch")[0].as_py()
-        found = loss_of(net, options, columns.batch(table, number), w, epoch, train)
-        if found is None:
-            return _pieces(number, {"skipped": np.ones(1)})
-        metrics, grads, moments = found
-        out = {f"metric:{k}": np.array([v]) for k, v in metrics.items()} | dict(grads or {})
-        for i, (name, mean, var) in enumerate(moments or []):
-            out |= {f"moment:{i}:{name}:mean": mean, f"moment:{i}:{name}:var": var}
-        return _pieces(number, out)
+        return _pieces(number, _named(loss_of(net, options, columns.batch(table, number), w, epoch, train)))
 
     kind = "name string, part int, values array<double>"
     pieces = rows.groupBy("batch").applyInArrow(of, f"batch bigint, {kind}")
@@ -173,6 +194,53 @@ def moved(state: State, found: dict[str, np.ndarray], options: Options) -> None:
     merged_moments(state.weights, [(name, found[f"moment:{i}:{name}:mean"], found[f"moment:{i}:{name}:var"]) for i, name in names])
 
 
+def stepped(state: State, found: dict[str, np.ndarray], options: Options) -> None:
+    """Moves ``state`` by what the batches of a step gave, and adds their metrics to its sums; a step without a loss is none."""
+    sums = state.sums
+    sums["skipped"] = sums.get("skipped", 0.0) + float(found.get("skipped", [0])[0])
+    if "metric:loss" not in found:
+        return
+    moved(state, found, options)
+    sums["done"] = sums.get("done", 0.0) + 1
+    for n, v in found.items():
+        if n.startswith("metric:"):
+            sums[n] = sums.get(n, 0.0) + float(v[0])
+
+
+def _batches(stream: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Number and rows of each batch of a stream that is in their order."""
+    number, held = None, []
+    for some in stream:
+        numbers = some.column("batch").to_numpy()
+        for at, to in pairwise([0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]):
+            if at == to:
+                continue
+            if held and numbers[at] != number:
+                yield number, pa.Table.from_batches(held)
+                held = []
+            number = int(numbers[at])
+            held.append(some.slice(at, to - at))
+    if held:
+        yield number, pa.Table.from_batches(held)
+
+
+def walked(rows: DataFrame, columns: Columns, net: Network, options: Options, state: State, epoch: int) -> State:
+    """``state`` after the steps of ``rows``, one after the other, in one task."""
+    begin = replace(state, best=None, best_weights={}, history=[])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = replace(begin, weights=dict(begin.weights), first=dict(begin.first), second=dict(begin.second), sums=dict(begin.sums))
+        for _, some in groupby(_batches(stream), lambda b: b[0] // options.per_step):
+            stepped(now, _mean([_named(loss_of(net, options, columns.batch(table, number), now.weights, epoch, True)) for number, table in some]), options)
+        part, name, shape, values = zip(*_rows(now))
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(name), pa.array(shape, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], names=["part", "name", "shape", "values"])
+
+    targets = [c for c in ("duration", "event") if c in rows.columns]
+    picked = dict.fromkeys(["batch", columns.key, "sequence_length", *columns.features, columns.gaps, *columns.static, *targets])
+    done = resumed(rows.select(*picked).coalesce(1).sortWithinPartitions("batch").mapInArrow(run, STATE))
+    return replace(done, best=state.best, best_weights=state.best_weights, history=state.history)
+
+
 def dealt(rows: DataFrame, options: Options, epoch: int, key: str) -> DataFrame:
     """``rows`` with batch, of an epoch: all of them in the order of a permutation, or by events."""
     if options.events:
@@ -213,30 +281,32 @@ def train(rows: DataFrame, validation: DataFrame, columns: Columns, net: Network
     """
     spark = rows.sparkSession
     state = state or begun(net.weights(options.seed))
+    each = rows.agg(F.avg("sequence_length").alias("n")).first()["n"]
+    if each is None:
+        raise ValueError("there are no rows to train on")
+    values = max(1.0, each * net.hidden * options.size * options.per_step)
+    dealt_out = options.per_step > 1 and values > STEP_VALUES
+    per_run = 1 if dealt_out else max(1, int(RUN_VALUES // values))
     held = shared_folder(spark)
     kept = stored(permuted(validation, columns.key, options.seed, 0).withColumn("batch", F.floor(F.col("place") / options.size)), held)
     for epoch in range(state.epoch, options.epochs if until is None else min(until, options.epochs)):
         folder = shared_folder(spark)
-        order = dealt(rows, options, epoch, columns.key).withColumn("step", F.floor(F.col("batch") / options.per_step))
-        table = stored(order.repartitionByRange("step", "batch").sortWithinPartitions("step", "batch"), folder)
-        steps = table.agg(F.max("step").alias("s")).first()["s"]
-        if steps is None:
+        order = dealt(rows, options, epoch, columns.key).withColumn("run", F.floor(F.col("batch") / (options.per_step * per_run)))
+        table = stored(order.repartitionByRange("run", "batch").sortWithinPartitions("run", "batch"), folder, "run")
+        last = table.agg(F.max("run").alias("r")).first()["r"]
+        if last is None:
             raise ValueError("there are no rows to train on")
-        sums: dict[str, float] = {}
-        done = skipped = 0
-        for step in range(steps + 1):
-            found = summed(table.filter(F.col("step") == step), columns, net, options, state.weights, epoch)
-            skipped += int(found.get("skipped", [0])[0])
-            if "metric:loss" not in found:
-                continue
-            moved(state, found, options)
-            done += 1
-            for n, v in found.items():
-                if n.startswith("metric:"):
-                    sums[n.split(":")[1]] = sums.get(n.split(":")[1], 0.0) + float(v[0])
+        state.sums = {}
+        for run in range(last + 1):
+            some = spark.read.schema(order.drop("run").schema).parquet(f"{folder}/run={run}")
+            if dealt_out:
+                stepped(state, summed(some, columns, net, options, state.weights, epoch), options)
+            else:
+                state = walked(some, columns, net, options, state, epoch)
         removed(spark, folder)
         state.epoch = epoch + 1
-        metrics = {f"train_{k}": v / done for k, v in sums.items()} | {"skipped": float(skipped)}
+        sums, state.sums = state.sums, {}
+        metrics = {f"train_{n.split(':')[1]}": v / sums["done"] for n, v in sums.items() if n.startswith("metric:")} | {"skipped": sums["skipped"]}
         found = validated(kept, columns, net, options, state.weights, epoch)
         state.history.append({"epoch": float(epoch + 1)} | metrics | {f"val_{k}": v for k, v in found.items()})
         if better(options, found.get(options.best), state.best):
@@ -271,25 +341,32 @@ def history(spark: SparkSession, state: State) -> DataFrame:
     return spark.createDataFrame(rows, "epoch int, metric string, value double")
 
 
-def saved(spark: SparkSession, state: State) -> DataFrame:
-    """(part, name, shape, values): a state as a table."""
+STATE = "part string, name string, shape array<int>, values array<double>"
+
+
+def _rows(state: State) -> list[tuple[str, str, list[int], list[float]]]:
     rows = [("at", "steps", [2], [float(state.steps), float(state.epoch)]), ("at", "best", [], [] if state.best is None else [state.best])]
     for part in ("weights", "first", "second", "best_weights"):
         rows += [(part, n, list(w.shape), w.ravel().tolist()) for n, w in getattr(state, part).items()]
     for epoch in state.history:
         rows += [("history", f"{int(epoch['epoch'])}:{k}", [], [v]) for k, v in epoch.items()]
-    return spark.createDataFrame(rows, "part string, name string, shape array<int>, values array<double>")
+    return rows + [("sums", n, [], [v]) for n, v in state.sums.items()]
+
+
+def saved(spark: SparkSession, state: State) -> DataFrame:
+    """(part, name, shape, values): a state as a table."""
+    return spark.createDataFrame(_rows(state), STATE)
 
 
 def resumed(table: DataFrame) -> State:
     """The state that :func:`saved` made a table of."""
-    parts: dict[str, dict] = {p: {} for p in ("at", "weights", "first", "second", "best_weights", "history")}
+    parts: dict[str, dict] = {p: {} for p in ("at", "weights", "first", "second", "best_weights", "history", "sums")}
     for r in table.collect():
-        parts[r["part"]][r["name"]] = np.array(r["values"]).reshape(r["shape"]) if r["part"] not in ("at", "history") else r["values"]
+        parts[r["part"]][r["name"]] = r["values"] if r["part"] in ("at", "history", "sums") else np.array(r["values"]).reshape(r["shape"])
     epochs: dict[int, dict[str, float]] = {}
     for name, (value,) in parts["history"].items():
         epoch, metric = name.split(":")
         epochs.setdefault(int(epoch), {})[metric] = value
     steps, epoch = parts["at"]["steps"]
     best = parts["at"]["best"][0] if parts["at"]["best"] else None
-    return State(parts["weights"], parts["first"], parts["second"], int(steps), int(epoch), best, parts["best_weights"], [epochs[e] for e in sorted(epochs)])
+    return State(parts["weights"], parts["first"], parts["second"], int(steps), int(epoch), best, parts["best_weights"], [epochs[e] for e in sorted(epochs)], {n: v for n, (v,) in parts["sums"].items()})

@@ -22,11 +22,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _made[-1]
 
 
-def stored(table: DataFrame, path: str | None = None) -> DataFrame:
-    """``table``, written (to a new shared folder, or ``path``) and read again: steps that read it many times, or only part of it, don't compute it anew."""
+def stored(table: DataFrame, path: str | None = None, by: str | None = None) -> DataFrame:
+    """``table``, written (to a new shared folder, or ``path``; a folder a value of ``by``) and read again: steps that read it many times, or only part of it, don't compute it anew."""
     spark = table.sparkSession
     path = path or shared_folder(spark)
-    table.write.parquet(path)
+    table.write.parquet(path, partitionBy=by)
     return spark.read.schema(table.schema).parquet(path)
 
 
