@@ -231,9 +231,9 @@ def test_permutations_and_passes(spark):
     assert replace(Draws(), epoch=1) != Draws()
 
 
-@pytest.mark.parametrize("loss, events", [("tfc", None), ("survival", 3)])
+@pytest.mark.parametrize("loss, events", [("tfc", None), ("simple", None), ("guided", 3), ("survival", 3)])
 def test_runs_of_steps_equal_steps_of_their_own(spark, parts, monkeypatch, loss, events):
-    net = Network("tfc", 1, 2, survival=None if loss == "tfc" else "plain", **SMALL)
+    net = Network("simple" if loss == "simple" else "tfc", 1, 2, survival={"guided": "guided", "survival": "plain"}.get(loss), **SMALL)
     options = Options(loss, epochs=2, size=9, per_step=2, events=events)
     jobs, walk, add = [], training.walked, training.summed
     monkeypatch.setattr(training, "walked", lambda *a: jobs.append("run") or walk(*a))
