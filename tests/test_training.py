@@ -272,3 +272,45 @@ def test_compared_trainings_run_side_by_side(spark):
 
     meet = Barrier(3, timeout=30)
     assert sorted(_together(spark, [lambda i=i: (meet.wait() >= 0, i)[1] for i in range(3)])) == [0, 1, 2]
+
+
+LOSSES = [("tfc", None, "tfc"), ("simple", None, "simple"), ("tfc", "guided", "guided"), ("tfc", "static", "survival"), ("simple", "plain", "survival")]
+
+
+@pytest.mark.parametrize("kind, survival, loss", LOSSES)
+@pytest.mark.parametrize("room", [1 << 20, 70, 0])
+def test_what_is_drawn_ahead_is_what_steps_draw(monkeypatch, kind, survival, loss, room):
+    monkeypatch.setattr(networks, "KEPT_VALUES", room)
+    monkeypatch.setattr(networks, "GROUP_VALUES", 60)
+    net, options = Network(kind, 2, 3, survival=survival, static=2, **SMALL), Options(loss)
+    w, batch = net.weights(), drawn_batch()
+    want = training.loss_of(net, options, batch, w, 1, True)
+    ahead = networks.drawn_ahead(net, drawn_batch(), training.draws_of(options, 1, True), loss)
+    if room > 1 << 10:  # nothing is left to draw
+        assert not ahead.x and ahead.made
+        for name in ("moved", "masked"):
+            monkeypatch.setattr(Draws, name, lambda *a: pytest.fail("drawn again"))
+    else:
+        assert len(ahead.x) == 6 and all(len(m) < 6 for m in ahead.made.values())
+    got = training.loss_of(net, options, ahead, w, 1, True)
+    assert got[0] == want[0]
+    same(got[1], want[1])
+
+
+def test_runs_read_what_was_drawn_ahead(parts, monkeypatch):
+    net, bodies, walk = Network("tfc", 1, 2, **SMALL), [], training.walked
+    monkeypatch.setattr(training, "walked", lambda rows, *a: bodies.append(rows.columns) or walk(rows, *a))
+    training.train(*parts, COLUMNS, net, Options("tfc", epochs=1, size=9))
+    assert bodies == [["batch", "body"]]
+
+
+def test_values_by_readout():
+    lengths = np.array([0, 1, 3, 3])
+    x = np.array([10, 20, 21, 22, 30, 31, 32])
+    assert x[layers.by_readout(lengths)].tolist() == [10, 20, 30, 21, 31, 22, 32]
+    net = Network("simple", 1, 2, **SMALL)
+    values = [np.ones((n, 3)) * n for n in lengths]
+    b = Batch(values, [np.ones(n) for n in lengths], 1)
+    for part in net.parts:
+        states = networks.pooled(*networks.inputs(net, b, part), net.weights(), part)
+        assert not states[0].any() and np.array_equal(states[2], states[3]) and states[1].any()

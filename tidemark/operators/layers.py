@@ -15,6 +15,8 @@ Weights = dict[str, np.ndarray]
 SEGMENT = 64
 #: What is added to variances, and the share of a new moment in a running one.
 EPSILON, MOMENTUM = 1e-5, 0.1
+#: exp(-v) and exp(-2 v) are 2 to the power of v times these; powers of 2 are worked out quicker.
+GATE, CANDIDATE = -1 / np.log(2), -2 / np.log(2)
 
 
 def gru_sizes(name: str, width: int, hidden: int, decay: bool) -> dict[str, tuple[int, ...]]:
@@ -46,37 +48,38 @@ def first_weights(sizes: dict[str, tuple[int, ...]], seed: int = 42) -> Weights:
     return out
 
 
-def _segment(x: np.ndarray, first: np.ndarray, h: np.ndarray, total: np.ndarray | None, gaps: np.ndarray | None, w: Weights, name: str, keep: bool) -> tuple | None:
-    """Moves ``h`` over the readouts of ``x``, adding states to ``total``; with ``keep``, what the gradient needs: (old, fade, slope, reset and update, new, -2 times the part that is reset)."""
+def _segment(x: np.ndarray, spans: list[tuple[int, int, int]], h: np.ndarray, total: np.ndarray | None, gaps: np.ndarray | None, w: Weights, name: str, keep: bool) -> tuple | None:
+    """Moves ``h`` over the readouts of ``x``, adding states to ``total``; with ``keep``, what the gradient needs: (old, fade, slope, reset and update, new, the part that is reset by :data:`CANDIDATE`)."""
     n, hidden = h.shape
     both = 2 * hidden
-    # gates are 1 / (1 + exp(-v)) and the candidate is 2 / (1 + exp(-2 v)) - 1: the signs and the 2 go into the weights
-    sign = np.repeat([-1.0, -1.0, -2.0], hidden)
+    # gates are 1 / (1 + 2 ** v) and the candidate is 2 / (1 + 2 ** v) - 1: what that makes of v goes into the weights
+    scale = np.repeat([GATE, GATE, CANDIDATE], hidden)
     c = w[f"{name}_c"]
-    ins = x @ (w[f"{name}_w"].T * sign) + (w[f"{name}_b"] + np.concatenate([c[:both], np.zeros(hidden)])) * sign
-    u = w[f"{name}_u"].T * sign
+    ins = x @ (w[f"{name}_w"].T * scale) + (w[f"{name}_b"] + np.concatenate([c[:both], np.zeros(hidden)])) * scale
+    gate_ins, new_ins = np.ascontiguousarray(ins[:, :both]), np.ascontiguousarray(ins[:, both:])
+    u, shift = w[f"{name}_u"].T * scale, c[both:] * CANDIDATE
     fade = slope = None
     if gaps is not None:
-        slope = gaps[:, :, None] * w[f"{name}_decay_w"] + w[f"{name}_decay_b"]
-        fade = np.exp(-np.maximum(0, slope))
-    olds, gates, news, parts = (np.zeros((len(x) if keep else 1, n, m * hidden)) for m in (1, 2, 1, 1))
+        slope = gaps[:, None] * w[f"{name}_decay_w"] + w[f"{name}_decay_b"]
+        fade = np.exp2(np.maximum(0, slope) * GATE)
+    olds, gates, news, parts = (np.empty((len(x) if keep else n, m * hidden)) for m in (1, 2, 1, 1))
     with np.errstate(over="ignore"):
-        for t, k in enumerate(first):
-            at, on = t if keep else 0, h[k:]
-            old, gate, new, part = olds[at, k:], gates[at, k:], news[at, k:], parts[at, k:]
+        for k, at, to in spans:
+            place, on = slice(at, to) if keep else slice(to - at), h[k:]
+            old, gate, new, part = olds[place], gates[place], news[place], parts[place]
             if fade is None:
                 old[...] = on
             else:
-                np.multiply(on, fade[t, k:], out=old)
+                np.multiply(on, fade[at:to], out=old)
             inner = old @ u
-            np.add(inner[:, :both], ins[t, k:, :both], out=gate)
-            np.exp(gate, out=gate)
+            np.add(inner[:, :both], gate_ins[at:to], out=gate)
+            np.exp2(gate, out=gate)
             gate += 1
             np.reciprocal(gate, out=gate)
-            np.subtract(inner[:, both:], 2 * c[both:], out=part)
+            np.add(inner[:, both:], shift, out=part)
             np.multiply(part, gate[:, :hidden], out=new)
-            new += ins[t, k:, both:]
-            np.exp(new, out=new)
+            new += new_ins[at:to]
+            np.exp2(new, out=new)
             new += 1
             np.divide(2, new, out=new)
             new -= 1
@@ -88,70 +91,84 @@ def _segment(x: np.ndarray, first: np.ndarray, h: np.ndarray, total: np.ndarray
     return (olds, fade, slope, gates, news, parts) if keep else None
 
 
-def _first(lengths: np.ndarray, longest: int) -> np.ndarray:
-    """The first sequence that still goes on at each readout."""
-    return np.searchsorted(lengths, np.arange(longest), "right")
+def _spans(lengths: np.ndarray) -> list[tuple[int, int, int]]:
+    """Of each readout the first sequence that still goes on, and from where to where its values are."""
+    first = np.searchsorted(lengths, np.arange(lengths.max(initial=0)), "right")
+    ends = np.cumsum(len(lengths) - first)
+    return list(zip(first.tolist(), [0, *ends.tolist()], ends.tolist()))
+
+
+def by_readout(lengths: np.ndarray) -> np.ndarray:
+    """Where the values of sequences, one after the other, go: all first readouts, then all second ones and so on."""
+    at = np.arange(lengths.max(initial=0))[:, None]
+    return (at + (np.cumsum(lengths) - lengths))[at < lengths]
+
+
+def _segments(lengths: np.ndarray) -> list[tuple[slice, list[tuple[int, int, int]]]]:
+    """The values of each segment, and its spans from 0."""
+    spans, out = _spans(lengths), []
+    for at in range(0, len(spans), SEGMENT):
+        some = spans[at : at + SEGMENT]
+        begin = some[0][1]
+        out.append((slice(begin, some[-1][2]), [(k, a - begin, b - begin) for k, a, b in some]))
+    return out
 
 
 def pooled_states(x: np.ndarray, lengths: np.ndarray, w: Weights, name: str, gaps: np.ndarray | None = None, keep: bool = False) -> tuple[np.ndarray, tuple[list[np.ndarray], list]]:
-    """The mean state of a gated recurrent unit over x (readouts, sequences by length, features), and the state before each segment; with ``keep`` also what the gradient needs.
+    """The mean state of a gated recurrent unit over x (values by readout, features) of sequences by length, and the state before each segment; with ``keep`` also what the gradient needs.
 
     With ``gaps`` the state fades before each readout by exp(-relu(gap * decay_w
     + decay_b)).  Only the sequences that still go on at a readout are worked on.
     """
-    h = np.zeros((x.shape[1], w[f"{name}_u"].shape[1]))
-    total, starts, held, first = np.zeros_like(h), [], [], _first(lengths, len(x))
-    for at in range(0, len(x), SEGMENT):
-        to = at + SEGMENT
+    h = np.zeros((len(lengths), w[f"{name}_u"].shape[1]))
+    total, starts, held = np.zeros_like(h), [], []
+    for some, spans in _segments(lengths):
         starts.append(h.copy())
-        held.append(_segment(x[at:to], first[at:to], h, total, None if gaps is None else gaps[at:to], w, name, keep))
+        held.append(_segment(x[some], spans, h, total, None if gaps is None else gaps[some], w, name, keep))
     return total / np.maximum(1, lengths)[:, None], (starts, held)
 
 
 def pooled_states_back(x: np.ndarray, lengths: np.ndarray, w: Weights, name: str, gaps: np.ndarray | None, found: tuple[list[np.ndarray], list], d: np.ndarray, grads: Weights) -> None:
     """Adds the gradient for ``d``, that of the mean state, to ``grads``."""
     share, dh = d / np.maximum(1, lengths)[:, None], np.zeros_like(d)
-    first, u, hidden = _first(lengths, len(x)), w[f"{name}_u"], d.shape[1]
-    starts, held = found
-    for i in range(len(starts) - 1, -1, -1):
-        at, to = i * SEGMENT, (i + 1) * SEGMENT
-        some, before = x[at:to], None if gaps is None else gaps[at:to]
-        kept = held[i] if held[i] is not None else _segment(some, first[at:to], starts[i].copy(), None, before, w, name, True)
-        old, fade, slope, gates, new, part = kept
-        r, z = gates[..., :hidden], gates[..., hidden:]
-        rise = (1 - z) * (1 - new**2)
-        # of the gradient of a new state, what goes to the reset and update gates and the candidate's state
-        slopes = np.empty((*old.shape[:2], 3, hidden))
-        np.multiply(rise, r, out=slopes[:, :, 2])
-        np.multiply(slopes[:, :, 2] * (1 - r), part, out=slopes[:, :, 0])
-        slopes[:, :, 0] *= -0.5
-        np.multiply((old - new) * z, 1 - z, out=slopes[:, :, 1])
-        d_new, d_old, d_state = np.zeros_like(old), np.zeros_like(old), np.zeros(slopes.shape)
-        for t in range(len(some) - 1, -1, -1):
-            k = first[at + t]
-            on, back, before_fade = dh[k:], d_state[t, k:], d_old[t, k:]
+    u, hidden = w[f"{name}_u"], d.shape[1]
+    for start, kept, (place, spans) in reversed(list(zip(*found, _segments(lengths)))):
+        some, before = x[place], None if gaps is None else gaps[place]
+        old, fade, slope, gates, new, part = kept or _segment(some, spans, start.copy(), None, before, w, name, True)
+        r, z = np.ascontiguousarray(gates[:, :hidden]), np.ascontiguousarray(gates[:, hidden:])
+        rise = (1 - z) * (1 - new * new)
+        # of the gradient of a new state, what goes to the reset and update gates and the candidate's state; then that times the gradient
+        d_state = np.empty((len(some), 3 * hidden))
+        slopes = d_state.reshape(-1, 3, hidden)
+        reset = rise * r
+        slopes[:, 2] = reset
+        reset *= 1 - r
+        reset *= part
+        np.multiply(reset, 1 / CANDIDATE, out=slopes[:, 0])
+        np.multiply((old - new) * z, 1 - z, out=slopes[:, 1])
+        d_new, d_old = np.empty_like(new), np.empty_like(new)
+        for k, at, to in reversed(spans):
+            on, before_fade, back = dh[k:], d_old[at:to], d_state[at:to]
             on += share[k:]
-            d_new[t, k:] = on
-            np.multiply(on[:, None, :], slopes[t, k:], out=back)
-            np.matmul(back.reshape(len(on), 3 * hidden), u, out=before_fade)
-            on *= z[t, k:]
+            d_new[at:to] = on
+            slopes[at:to] *= on[:, None]
+            np.matmul(back, u, out=before_fade)
+            on *= z[at:to]
             if fade is None:
                 on += before_fade
             else:
                 before_fade += on
-                np.multiply(before_fade, fade[t, k:], out=on)
-        flat = d_state.reshape(-1, 3 * hidden)
-        grads[f"{name}_u"] += flat.T @ old.reshape(-1, hidden)
-        grads[f"{name}_c"] += flat.sum(0)
-        np.multiply(d_new, rise, out=d_state[:, :, 2])
-        grads[f"{name}_w"] += flat.T @ some.reshape(len(flat), -1)
-        grads[f"{name}_b"] += flat.sum(0)
+                np.multiply(before_fade, fade[at:to], out=on)
+        grads[f"{name}_u"] += d_state.T @ old
+        grads[f"{name}_c"] += d_state.sum(0)
+        np.multiply(d_new, rise, out=slopes[:, 2])
+        grads[f"{name}_w"] += d_state.T @ some
+        grads[f"{name}_b"] += d_state.sum(0)
         if fade is not None:
             d_old *= old
             d_old *= slope > 0
-            d_slope = d_old.reshape(-1, hidden)
-            grads[f"{name}_decay_w"] -= before.ravel() @ d_slope
-            grads[f"{name}_decay_b"] -= d_slope.sum(0)
+            grads[f"{name}_decay_w"] -= before @ d_old
+            grads[f"{name}_decay_b"] -= d_old.sum(0)
 
 
 def dense(x: np.ndarray, w: Weights, name: str) -> np.ndarray:

@@ -10,7 +10,7 @@ depend on groups or tasks.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -106,7 +106,10 @@ class Network:
 
 @dataclass
 class Batch:
-    """Sequences (readouts, numerical and then histogram features), gaps before readouts, targets, static features; ``number`` tells batches of an epoch apart."""
+    """Sequences (readouts, numerical and then histogram features), gaps before readouts, targets, static features; ``number`` tells batches of an epoch apart.
+
+    ``made``: groups that were drawn ahead, by what reads them and their number.
+    """
 
     x: list[np.ndarray]
     gaps: list[np.ndarray]
@@ -116,6 +119,11 @@ class Batch:
     static: np.ndarray | None = None
     number: int = 0
     spectra: dict[int, np.ndarray] = field(default_factory=dict)
+    lengths: list[int] = field(default_factory=list)
+    made: dict[tuple, dict[int, tuple]] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        self.lengths = self.lengths or [len(x) for x in self.x]
 
     def spectrum(self, i: int) -> np.ndarray:
         """That of the differences of a sequence, which both views read."""
@@ -176,7 +184,22 @@ class Draws:
 #: Draws of the simple network's views; histogram features are masked only.
 SIMPLE_DRAWS = Draws(noise=0.01, share=0.1, mask=0.15)
 
-Getter = Callable[[int], tuple[np.ndarray, np.ndarray | None]]
+Packed = tuple[np.ndarray, np.ndarray, np.ndarray | None]
+
+
+@dataclass(frozen=True)
+class Getter:
+    """What a branch reads of each sequence: values and gaps; and of groups of them, some of which may be ``made`` ahead."""
+
+    of: Callable[[int], tuple[np.ndarray, np.ndarray | None]]
+    part: str
+    made: dict[int, Packed]
+
+    def __call__(self, i: int) -> tuple[np.ndarray, np.ndarray | None]:
+        return self.of(i)
+
+    def group(self, number: int, some: list[int]) -> Packed:
+        return self.made[number] if number in self.made else _packed([self.of(i) for i in some], self.part)
 
 
 def _groups(lengths: list[int], width: int) -> Iterator[list[int]]:
@@ -191,16 +214,14 @@ def _groups(lengths: list[int], width: int) -> Iterator[list[int]]:
         yield group
 
 
-def _padded(some: list[tuple[np.ndarray, np.ndarray | None]]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Sequences side by side (readouts, sequences, features), their lengths, and gaps where they have them."""
+def _packed(some: list[tuple[np.ndarray, np.ndarray | None]], part: str) -> Packed:
+    """Values by readout, lengths of the sequences, and gaps where they have them; of ``bins`` one sequence after the other."""
     lengths = np.array([len(x) for x, _ in some])
-    longest = max(1, lengths.max())
-    x, gaps = np.zeros((longest, len(some), some[0][0].shape[1])), np.zeros((longest, len(some)))
-    for i, (values, before) in enumerate(some):
-        x[: len(values), i] = values
-        if before is not None:
-            gaps[: len(values), i] = before
-    return x, lengths, gaps if some[0][1] is not None else None
+    x = np.concatenate([x for x, _ in some])
+    if part == "bins":
+        return x, lengths, None
+    order = layers.by_readout(lengths)
+    return x[order], lengths, None if some[0][1] is None else np.concatenate([gaps for _, gaps in some])[order]
 
 
 def pooled(get: Getter, lengths: list[int], w: Weights, name: str, held: list | None = None) -> np.ndarray:
@@ -209,47 +230,44 @@ def pooled(get: Getter, lengths: list[int], w: Weights, name: str, held: list |
     ``held`` gets what :func:`pooled_back` needs of each group: its states, while there is room for them, or else how to get them again.
     """
     out, room = np.zeros((len(lengths), w["bins_2_b" if name == "bins" else f"{name}_u"].shape[-1])), KEPT_VALUES
-    for some in _groups(lengths, out.shape[1]):
-        packed = _padded([get(i) for i in some])
+    for number, some in enumerate(_groups(lengths, out.shape[1])):
+        packed = get.group(number, some)
         x, sizes, gaps = packed
-        room -= x.shape[0] * x.shape[1] * out.shape[1]
+        room -= int(sizes.sum()) * out.shape[1]
         keep = held is not None and room >= 0
         found = None
         if name == "bins":
-            y, layer = layers.stack(_joined(x, sizes), w, ["bins_1", "bins_2"], {}, None, last_relu=True)
-            sums = np.zeros((len(some), out.shape[1]))
-            np.add.at(sums, np.repeat(np.arange(len(some)), sizes), y)
+            y, layer = layers.stack(x, w, ["bins_1", "bins_2"], {}, None, last_relu=True)
+            sums, full = np.zeros((len(some), out.shape[1])), sizes > 0
+            if full.any():
+                sums[full] = np.add.reduceat(y, (np.cumsum(sizes) - sizes)[full])
             out[some] = sums / np.maximum(1, sizes)[:, None]
             found = layer if keep else None
         else:
             out[some], found = layers.pooled_states(x, sizes, w, name, gaps, keep)
         if held is not None:
-            held.append((some, get, packed if keep else None, found))
+            held.append((some, (get, number), packed if keep else None, found))
     return out
 
 
-def _joined(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The readouts of each sequence, one sequence after the other."""
-    return np.concatenate([x[:n, i] for i, n in enumerate(sizes)])
-
-
 def pooled_back(held: list, w: Weights, name: str, d: np.ndarray, grads: Weights) -> None:
     """Adds the gradient for ``d``, that of what :func:`pooled` gave with ``held``, to ``grads``."""
-    for some, get, packed, found in held:
-        x, sizes, gaps = packed or _padded([get(i) for i in some])
+    for some, (get, number), packed, found in held:
+        x, sizes, gaps = packed or get.group(number, some)
         if name == "bins":
-            layer = found or layers.stack(_joined(x, sizes), w, ["bins_1", "bins_2"], {}, None, last_relu=True)[1]
+            layer = found or layers.stack(x, w, ["bins_1", "bins_2"], {}, None, last_relu=True)[1]
             share = d[some] / np.maximum(1, sizes)[:, None]
             layers.stack_back(layer, w, ["bins_1", "bins_2"], np.repeat(share, sizes, 0), grads)
         else:
             layers.pooled_states_back(x, sizes, w, name, gaps, found, d[some], grads)
 
 
-def _views(net: Network, batch: Batch, part: str, draws: Draws, before: bool = False) -> tuple[Getter, list[int]]:
-    """Both views of a batch, the sequences of the second after those of the first."""
-    (one, lengths), (two, _) = (inputs(net, batch, part, draws, view, before) for view in (1, 2))
+def _views(net: Network, batch: Batch, part: str, draws: Draws, before: bool = False, plain: bool = False) -> tuple[Getter, list[int]]:
+    """Both views of a batch, the sequences of the second after those of the first; then, with ``plain``, the sequences as they are."""
+    several = [inputs(net, batch, part, draws, view, before) for view in (1, 2)] + ([inputs(net, batch, part)] if plain else [])
+    lengths = several[0][1]
     n = len(lengths)
-    return lambda i: one(i) if i < n else two(i - n), lengths * 2
+    return Getter(lambda i: several[i // n][0](i % n), part, batch.made.get((part, len(several)), {})), lengths * len(several)
 
 
 def inputs(net: Network, batch: Batch, part: str, draws: Draws | None = None, view: int = 0, before: bool = False) -> tuple[Getter, list[int]]:
@@ -257,18 +275,38 @@ def inputs(net: Network, batch: Batch, part: str, draws: Draws | None = None, vi
 
     Spectra are of differences.  Draws go over the spectrum, or ``before`` it over the differences.
     """
-    lengths = [len(x) for x in batch.x]
+    lengths, made = batch.lengths, batch.made.get((part, 1), {}) if draws is None else {}
     moved = lambda x, i, *name: x if draws is None else draws.moved(x, batch, i, view, *name)
     if part == "freq":
         if before:
-            return lambda i: (spectrum(moved(differences(batch.x[i]), i, 1)), None), [n // 2 + 1 for n in lengths]
-        return lambda i: (moved(batch.spectrum(i), i, 1), None), [n // 2 + 1 for n in lengths]
+            return Getter(lambda i: (spectrum(moved(differences(batch.x[i]), i, 1)), None), part, made), [n // 2 + 1 for n in lengths]
+        return Getter(lambda i: (moved(batch.spectrum(i), i, 1), None), part, made), [n // 2 + 1 for n in lengths]
     if net.kind == "tfc":
-        return lambda i: (moved(batch.x[i], i), batch.gaps[i]), lengths
+        return Getter(lambda i: (moved(batch.x[i], i), batch.gaps[i]), part, made), lengths
     k = batch.numerical
     if part == "bins":
-        return lambda i: (batch.x[i][:, k:] if draws is None else draws.masked(batch.x[i][:, k:], batch, i, view, 2), None), lengths
-    return lambda i: (moved(batch.x[i][:, :k], i), batch.gaps[i]), lengths
+        return Getter(lambda i: (batch.x[i][:, k:] if draws is None else draws.masked(batch.x[i][:, k:], batch, i, view, 2), None), part, made), lengths
+    return Getter(lambda i: (moved(batch.x[i][:, :k], i), batch.gaps[i]), part, made), lengths
+
+
+def drawn_ahead(net: Network, batch: Batch, draws: Draws, loss: str) -> Batch:
+    """``batch`` with what its branches read in ``loss``, which needs no weights: of each the first groups, as many as states are kept of; without its sequences where these are all."""
+    if loss == "survival":
+        read = {(p, 1): inputs(net, batch, p) for p in net.parts}
+    elif loss == "guided":
+        read = {("time", 3): _views(net, batch, "time", draws, True, True), ("freq", 2): _views(net, batch, "freq", draws, True)}
+    else:
+        read = {(p, 2): _views(net, batch, p, draws) for p in (net.parts if loss == "simple" else ("time", "freq"))}
+    made, whole = {}, True
+    for name, (get, lengths) in read.items():
+        made[name], room = {}, KEPT_VALUES
+        for number, some in enumerate(_groups(lengths, net.hidden)):
+            room -= sum(lengths[i] for i in some) * net.hidden
+            if room < 0:
+                whole = False
+                break
+            made[name][number] = get.group(number, some)
+    return replace(batch, x=[] if whole else batch.x, gaps=[] if whole else batch.gaps, spectra={}, made=made)
 
 
 def _none(w: Weights) -> Weights:
@@ -284,10 +322,10 @@ Result = tuple[dict[str, float], Weights | None, list]
 
 def simple_loss(net: Network, batch: Batch, w: Weights, draws: Draws, temperature: float = 0.5, train: bool = True) -> Result | None:
     """NT-Xent of two views; none of a batch of fewer than two."""
-    if len(batch.x) < 2:
+    if len(batch.lengths) < 2:
         return None
     moments: list | None = [] if train else None
-    n, seen, z = len(batch.x), [], []
+    n, seen, z = len(batch.lengths), [], []
     held: dict[str, list] = {p: [] for p in net.parts}
     every = np.concatenate([pooled(*_views(net, batch, p, draws), w, p, held[p] if train else None) for p in net.parts], 1)
     for states in (every[:n], every[n:]):
@@ -310,12 +348,23 @@ def simple_loss(net: Network, batch: Batch, w: Weights, draws: Draws, temperatur
 
 def tfc_loss(net: Network, batch: Batch, w: Weights, draws: Draws, temperature: float = 0.2, share: float = 0.5, train: bool = True, before: bool = False) -> Result | None:
     """``share`` of NT-Xent over time and over spectra, and the rest of the distance between the two; none of a batch of fewer than two."""
-    if len(batch.x) < 2:
+    if len(batch.lengths) < 2:
         return None
-    moments: list | None = [] if train else None
-    n, z, layer = len(batch.x), {}, {}
     held: dict[str, list] = {"time": [], "freq": []}
     states = {p: pooled(*_views(net, batch, p, draws, before), w, p, held[p] if train else None) for p in held}
+    grads = _none(w) if train else None
+    metrics, d, moments = _contrast(states, w, temperature, share, grads)
+    if not train:
+        return metrics, None, []
+    for part in held:
+        pooled_back(held[part], w, part, d[part], grads)
+    return metrics, grads, moments
+
+
+def _contrast(states: dict[str, np.ndarray], w: Weights, temperature: float, share: float, grads: Weights | None) -> tuple[dict[str, float], dict[str, np.ndarray], list]:
+    """Metrics of the contrastive loss of pooled states, those of the second view after those of the first; where there are ``grads``, the gradient of the states, and that of the heads is added to them."""
+    moments: list | None = None if grads is None else []
+    n, z, layer = len(states["time"]) // 2, {}, {}
     for view, rows in ((1, slice(n)), (2, slice(n, None))):
         for part in ("time", "freq"):
             z[part, view], layer[part, view] = layers.head(states[part][rows], w, f"{part}_head", moments)
@@ -333,19 +382,22 @@ def tfc_loss(net: Network, batch: Batch, w: Weights, draws: Draws, temperature:
         d["freq", view] += (1 - share) / 2 * b
     metrics = {"loss": share * (found["time"] + found["freq"]) + (1 - share) * apart, "loss_time": found["time"], "loss_freq": found["freq"], "loss_consistency": apart}
     metrics |= _diagnostics("time_proj", z["time", 1]) | _diagnostics("freq_proj", z["freq", 1])
-    if not train:
-        return metrics, None, []
-    grads = _none(w)
-    for part in held:
-        dp = [layers.head_back(layer[part, view], w, f"{part}_head", d[part, view], grads) for view in (1, 2)]
-        pooled_back(held[part], w, part, np.concatenate(dp), grads)
-    return metrics, grads, moments
+    if grads is None:
+        return metrics, {}, []
+    back = {part: [layers.head_back(layer[part, view], w, f"{part}_head", d[part, view], grads) for view in (1, 2)] for part in ("time", "freq")}
+    return metrics, {part: np.concatenate(some) for part, some in back.items()}, moments
 
 
 def risks(net: Network, batch: Batch, w: Weights, rng: np.random.Generator | None = None, back: bool = False) -> tuple[np.ndarray, np.ndarray, tuple]:
     """The pooled states, the risk of each sequence, and what the gradient needs, with ``back`` that of the encoder too; drops are drawn where ``rng`` is given."""
     below: dict[str, list] = {part: [] for part in net.parts}
     states = np.concatenate([pooled(*inputs(net, batch, p), w, p, below[p] if back else None) for p in net.parts], 1)
+    risk, held = _risk(net, batch, w, states, rng)
+    return states, risk, (below, held)
+
+
+def _risk(net: Network, batch: Batch, w: Weights, states: np.ndarray, rng: np.random.Generator | None) -> tuple[np.ndarray, tuple]:
+    """The risk of each sequence by its pooled state, and what the gradient needs."""
     fused, fixed = states, None
     if net.survival == "static":
         more = batch.static
@@ -353,15 +405,22 @@ def risks(net: Network, batch: Batch, w: Weights, rng: np.random.Generator | Non
             more, fixed = layers.stack(batch.static, w, ["static_1", "static_2"], net.drops, rng, last_relu=True)
         fused = np.concatenate([states, more], 1)
     risk, held = layers.stack(fused, w, net.survival_layers, net.drops, rng)
-    return states, risk[:, 0], (below, fixed, held)
+    return risk[:, 0], (fixed, held)
 
 
-def risk_back(net: Network, w: Weights, held: tuple, d: np.ndarray, grads: Weights, frozen: bool = False) -> None:
-    below, fixed, layer = held
+def _risk_back(net: Network, w: Weights, held: tuple, d: np.ndarray, grads: Weights) -> np.ndarray:
+    """The gradient of the pooled states; that of the survival head is added to ``grads``."""
+    fixed, layer = held
     d = layers.stack_back(layer, w, net.survival_layers, d[:, None], grads)
     wide = net.hidden * len(net.parts)
     if fixed is not None:
         layers.stack_back(fixed, w, ["static_1", "static_2"], d[:, wide:], grads)
+    return d[:, :wide]
+
+
+def risk_back(net: Network, w: Weights, held: tuple, d: np.ndarray, grads: Weights, frozen: bool = False) -> None:
+    below, above = held
+    d = _risk_back(net, w, above, d, grads)
     if not frozen:
         for i, part in enumerate(net.parts):
             pooled_back(below[part], w, part, d[:, i * net.hidden : (i + 1) * net.hidden], grads)
@@ -385,12 +444,21 @@ def guided_loss(net: Network, batch: Batch, w: Weights, draws: Draws, temperatur
 
     Without ``train`` the Cox loss alone.
     """
-    cox = survival_loss(net, batch, w, draws, train=train)
-    if cox is None or not train:
-        return cox
-    contrast = tfc_loss(net, batch, w, draws, temperature, share, before=True)
-    if contrast is None:
+    if not train or not batch.event.sum():
+        return survival_loss(net, batch, w, draws, train=train)
+    n = len(batch.lengths)
+    if n < 2:
         return None
-    metrics = {"loss": contrast[0]["loss"] + weight * cox[0]["loss"], "loss_tfc": contrast[0]["loss"], "loss_cox": cox[0]["loss"]}
-    metrics |= {k: contrast[0][k] for k in ("loss_time", "loss_freq", "loss_consistency")}
-    return metrics, {n: g + weight * cox[1][n] for n, g in contrast[1].items()}, contrast[2]
+    held: dict[str, list] = {"time": [], "freq": []}
+    every = pooled(*_views(net, batch, "time", draws, True, True), w, "time", held["time"])  # views and sequences in one go
+    states = {"time": every[: 2 * n], "freq": pooled(*_views(net, batch, "freq", draws, True), w, "freq", held["freq"])}
+    grads, head = _none(w), _none(w)
+    contrast, d, moments = _contrast(states, w, temperature, share, grads)
+    risk, above = _risk(net, batch, w, every[2 * n :], draws.rng(batch))
+    cox, d_risk = layers.cox_gradient(risk, batch.duration, batch.event)
+    d_plain = weight * _risk_back(net, w, above, d_risk, head)
+    pooled_back(held["time"], w, "time", np.concatenate([d["time"], d_plain]), grads)
+    pooled_back(held["freq"], w, "freq", d["freq"], grads)
+    metrics = {"loss": contrast["loss"] + weight * cox, "loss_tfc": contrast["loss"], "loss_cox": cox}
+    metrics |= {k: contrast[k] for k in ("loss_time", "loss_freq", "loss_consistency")}
+    return metrics, {m: g + weight * head[m] for m, g in grads.items()}, moments

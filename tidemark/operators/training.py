@@ -4,7 +4,8 @@ An epoch's sequences are dealt to batches by a permutation of their places and
 stored by runs of steps.  Each step needs the weights of the one before.  So
 steps of one batch, or of few values, are walked through in one task, a bounded
 run of them at a time, which reads its own run only and gives the state for the
-next one.  Of a larger step each batch is one group, whose task gives the
+next one; what batches read that needs no weights (views, spectra) is drawn
+before, side by side, and stored in their place.  Of a larger step each batch is one group, whose task gives the
 gradient of the loss, the moments of the batch norms and the metrics; these are
 summed by pieces of the weights, and the driver gets one sum the size of the
 model and moves the weights.  Both add in the order of batches, so neither the
@@ -15,6 +16,7 @@ makes a table of.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 from itertools import groupby, pairwise
@@ -116,9 +118,14 @@ def begun(weights: Weights) -> State:
     return State({n: w.copy() for n, w in weights.items()}, none(), none())
 
 
+def draws_of(options: Options, epoch: int, train: bool) -> Draws:
+    """Validation draws views too, of an epoch of their own."""
+    return replace(networks.SIMPLE_DRAWS if options.loss == "simple" else Draws(), seed=options.seed, epoch=2 * epoch + (not train))
+
+
 def loss_of(net: Network, options: Options, batch: Batch, w: Weights, epoch: int, train: bool) -> Result | None:
-    """Metrics, gradient and moments of a batch; None where it has no loss.  Validation draws views too, of an epoch of their own."""
-    draws = replace(networks.SIMPLE_DRAWS if options.loss == "simple" else Draws(), seed=options.seed, epoch=2 * epoch + (not train))
+    """Metrics, gradient and moments of a batch; None where it has no loss."""
+    draws = draws_of(options, epoch, train)
     if options.loss == "simple":
         return networks.simple_loss(net, batch, w, draws, options.temperature, train)
     if options.loss == "tfc":
@@ -224,20 +231,36 @@ def _batches(stream: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]
         yield number, pa.Table.from_batches(held)
 
 
-def walked(rows: DataFrame, columns: Columns, net: Network, options: Options, state: State, epoch: int) -> State:
-    """``state`` after the steps of ``rows``, one after the other, in one task."""
+BODY = "run bigint, batch bigint, body binary"
+
+
+def drawn_ahead(rows: DataFrame, columns: Columns, net: Network, options: Options, epoch: int) -> DataFrame:
+    """(run, batch, body): each batch of ``rows``, which are in the order of run and batch, with what its steps read."""
+    draws = draws_of(options, epoch, True)
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, table in _batches(stream):
+            body = pickle.dumps(networks.drawn_ahead(net, columns.batch(table, number), draws, options.loss), protocol=5)
+            yield pa.RecordBatch.from_arrays([pa.array([table.column("run")[0].as_py()], pa.int64()), pa.array([number], pa.int64()), pa.array([body], pa.binary())], names=["run", "batch", "body"])
+
+    targets = [c for c in ("duration", "event") if c in rows.columns]
+    picked = dict.fromkeys(["run", "batch", columns.key, "sequence_length", *columns.features, columns.gaps, *columns.static, *targets])
+    return rows.select(*picked).mapInArrow(run, BODY)
+
+
+def walked(bodies: DataFrame, net: Network, options: Options, state: State, epoch: int) -> State:
+    """``state`` after the steps of the batches in ``bodies``, one after the other, in one task."""
     begin = replace(state, best=None, best_weights={}, history=[])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = replace(begin, weights=dict(begin.weights), first=dict(begin.first), second=dict(begin.second), sums=dict(begin.sums))
-        for _, some in groupby(_batches(stream), lambda b: b[0] // options.per_step):
-            stepped(now, _mean([_named(loss_of(net, options, columns.batch(table, number), now.weights, epoch, True)) for number, table in some]), options)
+        batches = ((number.as_py(), pickle.loads(body.as_buffer())) for some in stream for number, body in zip(some.column("batch"), some.column("body")))
+        for _, some in groupby(batches, lambda b: b[0] // options.per_step):
+            stepped(now, _mean([_named(loss_of(net, options, batch, now.weights, epoch, True)) for _, batch in some]), options)
         part, name, shape, values = zip(*_rows(now))
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(name), pa.array(shape, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], names=["part", "name", "shape", "values"])
 
-    targets = [c for c in ("duration", "event") if c in rows.columns]
-    picked = dict.fromkeys(["batch", columns.key, "sequence_length", *columns.features, columns.gaps, *columns.static, *targets])
-    done = resumed(rows.select(*picked).coalesce(1).sortWithinPartitions("batch").mapInArrow(run, STATE))
+    done = resumed(bodies.select("batch", "body").coalesce(1).sortWithinPartitions("batch").mapInArrow(run, STATE))
     return replace(done, best=state.best, best_weights=state.best_weights, history=state.history)
 
 
@@ -292,17 +315,18 @@ def train(rows: DataFrame, validation: DataFrame, columns: Columns, net: Network
     for epoch in range(state.epoch, options.epochs if until is None else min(until, options.epochs)):
         folder = shared_folder(spark)
         order = dealt(rows, options, epoch, columns.key).withColumn("run", F.floor(F.col("batch") / (options.per_step * per_run)))
-        table = stored(order.repartitionByRange("run", "batch").sortWithinPartitions("run", "batch"), folder, "run")
+        order = order.repartitionByRange("run", "batch").sortWithinPartitions("run", "batch")
+        table = stored(order if dealt_out else drawn_ahead(order, columns, net, options, epoch), folder, "run")
         last = table.agg(F.max("run").alias("r")).first()["r"]
         if last is None:
             raise ValueError("there are no rows to train on")
         state.sums = {}
         for run in range(last + 1):
-            some = spark.read.schema(order.drop("run").schema).parquet(f"{folder}/run={run}")
+            some = spark.read.schema(table.drop("run").schema).parquet(f"{folder}/run={run}")
             if dealt_out:
                 stepped(state, summed(some, columns, net, options, state.weights, epoch), options)
             else:
-                state = walked(some, columns, net, options, state, epoch)
+                state = walked(some, net, options, state, epoch)
         removed(spark, folder)
         state.epoch = epoch + 1
         sums, state.sums = state.sums, {}
