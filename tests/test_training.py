@@ -304,6 +304,22 @@ def test_runs_read_what_was_drawn_ahead(parts, monkeypatch):
     assert bodies == [["batch", "body"]]
 
 
+def test_guided_loss_is_the_sum_of_its_parts():
+    net = Network("tfc", 2, 3, survival="guided", **SMALL)
+    w, b, draws = net.weights(), drawn_batch(), Draws()
+    metrics, grads, moments = networks.guided_loss(net, b, w, draws)
+    contrast, cox = networks.tfc_loss(net, b, w, draws, before=True), networks.survival_loss(net, b, w, draws)
+    assert metrics["loss"] == pytest.approx(contrast[0]["loss"] + 0.3 * cox[0]["loss"]) and len(moments) == len(contrast[2])
+    for n, g in grads.items():
+        assert g == pytest.approx(contrast[1][n] + 0.3 * cox[1][n])
+    # sequences of its views and as they are go through the recurrent layer together
+    calls, states = [], layers.pooled_states
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(layers, "pooled_states", lambda x, lengths, *a: calls.append(len(lengths)) or states(x, lengths, *a))
+        networks.guided_loss(net, b, w, draws)
+    assert calls == [18, 12]
+
+
 def test_values_by_readout():
     lengths = np.array([0, 1, 3, 3])
     x = np.array([10, 20, 21, 22, 30, 31, 32])
