@@ -330,3 +330,60 @@ def test_values_by_readout():
     for part in net.parts:
         states = networks.pooled(*networks.inputs(net, b, part), net.weights(), part)
         assert not states[0].any() and np.array_equal(states[2], states[3]) and states[1].any()
+
+
+@pytest.mark.parametrize("values, epoch", [(1 << 23, 1), (1200, 0)])
+def test_next_runs_are_dealt_and_drawn_beside_the_steps(parts, monkeypatch, values, epoch):
+    """Those of the next epoch, and of the same one."""
+    from threading import Event
+
+    drawn, met, walk, draw = Event(), [], training.walked, training.drawn_ahead
+    calls = []
+
+    def seen(rows, columns, net, options, at):
+        calls.append(at)
+        if len(calls) == 2:
+            drawn.set()
+        return draw(rows, columns, net, options, at)
+
+    monkeypatch.setattr(training, "RUN_VALUES", values)
+    monkeypatch.setattr(training, "drawn_ahead", seen)
+    monkeypatch.setattr(training, "walked", lambda *a: met.append(drawn.wait(60)) or walk(*a))
+    net = Network("tfc", 1, 2, **SMALL)
+    training.train(*parts, COLUMNS, net, Options("tfc", epochs=2, size=9, per_step=2))
+    assert all(met) and len(met) == len(calls) and calls == sorted(calls) and calls[1] == epoch
+
+
+def test_what_is_worked_out_ahead_is_bounded_and_ends_with_an_error(spark):
+    made = []
+
+    def items():
+        for i in range(6):
+            made.append(i)
+            yield i
+        raise ValueError("the end")
+
+    got = training.ahead(spark, items(), 2)
+    assert next(got) == 0 and next(got) == 1 and max(made) <= 3
+    with pytest.raises(ValueError, match="the end"):
+        list(got)
+
+
+def test_prefixes_of_packed_sequences_are_packed_prefixes(spark):
+    from tidemark.operators.sequences import build_prefixes, build_sequences, packed, packed_prefixes
+
+    readouts = [(v, v * 100 + i, float(i // 2), float(i * v)) for v, n in enumerate([1, 5, 6, 7, 20, 33]) for i in range(n)]
+    held = build_sequences(spark.createDataFrame(readouts, "vehicle_id bigint, rid bigint, time_step double, x double"))
+    want = packed(build_prefixes(held), ["x", "time_gap"], "prefix_id")
+    got = packed_prefixes(packed(held, ["x", "time_gap"]), ["x", "time_gap"]).drop("vehicle_id")
+    assert sorted(want.collect()) == sorted(got.select(want.columns).collect()) and want.count() == 2 + 3 + 3 + 1
+    assert got.schema["sequence_length"].dataType == want.schema["sequence_length"].dataType
+
+
+def test_values_of_a_gate_lie_together():
+    net, b = Network("tfc", 2, 3, **SMALL), drawn_batch()
+    held: list = []
+    networks.pooled(*networks.inputs(net, b, "time"), net.weights(), "time", held)
+    (_, segments) = held[0][3]
+    old, _, _, gates, new, _ = segments[0]
+    assert gates.shape == (2, *old.shape) and gates.flags.c_contiguous and new.shape == old.shape

@@ -15,8 +15,8 @@ Weights = dict[str, np.ndarray]
 SEGMENT = 64
 #: What is added to variances, and the share of a new moment in a running one.
 EPSILON, MOMENTUM = 1e-5, 0.1
-#: exp(-v) and exp(-2 v) are 2 to the power of v times these; powers of 2 are worked out quicker.
-GATE, CANDIDATE = -1 / np.log(2), -2 / np.log(2)
+#: exp(-v) is 2 to the power of v times this; powers of 2 are worked out quicker.
+GATE = -1 / np.log(2)
 
 
 def gru_sizes(name: str, width: int, hidden: int, decay: bool) -> dict[str, tuple[int, ...]]:
@@ -48,43 +48,51 @@ def first_weights(sizes: dict[str, tuple[int, ...]], seed: int = 42) -> Weights:
     return out
 
 
+def _with_ones(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x, np.ones((len(x), 1))], 1)
+
+
 def _segment(x: np.ndarray, spans: list[tuple[int, int, int]], h: np.ndarray, total: np.ndarray | None, gaps: np.ndarray | None, w: Weights, name: str, keep: bool) -> tuple | None:
-    """Moves ``h`` over the readouts of ``x``, adding states to ``total``; with ``keep``, what the gradient needs: (old, fade, slope, reset and update, new, the part that is reset by :data:`CANDIDATE`)."""
+    """Moves ``h`` over the readouts of ``x``, adding states to ``total``; with ``keep``, what the gradient needs: (old, fade, slope, reset and update one after the other, new, the part that is reset)."""
     n, hidden = h.shape
-    both = 2 * hidden
-    # gates are 1 / (1 + 2 ** v) and the candidate is 2 / (1 + 2 ** v) - 1: what that makes of v goes into the weights
-    scale = np.repeat([GATE, GATE, CANDIDATE], hidden)
-    c = w[f"{name}_c"]
-    ins = x @ (w[f"{name}_w"].T * scale) + (w[f"{name}_b"] + np.concatenate([c[:both], np.zeros(hidden)])) * scale
-    gate_ins, new_ins = np.ascontiguousarray(ins[:, :both]), np.ascontiguousarray(ins[:, both:])
-    u, shift = w[f"{name}_u"].T * scale, c[both:] * CANDIDATE
+    # gates are 1 / (1 + 2 ** v): what that makes of v goes into the weights
+    scale = np.array([GATE, GATE, 1])[:, None, None]
+    by_gate = lambda v: v.reshape(3, hidden, -1).transpose(0, 2, 1) * scale
+    c = by_gate(w[f"{name}_c"])
+    b = by_gate(w[f"{name}_b"])
+    b[:2] += c[:2]
+    # each gate's values lie together, so that a readout's are long rows of numbers
+    ins = _with_ones(x) @ np.concatenate([by_gate(w[f"{name}_w"]), b], 1)
+    u, shift = np.ascontiguousarray(by_gate(w[f"{name}_u"])), np.repeat(c[2], n, 0)
     fade = slope = None
     if gaps is not None:
-        slope = gaps[:, None] * w[f"{name}_decay_w"] + w[f"{name}_decay_b"]
-        fade = np.exp2(np.maximum(0, slope) * GATE)
-    olds, gates, news, parts = (np.empty((len(x) if keep else n, m * hidden)) for m in (1, 2, 1, 1))
+        slope = _with_ones(gaps[:, None]) @ np.stack([w[f"{name}_decay_w"], w[f"{name}_decay_b"]])
+        fade = np.maximum(0, slope)
+        fade *= GATE
+        np.exp2(fade, out=fade)
+    held = len(x) if keep else n
+    olds, gates, news, parts, inners = np.empty((held, hidden)), np.empty((2, held, hidden)), np.empty((held, hidden)), np.empty((held, hidden)), np.empty(3 * n * hidden)
+    gate_ins, new_ins = ins[:2], ins[2]
     with np.errstate(over="ignore"):
         for k, at, to in spans:
-            place, on = slice(at, to) if keep else slice(to - at), h[k:]
-            old, gate, new, part = olds[place], gates[place], news[place], parts[place]
+            on, m = h[k:], to - at
+            place = slice(at, to) if keep else slice(m)
+            old, gate, new, part = olds[place], gates[:, place], news[place], parts[place]
             if fade is None:
                 old[...] = on
             else:
                 np.multiply(on, fade[at:to], out=old)
-            inner = old @ u
-            np.add(inner[:, :both], gate_ins[at:to], out=gate)
+            inner = np.matmul(old, u, out=inners[: 3 * m * hidden].reshape(3, m, hidden))
+            np.add(inner[:2], gate_ins[:, at:to], out=gate)
             np.exp2(gate, out=gate)
             gate += 1
             np.reciprocal(gate, out=gate)
-            np.add(inner[:, both:], shift, out=part)
-            np.multiply(part, gate[:, :hidden], out=new)
+            np.add(inner[2], shift[:m], out=part)
+            np.multiply(part, gate[0], out=new)
             new += new_ins[at:to]
-            np.exp2(new, out=new)
-            new += 1
-            np.divide(2, new, out=new)
-            new -= 1
+            np.tanh(new, out=new)
             np.subtract(old, new, out=on)
-            on *= gate[:, hidden:]
+            on *= gate[1]
             on += new
             if total is not None:
                 total[k:] += on
@@ -131,44 +139,47 @@ def pooled_states(x: np.ndarray, lengths: np.ndarray, w: Weights, name: str, gap
 def pooled_states_back(x: np.ndarray, lengths: np.ndarray, w: Weights, name: str, gaps: np.ndarray | None, found: tuple[list[np.ndarray], list], d: np.ndarray, grads: Weights) -> None:
     """Adds the gradient for ``d``, that of the mean state, to ``grads``."""
     share, dh = d / np.maximum(1, lengths)[:, None], np.zeros_like(d)
-    u, hidden = w[f"{name}_u"], d.shape[1]
+    hidden = d.shape[1]
+    u = w[f"{name}_u"].reshape(3, hidden, hidden)
     for start, kept, (place, spans) in reversed(list(zip(*found, _segments(lengths)))):
         some, before = x[place], None if gaps is None else gaps[place]
         old, fade, slope, gates, new, part = kept or _segment(some, spans, start.copy(), None, before, w, name, True)
-        r, z = np.ascontiguousarray(gates[:, :hidden]), np.ascontiguousarray(gates[:, hidden:])
+        r, z = gates
         rise = (1 - z) * (1 - new * new)
         # of the gradient of a new state, what goes to the reset and update gates and the candidate's state; then that times the gradient
-        d_state = np.empty((len(some), 3 * hidden))
-        slopes = d_state.reshape(-1, 3, hidden)
-        reset = rise * r
-        slopes[:, 2] = reset
-        reset *= 1 - r
-        reset *= part
-        np.multiply(reset, 1 / CANDIDATE, out=slopes[:, 0])
-        np.multiply((old - new) * z, 1 - z, out=slopes[:, 1])
-        d_new, d_old = np.empty_like(new), np.empty_like(new)
+        slopes, ones = np.empty((3, len(some), hidden)), np.ones(len(some))
+        np.multiply(rise, r, out=slopes[2])
+        np.subtract(1, r, out=slopes[0])
+        slopes[0] *= slopes[2]
+        slopes[0] *= part
+        np.subtract(old, new, out=slopes[1])
+        slopes[1] *= z
+        slopes[1] *= 1 - z
+        d_new, d_old, inners = np.empty_like(new), np.empty_like(new), np.empty(3 * len(dh) * hidden)
         for k, at, to in reversed(spans):
-            on, before_fade, back = dh[k:], d_old[at:to], d_state[at:to]
+            on, before_fade, back, m = dh[k:], d_old[at:to], slopes[:, at:to], to - at
             on += share[k:]
             d_new[at:to] = on
-            slopes[at:to] *= on[:, None]
-            np.matmul(back, u, out=before_fade)
+            back *= on
+            inner = np.matmul(back, u, out=inners[: 3 * m * hidden].reshape(3, m, hidden))
+            np.add(inner[0], inner[1], out=before_fade)
+            before_fade += inner[2]
             on *= z[at:to]
             if fade is None:
                 on += before_fade
             else:
                 before_fade += on
                 np.multiply(before_fade, fade[at:to], out=on)
-        grads[f"{name}_u"] += d_state.T @ old
-        grads[f"{name}_c"] += d_state.sum(0)
-        np.multiply(d_new, rise, out=slopes[:, 2])
-        grads[f"{name}_w"] += d_state.T @ some
-        grads[f"{name}_b"] += d_state.sum(0)
+        grads[f"{name}_u"] += (slopes.transpose(0, 2, 1) @ old).reshape(-1, hidden)
+        grads[f"{name}_c"] += (ones @ slopes).ravel()
+        np.multiply(d_new, rise, out=slopes[2])
+        grads[f"{name}_w"] += (slopes.transpose(0, 2, 1) @ some).reshape(3 * hidden, -1)
+        grads[f"{name}_b"] += (ones @ slopes).ravel()
         if fade is not None:
             d_old *= old
             d_old *= slope > 0
             grads[f"{name}_decay_w"] -= before @ d_old
-            grads[f"{name}_decay_b"] -= d_old.sum(0)
+            grads[f"{name}_decay_b"] -= ones @ d_old
 
 
 def dense(x: np.ndarray, w: Weights, name: str) -> np.ndarray:

@@ -98,3 +98,11 @@ def packed(rows: DataFrame, columns: list[str], key: str = "vehicle_id") -> Data
     """One row for each ``key``: sequence_length and an array of each column, in order."""
     held = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("seq_idx", *columns))).alias("_rows"))
     return held.select(key, F.size("_rows").alias("sequence_length"), *[F.col(f"_rows.{c}").alias(c) for c in columns])
+
+
+def packed_prefixes(sequences: DataFrame, columns: list[str], shares: tuple[float, ...] = (0.3, 0.6, 0.9), min_length: int = 5, strict: bool = True) -> DataFrame:
+    """What :func:`packed` makes of :func:`build_prefixes`, of packed sequences: the first values of their arrays, and their other columns."""
+    cut = sequences.select("*", F.posexplode(prefix_lengths(F.col("sequence_length"), shares, min_length, strict)).alias("_at", "_length"))
+    first = {c: F.slice(c, F.lit(1), F.col("_length").cast("int")) for c in columns}
+    named = F.concat(F.col("vehicle_id").cast("string"), F.lit("_p"), (F.col("_at") + 1).cast("string"))
+    return cut.withColumns(first | {"prefix_id": named, "sequence_length": F.col("_length").cast("int")}).drop("_at", "_length")

@@ -5,7 +5,9 @@ stored by runs of steps.  Each step needs the weights of the one before.  So
 steps of one batch, or of few values, are walked through in one task, a bounded
 run of them at a time, which reads its own run only and gives the state for the
 next one; what batches read that needs no weights (views, spectra) is drawn
-before, side by side, and stored in their place.  Of a larger step each batch is one group, whose task gives the
+before, side by side, and stored in their place.  The next runs, also those of the
+next epoch, are dealt and drawn beside the steps of this one, a bounded number of
+runs ahead.  Of a larger step each batch is one group, whose task gives the
 gradient of the loss, the moments of the batch norms and the metrics; these are
 summed by pieces of the weights, and the driver gets one sum the size of the
 model and moves the weights.  Both add in the order of batches, so neither the
@@ -17,12 +19,15 @@ makes a table of.
 from __future__ import annotations
 
 import pickle
+from collections import deque
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +42,8 @@ from tidemark.sources.stored import removed, shared_folder, stored
 PIECE = 1 << 14
 #: Values (readouts by hidden states, on average) of a run of steps, and of a step from which on its batches are dealt to tasks.
 RUN_VALUES, STEP_VALUES = 1 << 23, 1 << 20
+#: Runs that are dealt and drawn ahead of the one whose steps are under way.
+RUNS_AHEAD = 8
 LOSSES = ("simple", "tfc", "guided", "survival")
 
 
@@ -231,21 +238,20 @@ def _batches(stream: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]
         yield number, pa.Table.from_batches(held)
 
 
-BODY = "run bigint, batch bigint, body binary"
+BODY = "batch bigint, body binary"
 
 
 def drawn_ahead(rows: DataFrame, columns: Columns, net: Network, options: Options, epoch: int) -> DataFrame:
-    """(run, batch, body): each batch of ``rows``, which are in the order of run and batch, with what its steps read."""
+    """(batch, body): each batch of ``rows`` with what its steps read, drawn in tasks side by side that leave some for the steps of other runs."""
     draws = draws_of(options, epoch, True)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, table in _batches(stream):
             body = pickle.dumps(networks.drawn_ahead(net, columns.batch(table, number), draws, options.loss), protocol=5)
-            yield pa.RecordBatch.from_arrays([pa.array([table.column("run")[0].as_py()], pa.int64()), pa.array([number], pa.int64()), pa.array([body], pa.binary())], names=["run", "batch", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([body], pa.binary())], names=["batch", "body"])
 
-    targets = [c for c in ("duration", "event") if c in rows.columns]
-    picked = dict.fromkeys(["run", "batch", columns.key, "sequence_length", *columns.features, columns.gaps, *columns.static, *targets])
-    return rows.select(*picked).mapInArrow(run, BODY)
+    tasks = max(1, rows.sparkSession.sparkContext.defaultParallelism // 2)
+    return rows.repartition(tasks, "batch").sortWithinPartitions("batch").mapInArrow(run, BODY)
 
 
 def walked(bodies: DataFrame, net: Network, options: Options, state: State, epoch: int) -> State:
@@ -260,7 +266,7 @@ def walked(bodies: DataFrame, net: Network, options: Options, state: State, epoc
         part, name, shape, values = zip(*_rows(now))
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(name), pa.array(shape, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], names=["part", "name", "shape", "values"])
 
-    done = resumed(bodies.select("batch", "body").coalesce(1).sortWithinPartitions("batch").mapInArrow(run, STATE))
+    done = resumed(bodies.coalesce(1).sortWithinPartitions("batch").mapInArrow(run, STATE))
     return replace(done, best=state.best, best_weights=state.best_weights, history=state.history)
 
 
@@ -293,6 +299,19 @@ def better(options: Options, new: float | None, old: float | None) -> bool:
     return old is None or (new < old if options.best == "loss" else new > old)
 
 
+def ahead(spark: SparkSession, items: Iterator, most: int) -> Iterator:
+    """``items``, in order; the next ones, ``most`` at a time, are worked out by a thread beside what is done with this one."""
+    step = inheritable_thread_target(spark)(lambda: next(items, None))
+    pool = ThreadPoolExecutor(1)
+    try:
+        held = deque(pool.submit(step) for _ in range(most))
+        while (item := held.popleft().result()) is not None:
+            held.append(pool.submit(step))
+            yield item
+    finally:
+        pool.shutdown(cancel_futures=True)
+
+
 def train(rows: DataFrame, validation: DataFrame, columns: Columns, net: Network, options: Options, state: State | None = None, until: int | None = None) -> State:
     """``state`` (drawn weights without one) after further epochs over packed ``rows``, up to ``options.epochs`` or ``until``.
 
@@ -310,24 +329,39 @@ def train(rows: DataFrame, validation: DataFrame, columns: Columns, net: Network
     values = max(1.0, each * net.hidden * options.size * options.per_step)
     dealt_out = options.per_step > 1 and values > STEP_VALUES
     per_run = 1 if dealt_out else max(1, int(RUN_VALUES // values))
-    held = shared_folder(spark)
-    kept = stored(permuted(validation, columns.key, options.seed, 0).withColumn("batch", F.floor(F.col("place") / options.size)), held)
-    for epoch in range(state.epoch, options.epochs if until is None else min(until, options.epochs)):
-        folder = shared_folder(spark)
-        order = dealt(rows, options, epoch, columns.key).withColumn("run", F.floor(F.col("batch") / (options.per_step * per_run)))
-        order = order.repartitionByRange("run", "batch").sortWithinPartitions("run", "batch")
-        table = stored(order if dealt_out else drawn_ahead(order, columns, net, options, epoch), folder, "run")
-        last = table.agg(F.max("run").alias("r")).first()["r"]
-        if last is None:
-            raise ValueError("there are no rows to train on")
-        state.sums = {}
-        for run in range(last + 1):
-            some = spark.read.schema(table.drop("run").schema).parquet(f"{folder}/run={run}")
-            if dealt_out:
-                stepped(state, summed(some, columns, net, options, state.weights, epoch), options)
-            else:
-                state = walked(some, net, options, state, epoch)
-        removed(spark, folder)
+    epochs = range(state.epoch, options.epochs if until is None else min(until, options.epochs))
+    targets = [c for c in ("duration", "event") if c in rows.columns]
+    picked = dict.fromkeys(["run", "batch", columns.key, "sequence_length", *columns.features, columns.gaps, *columns.static, *targets])
+
+    def runs() -> Iterator[tuple[int, DataFrame | None, DataFrame, list[str]]]:
+        """Of each run its epoch, the validation rows by batch if it is the last of it, what its steps read, and the folders that nothing reads after them."""
+        kept = None
+        for epoch in epochs:
+            folder = shared_folder(spark)
+            order = dealt(rows, options, epoch, columns.key).withColumn("run", F.floor(F.col("batch") / (options.per_step * per_run)))
+            table = stored(order.select(*picked).repartitionByRange("run", "batch"), folder, "run")
+            last = table.agg(F.max("run").alias("r")).first()["r"]
+            if last is None:
+                raise ValueError("there are no rows to train on")
+            for run in range(last + 1):
+                some, gone = spark.read.schema(table.drop("run").schema).parquet(f"{folder}/run={run}"), [folder] if run == last else []
+                if not dealt_out:
+                    gone.append(shared_folder(spark))
+                    some = stored(drawn_ahead(some, columns, net, options, epoch), gone[-1])
+                if run == last and kept is None:
+                    kept = stored(permuted(validation, columns.key, options.seed, 0).withColumn("batch", F.floor(F.col("place") / options.size)), held)
+                yield epoch, kept if run == last else None, some, gone
+
+    held, state.sums = shared_folder(spark), {}
+    for epoch, kept, some, gone in ahead(spark, runs(), RUNS_AHEAD):
+        if dealt_out:
+            stepped(state, summed(some, columns, net, options, state.weights, epoch), options)
+        else:
+            state = walked(some, net, options, state, epoch)
+        for folder in gone:
+            removed(spark, folder)
+        if kept is None:
+            continue
         state.epoch = epoch + 1
         sums, state.sums = state.sums, {}
         metrics = {f"train_{n.split(':')[1]}": v / sums["done"] for n, v in sums.items() if n.startswith("metric:")} | {"skipped": sums["skipped"]}
