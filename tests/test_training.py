@@ -387,3 +387,10 @@ def test_values_of_a_gate_lie_together():
     (_, segments) = held[0][3]
     old, _, _, gates, new, _ = segments[0]
     assert gates.shape == (2, *old.shape) and gates.flags.c_contiguous and new.shape == old.shape
+
+
+def test_places_are_worked_out_in_many_tasks(spark):
+    """Ranks are few bytes a row, of which a task or two would be made."""
+    rows = spark.range(2000).select(F.col("id").alias("vehicle_id"), (F.col("id") % 5 < 2).cast("int").alias("event"))
+    for made in (permuted(rows, "vehicle_id"), event_batches(rows, 12, 4)):
+        assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().toString()

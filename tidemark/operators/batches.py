@@ -21,7 +21,7 @@ def shuffled_place(place: Column, n: Column, seed: int, *name: Column) -> Column
     other one, whatever ``n``.
     """
     of = lambda *more: hash_number(seed, F.concat_ws(":", *[x.cast("string") for x in (*name, *more)]))
-    points = F.transform(F.sequence(F.lit(1), F.lit(ROUNDS)), lambda i: F.struct(i.alias("i"), F.pmod(of(i), n).alias("at")))
+    points = F.array(*[F.struct(F.lit(i).alias("i"), F.pmod(of(F.lit(i)), n).alias("at")) for i in range(1, ROUNDS + 1)])
 
     def round_(v: Column, p: Column) -> Column:
         mirror = F.pmod(p["at"] - v, n)
@@ -30,9 +30,15 @@ def shuffled_place(place: Column, n: Column, seed: int, *name: Column) -> Column
     return F.aggregate(points, place.cast("bigint"), round_)
 
 
+def _spread(ranks: DataFrame) -> DataFrame:
+    """Ranks dealt to tasks: few bytes a row, so they would be in few tasks, but working out places takes time."""
+    spark = ranks.sparkSession
+    return ranks.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "vehicle_id")
+
+
 def permuted(rows: DataFrame, key: str, seed: int = 42, epoch: int = 0) -> DataFrame:
     """``rows`` with place, from 0: the order of an epoch.  Each epoch's place is worked out from a rank by hash, without another sort."""
-    held = ranked(rows.select(F.col(key).alias("vehicle_id")), seed, [])
+    held = _spread(ranked(rows.select(F.col(key).alias("vehicle_id")), seed, []))
     at = held.select(F.col("vehicle_id").alias("_key"), shuffled_place(F.col("_r") - 1, F.col("_n"), seed, F.lit("epoch"), F.lit(epoch)).alias("place"))
     return rows.drop("place").join(at, F.col(key) == F.col("_key")).drop("_key")
 
@@ -65,7 +71,7 @@ def event_batches(vehicles: DataFrame, size: int = 32, events: int = 8, seed: in
     rows = held.crossJoin(F.broadcast(counts.select(batches.cast("bigint").alias("_batches"), enough.alias("_shares"))))
     dead = F.col("event") == 1
     passes = F.when(dead, F.lit(1).cast("bigint")).otherwise(F.ceil(F.col("_batches") / F.col("_shares")))
-    again = rows.filter("_batches > 0").withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("bigint"), passes - 1)))
+    again = _spread(rows.filter("_batches > 0")).withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("bigint"), passes - 1)))
     at = shuffled_place(F.col("_r"), F.col("_n"), seed, F.lit(epoch), F.col("event"), F.col("_pass"))
     chunk = again.withColumn("_chunk", F.floor(at / F.when(dead, events).otherwise(share)).cast("bigint"))
     whole = chunk.filter(dead | (F.col("_chunk") < F.col("_shares"))).withColumn("batch", F.col("_pass") * F.col("_shares") + F.col("_chunk"))
