@@ -394,3 +394,20 @@ def test_places_are_worked_out_in_many_tasks(spark):
     rows = spark.range(2000).select(F.col("id").alias("vehicle_id"), (F.col("id") % 5 < 2).cast("int").alias("event"))
     for made in (permuted(rows, "vehicle_id"), event_batches(rows, 12, 4)):
         assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().toString()
+
+
+def test_a_state_is_asked_for_once_there_are_runs_to_begin_with(parts, monkeypatch):
+    """So a head's first runs are dealt and drawn beside the steps of its encoder; the weights are the same."""
+    net, drawn, draw = Network("tfc", 1, 2, survival="plain", **SMALL), [], training.drawn_ahead
+    monkeypatch.setattr(training, "drawn_ahead", lambda *a: drawn.append(a[-1]) or draw(*a))
+    options, asked = Options("survival", epochs=2, size=12, events=4), []
+
+    def start():
+        asked.append(len(drawn))
+        return training.begun(net.weights(7))
+
+    late = training.train(*parts, COLUMNS, net, options, start)
+    assert len(asked) == 1 and asked[0] > 0
+    early = training.train(*parts, COLUMNS, net, options, training.begun(net.weights(7)))
+    same(late.weights, early.weights)
+    assert late.history == early.history and len(late.history) == 2

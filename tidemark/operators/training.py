@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import pickle
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from itertools import groupby, pairwise
@@ -312,24 +312,26 @@ def ahead(spark: SparkSession, items: Iterator, most: int) -> Iterator:
         pool.shutdown(cancel_futures=True)
 
 
-def train(rows: DataFrame, validation: DataFrame, columns: Columns, net: Network, options: Options, state: State | None = None, until: int | None = None) -> State:
+def train(rows: DataFrame, validation: DataFrame, columns: Columns, net: Network, options: Options, state: State | Callable[[], State] | None = None, until: int | None = None) -> State:
     """``state`` (drawn weights without one) after further epochs over packed ``rows``, up to ``options.epochs`` or ``until``.
 
     Sequences have no missing values; batches without a loss (a single
     sequence, no event) are skipped and counted.  ``validation`` is in batches
     of its own order.  Without rows there is nothing to learn from: an error.
     A state made by :func:`saved` and :func:`resumed` between epochs goes on as
-    if it had never stopped.
+    if it had never stopped.  A function that gives a state before its first
+    epoch is asked for it once there are runs to begin with.
     """
     spark = rows.sparkSession
     state = state or begun(net.weights(options.seed))
+    begin = 0 if callable(state) else state.epoch
     each = rows.agg(F.avg("sequence_length").alias("n")).first()["n"]
     if each is None:
         raise ValueError("there are no rows to train on")
     values = max(1.0, each * net.hidden * options.size * options.per_step)
     dealt_out = options.per_step > 1 and values > STEP_VALUES
     per_run = 1 if dealt_out else max(1, int(RUN_VALUES // values))
-    epochs = range(state.epoch, options.epochs if until is None else min(until, options.epochs))
+    epochs = range(begin, options.epochs if until is None else min(until, options.epochs))
     targets = [c for c in ("duration", "event") if c in rows.columns]
     picked = dict.fromkeys(["run", "batch", columns.key, "sequence_length", *columns.features, columns.gaps, *columns.static, *targets])
 
@@ -352,8 +354,11 @@ def train(rows: DataFrame, validation: DataFrame, columns: Columns, net: Network
                     kept = stored(permuted(validation, columns.key, options.seed, 0).withColumn("batch", F.floor(F.col("place") / options.size)), held)
                 yield epoch, kept if run == last else None, some, gone
 
-    held, state.sums = shared_folder(spark), {}
+    held, started = shared_folder(spark), False
     for epoch, kept, some, gone in ahead(spark, runs(), RUNS_AHEAD):
+        if not started:
+            state, started = state() if callable(state) else state, True
+            state.sums = {}
         if dealt_out:
             stepped(state, summed(some, columns, net, options, state.weights, epoch), options)
         else:
@@ -370,7 +375,7 @@ def train(rows: DataFrame, validation: DataFrame, columns: Columns, net: Network
         if better(options, found.get(options.best), state.best):
             state.best, state.best_weights = found[options.best], {n: w.copy() for n, w in state.weights.items()}
     removed(spark, held)
-    return state
+    return state() if callable(state) else state
 
 
 def scored(rows: DataFrame, columns: Columns, net: Network, w: Weights, more: list[str] | None = None) -> DataFrame:
